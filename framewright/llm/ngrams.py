@@ -35,7 +35,7 @@ TRIES, SMALL = 3, 6
 #: Bytes of text that are hashed in one go at most (one text is never cut), and members compared with a hub by one task.
 SLICE, CHUNK = 1 << 20, 256
 #: Members of a large group that are compared with one another, or with as many others, by one task.
-BLOCK = 4096
+BLOCK, CLASSES = 4096, 16
 #: Counters of a sketch; bits of the map that lets most texts without candidates stay where they are.
 BINS, MAP_BITS = 128, 1 << 26
 
@@ -429,24 +429,30 @@ def _all_links(found: DataFrame, pairs: DataFrame, vectors: DataFrame, threshold
     large = found.where("sig is not null")
     group = large.select("sig", F.col("b").alias("sid")).distinct().join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     live = group.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), (F.min("component") < F.max("component")).alias("live")).where("live")
-    late = cut(close_pairs(group.join(live, "sig").select("sig", "sid", "component", "blocks"), vectors, threshold).distinct())
+    group = cut(group.join(live, "sig").select("sig", "sid", "component", "blocks"))
+    late = cut(close_pairs(group, vectors, threshold).distinct())
     return links.unionByName(linked(late, vectors, threshold))
 
 
 def close_pairs(group: DataFrame, vectors: DataFrame, threshold: int) -> DataFrame:
     """(a, b) of members of a group (sig, sid, component, blocks) in different components that their sketches let be linked.
 
-    A group's members are dealt to its blocks of about BLOCK, and each pair of blocks is compared by one task.
+    A group's members are dealt to its blocks of about BLOCK, and each pair of blocks is compared by one task. Members
+    often share many groups. Groups fall into CLASSES; if the least group of some class is the same for two members, the
+    first such group reports the pair and the other groups of this and later classes leave it out.
     """
+    kind = lambda: F.pmod(F.col("sig"), F.lit(CLASSES))
+    marks = group.groupBy("sid").agg(F.array(*[F.coalesce(F.min(F.when(kind() == k, F.col("sig"))), F.lit(0).cast("bigint")) for k in range(CLASSES)]).alias("marks"))
     block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     mates = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("p"), F.greatest(F.col("block"), j).alias("q")))
-    dealt = group.withColumn("block", block).join(vectors.select("sid", "n", "sketch"), "sid").withColumn("at", F.explode(mates))
+    dealt = group.withColumn("block", block).join(vectors.select("sid", "n", "sketch").join(marks, "sid"), "sid").withColumn("at", F.explode(mates))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sig", "n"], kind="stable")
         sig, sid, n, part, of, p, q = (pdf[c].to_numpy() for c in ("sig", "sid", "n", "component", "block", "p", "q"))
         fine = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), BINS).astype(np.int32)
         coarse = fine.reshape(len(pdf), -1, 8).sum(2)
+        marks, of_class = np.stack(pdf["marks"].to_list()), sig % CLASSES
         ends = np.append(np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig))
         found = [np.zeros((0, 2), np.int64)]
         begin = 0
@@ -463,12 +469,15 @@ def close_pairs(group: DataFrame, vectors: DataFrame, threshold: int) -> DataFra
                 j = np.flatnonzero(ok)
                 if len(j):
                     j = j[np.abs(fine[i + 1 + j] - fine[i]).sum(1) <= most[j]] + i + 1
+                    c = of_class[i]
+                    same = (marks[j] == marks[i]) & (marks[i] != 0)
+                    j = j[~(same[:, :c].any(1) | same[:, c] & (marks[i, c] != sig[i]))]
                     found.append(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], 1))
             begin = end
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     tasks = 4 * int(group.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("sig", "at.p", "at.q", "sid", "n", "component", "block", "sketch").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
+    dealt = dealt.select("sig", "at.p", "at.q", "sid", "n", "component", "block", "sketch", "marks").withColumn("task", F.pmod(F.xxhash64("sig"), F.lit(tasks)))
     return dealt.groupBy("task", "p", "q").applyInPandas(compare, "a long, b long")
 
 
