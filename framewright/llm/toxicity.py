@@ -3,8 +3,9 @@
 The kernel of two strings sums over their common subsequences of ORDER characters, each weighted by DECAY to the power
 of the lengths it spans, and is normalised. Gaps only lessen it, so an insult with characters put in between, or with
 another ending, still is near its landmark. A sentence is as near to a landmark as the nearest of its words, a
-document as toxic as its most toxic sentence. Landmarks are character n-grams that tell toxic from other training
-documents; their kernel matrix gives the Nystroem map, on which a linear machine is trained by sentences.
+document as toxic as its most toxic sentence. Landmarks are character n-grams of words that tell toxic from other
+documents, and clean words close to these; their kernel matrix gives the Nystroem map, on which a linear machine is
+trained by labelled sentences.
 """
 
 from __future__ import annotations
@@ -19,11 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
 WIDTH = 16
-#: Landmarks at most, their lengths, and how often a training document must hold one to be explained.
-LANDMARKS, GRAMS, COVER = 64, (4, 5, 6, 7), 2
+#: Landmarks at most, their lengths, how many each telling word is given, and landmarks that are clean words at most.
+LANDMARKS, GRAMS, COVER, COUNTER = 64, (4, 5, 6, 7, 8), 2, 32
+#: Share of the toxic documents that must hold a telling word, and how much more often than others they do.
+SUPPORT, LIFT = 0.008, 20
+#: Cost of a clean sentence on the wrong side against that of a toxic one.
+CLEAN_COST = 3.0
+#: Sentences of a clean document that the classifier is fitted on at most: the nearest to landmarks.
+PER_TEXT = 5
 #: Kernels below it count as 0: of words that share few characters with a landmark it is not computed.
 FLOOR = 0.3
 #: Labelled documents that the classifier is fitted on at most, of either label.
@@ -31,6 +40,7 @@ MAX_TRAIN = 3000
 #: Words whose kernels a Python worker remembers.
 REMEMBERED = 300_000
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n")
+SIGNS = re.compile(r"[\W_]+")
 SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 TRIM = ".,;:!?\"'()[]{}<>«»„“”…"
 
@@ -44,10 +54,17 @@ class Machine(NamedTuple):
 
 
 def words_of(sentence: str) -> list[str]:
-    """Lower-cased words without outer punctuation, marked at both ends; a word spelled out by spaces is joined."""
+    """Lower-cased words without outer punctuation, marked at both ends; a word spelled out by spaces is joined, and one
+    with signs inside comes without them too."""
     if SPELLED.search(sentence):
         sentence = SPELLED.sub(lambda m: re.sub(r"\s", "", m[0]), sentence)
-    return ["^" + w + "$" for x in sentence.lower().split() if (w := x.strip(TRIM))]
+    out = []
+    for x in sentence.lower().split():
+        if w := x.strip(TRIM):
+            out.append("^" + w + "$")
+            if not w.isalnum() and (bare := SIGNS.sub("", w)):
+                out.append("^" + bare + "$")
+    return out
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
@@ -132,90 +149,161 @@ class Features:
             else:
                 self.known[w] = -1
 
-    def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(text of each row, features) of the sentences that hold a word near a landmark; all others are all 0."""
+    def sentences(self, texts: list[str | None], told: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text of each row, features, holds a word of told) of the sentences that hold a word near a landmark; all
+        others are all 0."""
         split = [[words_of(s) for s in SENTENCES.split(t)] if t else [] for t in texts]
         self.learn({w for t in split for s in t for w in s})
-        of, rows = [], []
+        of, rows, marked = [], [], []
         for k, t in enumerate(split):
             for s in t:
                 near = {x for w in s if (x := self.known[w]) >= 0}
                 if near:
                     of.append(k)
                     rows.append(np.max([self.values[x] for x in near], axis=0))
-        return np.array(of, int), np.array(rows).reshape(len(rows), len(self.landmarks))
-
-
-def pick_landmarks(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """n-grams of marked words that cover the toxic texts COVER times and are rare in others, the most useful first."""
-    grams: list[set[str]] = []
-    for t in texts:
-        own = {w for s in SENTENCES.split(t) for w in words_of(s)}
-        grams.append({w[i : i + n] for w in own for n in GRAMS for i in range(len(w) - n + 1)})
-    bad, good = Counter(), Counter()
-    for g, y in zip(grams, toxic):
-        (bad if y else good).update(g)
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    able = {g for g, n in bad.items() if n >= max(2, 0.002 * n_bad) and n / n_bad > 20 * good[g] / n_good and good[g] <= 0.004 * n_good}
+                    marked.append(not told.isdisjoint(s))
+        return np.array(of, int), np.array(rows).reshape(len(rows), len(self.landmarks)), np.array(marked, bool)
+
+
+def _document_counts(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+    """(item, bad, good): how many toxic and other documents hold each word, or each n-gram of words in wanted."""
+
+    def items(text: str) -> set[str]:
+        own = {w for s in SENTENCES.split(text) for w in words_of(s)}
+        return own if wanted is None else {g for w in own for g in grams_of(w)} & wanted
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            for t, y in zip(pdf["text"], pdf["y"]):
+                found[int(y)].update(items(t))
+            both = list(found[0].keys() | found[1].keys())
+            yield pd.DataFrame({"item": pd.Series(both, dtype=object), "bad": np.array([found[1][x] for x in both], np.int64), "good": np.array([found[0][x] for x in both], np.int64)})
+
+    counts = sample.select("text", "y").mapInPandas(count, "item string, bad long, good long")
+    return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def grams_of(word: str) -> set[str]:
+    return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
+
+
+def _telling(counts: DataFrame, n_bad: int, n_good: int) -> dict[str, int]:
+    """Items that SUPPORT of the toxic documents hold, LIFT times as often as others do; each with its toxic documents."""
+    least = max(3, SUPPORT * n_bad)
+    told = counts.where((F.col("bad") >= F.lit(float(least))) & (F.col("bad") / n_bad > LIFT * (F.col("good") + 0.1) / n_good))
+    return {r["item"]: r["bad"] for r in told.collect()}
+
+
+def pick_landmarks(words: dict[str, int], grams: dict[str, int]) -> list[str]:
+    """n-grams that cover the telling words COVER times each, those that cover most toxic documents first."""
     holders = defaultdict(list)
-    for k, (g, y) in enumerate(zip(grams, toxic)):
-        if y:
-            for x in g & able:
-                holders[x].append(k)
-    left = {k: COVER for k in np.flatnonzero(toxic).tolist()}
+    for w in sorted(words):
+        for g in grams_of(w) & grams.keys():
+            holders[g].append(w)
+    left = dict.fromkeys(words, COVER)
     chosen: list[str] = []
-    gain = {g: float(len(h)) for g, h in holders.items()}
-    while gain and len(chosen) < LANDMARKS:
-        best = max(gain, key=lambda g: (gain[g] - good[g], len(g), g))
-        now = float(sum(left[k] > 0 for k in holders[best]))
-        if now < gain[best]:
-            if now < 2:
-                del gain[best]
-            else:
-                gain[best] = now
-            continue
+    while holders and len(chosen) < LANDMARKS:
+        gain = {g: sum(words[w] * len(g) for w in ws if left[w] > 0) for g, ws in holders.items()}
+        best = max(gain, key=lambda g: (gain[g], g))
+        if not gain[best]:
+            break
         chosen.append(best)
-        del gain[best]
-        for k in holders[best]:
-            left[k] -= 1
+        for w in holders.pop(best):
+            left[w] -= 1
     return chosen
 
 
+def _sentence_rows(sample: DataFrame, landmarks: list[str], words: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features, toxic) of labelled sentences: those of toxic documents that hold a telling word, and of each other
+    document the PER_TEXT sentences nearest to landmarks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features(landmarks)
+        for pdf in batches:
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                y = part["y"].to_numpy(bool)
+                of, x, told = features.sentences(part["text"].tolist(), words)
+                order = np.lexsort((-x.max(axis=1, initial=0), of))
+                place = np.arange(len(of)) - np.searchsorted(of[order], of[order])
+                rank = np.empty(len(of), int)
+                rank[order] = place
+                use = np.where(y[of], told, rank < PER_TEXT) if len(of) else np.zeros(0, bool)
+                yield pd.DataFrame({"y": y[of[use]] if len(of) else np.zeros(0, bool), "x": pd.Series(list(x[use]), dtype=object)})
+
+    rows = sample.select("text", "y").mapInPandas(run, "y boolean, x array<float>").toPandas()
+    x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(landmarks)))
+    return np.asarray(x, float), rows["y"].to_numpy(bool)
+
+
+def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
+    """Words of clean documents that look most toxic, most common first among equals."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features(machine.landmarks)
+        for pdf in batches:
+            found: Counter[str] = Counter()
+            value: dict[str, float] = {}
+            for t in pdf["text"]:
+                own = {w for s in SENTENCES.split(t) for w in words_of(s)}
+                features.learn(own)
+                for w in own:
+                    if (k := features.known[w]) >= 0:
+                        m = float(features.values[k] @ machine.weights + machine.bias)
+                        if m > -0.5:
+                            found[w] += 1
+                            value[w] = m
+            yield pd.DataFrame({"w": pd.Series(list(found), dtype=object), "m": np.array([value[w] for w in found], float), "n": np.array(list(found.values()), np.int64)})
+
+    rows = sample.where("not y").select("text").mapInPandas(run, "w string, m double, n long").groupBy("w").agg(F.max("m").alias("m"), F.sum("n").alias("n"))
+    worst = rows.where("n > 1").orderBy(F.desc((F.col("m") + 1) * F.sqrt("n")), "w").limit(COUNTER).collect()
+    return [r["w"][:WIDTH] for r in worst]
+
+
 def train(labelled: DataFrame, text: str, label: str, key: str, max_train: int = MAX_TRAIN) -> Machine:
-    """Fits on max_train documents of each label at most, by the order of the key's CRC-32; the bound is this
+    """Fits on max_train documents of each label or hardly more, by the order of the key's CRC-32; the bound is this
     parameter. Null labels and texts are left out. Without both labels the machine says 0 for all.
 
-    A toxic document stands for its most suspect sentence, another for each of its suspect ones, which is settled in
-    a few rounds as the machine learns.
+    Labels are of documents. A toxic document's sentences count as toxic if they hold a word that tells toxic documents
+    from others, so that wrong labels teach little; sentences of other documents count as clean. After a first fit the
+    clean words that look most toxic become landmarks as well.
     """
-    one = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), (F.col(label) == 1).alias("y"), F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("o"))
-    take = lambda y: one.where("y" if y else "not y").orderBy("o", F.xxhash64("text")).limit(max_train).toPandas()
-    sample = pd.concat([take(True), take(False)])
-    y = sample["y"].to_numpy(bool)
-    texts = sample["text"].tolist()
-    chosen = pick_landmarks(texts, y) if y.any() and not y.all() else []
+    crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    one = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), (F.col(label) == 1).alias("y"), crc.alias("o"))
+    keys = one.select("y", "o")
+    last = {y: keys.where("y" if y else "not y").orderBy("o").limit(max_train).agg(F.max("o"), F.count("*")).first() for y in (True, False)}
+    nothing = Machine([], np.zeros(0), -1.0, 1.0, 3.0)
+    if not last[True][1] or not last[False][1]:
+        return nothing
+    sample = cut(one.where(F.when(F.col("y"), F.col("o") <= last[True][0]).otherwise(F.col("o") <= last[False][0])).select("text", "y").repartition(16, F.xxhash64("text")))
+    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_good = sizes[True], sizes[False]
+    words = _telling(_document_counts(sample, None), n_bad, n_good)
+    grams = _telling(_document_counts(sample, frozenset(g for w in words for g in grams_of(w))), n_bad, n_good)
+    chosen = pick_landmarks(words, grams)
     if not chosen:
-        return Machine([], np.zeros(0), -1.0, 1.0, 3.0)
-    features = Features(chosen)
-    of, x = features.sentences(texts)
-    gram = kernels_between(chosen)
+        return nothing
+    told = frozenset(words)
+    machine = _fitted(sample, chosen, told)
+    counter = [w for w in _near_misses(sample, machine) if w not in chosen]
+    if counter:
+        machine = _fitted(sample, chosen + counter, told)
+    margins = score(sample, "text", machine._replace(slope=1.0, shift=0.0)).select("y", F.ln(F.col("score") / (1 - F.col("score"))).alias("m")).toPandas()
+    slope, shift = platt(margins["m"].to_numpy(float), margins["y"].to_numpy(bool))
+    return machine._replace(slope=slope, shift=shift)
+
+
+def _fitted(sample: DataFrame, landmarks: list[str], told: frozenset[str]) -> Machine:
+    x, y = _sentence_rows(sample, landmarks, told)
+    gram = kernels_between(landmarks)
     values, vectors = np.linalg.eigh(gram)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    z = x @ root
-    w, b = np.zeros(z.shape[1]), -1.0
-    pick = x.sum(axis=1)
-    for _ in range(4):
-        rows = _instances(of, pick, y)
-        zi = np.vstack([z[rows], np.zeros((1, z.shape[1]))])
-        si = np.append(np.where(y[of[rows]], 1.0, -1.0), -1.0)
-        many = max(1.0, float((~y).sum()))
-        ci = np.append(np.where(si[:-1] > 0, many / max(1.0, (si > 0).sum()), 1.0), many / 4)
-        w, b = fit_svm(zi, si, ci)
-        pick = z @ w + b
-    margin = np.full(len(y), b)
-    np.maximum.at(margin, of, pick)
-    slope, shift = platt(margin, y)
-    return Machine(chosen, root @ w, b, slope, shift)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    z = np.vstack([x @ root, np.zeros((1, len(landmarks)))])
+    sign = np.append(np.where(y, 1.0, -1.0), -1.0)
+    cost = np.append(np.where(y, 1.0, CLEAN_COST), max(1.0, float(len(y))) / 4)
+    w, b = fit_svm(z, sign, cost)
+    return Machine(landmarks, root @ w, b, 1.0, 0.0)
 
 
 def kernels_between(landmarks: list[str]) -> np.ndarray:
@@ -225,15 +313,7 @@ def kernels_between(landmarks: list[str]) -> np.ndarray:
     return (subsequence_kernel(codes[i], codes[j]) / np.sqrt(own[i] * own[j])).reshape(len(landmarks), -1)
 
 
-def _instances(of: np.ndarray, value: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Each toxic text's best sentence and all of the others' sentences."""
-    order = np.lexsort((-value, of))
-    first = np.ones(len(order), bool)
-    first[1:] = of[order[1:]] != of[order[:-1]]
-    return np.sort(order[first | ~y[of[order]]])
-
-
-def fit_svm(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, penalty: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, penalty: float = 1e-5, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Weighted squared-hinge linear machine by full-batch accelerated gradient steps."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     cost = cost / cost.sum()
@@ -265,7 +345,7 @@ def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def score_texts(machine: Machine, features: Features, texts: list[str | None]) -> np.ndarray:
     margin = np.full(len(texts), machine.bias)
     if machine.landmarks:
-        of, x = features.sentences(texts)
+        of, x, _ = features.sentences(texts)
         np.maximum.at(margin, of, x @ machine.weights + machine.bias)
     return 1 / (1 + np.exp(-np.clip(machine.slope * margin + machine.shift if machine.landmarks else np.full(len(texts), -3.0), -30, 30)))
 
