@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: ends before a chunk's end.
 CHUNK, OVERLAP, MARGIN = 32768, 2048, 3
 #: Distinct pieces whose tokens a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class Codec:

@@ -33,7 +33,7 @@ MISS = 1e-12
 #: Hashes that are tried before signatures of no n-gram are used, and largest groups that are expanded into all pairs.
 TRIES, SMALL = 3, 6
 #: Bytes of text that are hashed in one go at most (one text is never cut), and members compared with a hub by one task.
-SLICE, CHUNK = 1 << 20, 256
+SLICE, CHUNK = 1 << 18, 256
 #: Members of a large group that are compared with one another, or with as many others, by one task.
 BLOCK, CLASSES = 4096, 16
 #: Counters of a sketch; bits of the map that lets most texts without candidates stay where they are.

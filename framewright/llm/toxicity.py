@@ -26,19 +26,21 @@ ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
 WIDTH = 16
 #: Landmarks at most, their lengths, how many each telling word is given, and landmarks that are clean words at most.
-LANDMARKS, GRAMS, COVER, COUNTER = 64, (4, 5, 6, 7, 8), 2, 32
+LANDMARKS, GRAMS, COVER, COUNTER = 96, (4, 5, 6, 7, 8), 2, 32
 #: Share of the toxic documents that must hold a telling word, and how much more often than others they do.
 SUPPORT, LIFT = 0.008, 20
 #: Cost of a clean sentence on the wrong side against that of a toxic one.
-CLEAN_COST = 3.0
+CLEAN_COST = 1.5
 #: Sentences of a clean document that the classifier is fitted on at most: the nearest to landmarks.
 PER_TEXT = 5
 #: Kernels below it count as 0: of words that share few characters with a landmark it is not computed.
 FLOOR = 0.3
+#: Share of a landmark's neighbouring characters that a word must hold, in order and not far apart, to be compared.
+SHARED = 0.5
 #: Labelled documents that the classifier is fitted on at most, of either label.
 MAX_TRAIN = 3000
-#: Words whose kernels a Python worker remembers.
-REMEMBERED = 300_000
+#: Tokens whose kernels a Python worker remembers.
+REMEMBERED = 100_000
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n")
 SIGNS = re.compile(r"[\W_]+")
 SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -53,17 +55,22 @@ class Machine(NamedTuple):
     shift: float
 
 
-def words_of(sentence: str) -> list[str]:
-    """Lower-cased words without outer punctuation, marked at both ends; a word spelled out by spaces is joined, and one
-    with signs inside comes without them too."""
-    if SPELLED.search(sentence):
-        sentence = SPELLED.sub(lambda m: re.sub(r"\s", "", m[0]), sentence)
-    out = []
-    for x in sentence.lower().split():
-        if w := x.strip(TRIM):
-            out.append("^" + w + "$")
-            if not w.isalnum() and (bare := SIGNS.sub("", w)):
-                out.append("^" + bare + "$")
+def prepared(text: str) -> str:
+    """Lower case, with words that are spelled out by spaces joined."""
+    if SPELLED.search(text):
+        text = SPELLED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
+    return text.lower()
+
+
+def words_of(token: str) -> list[str]:
+    """A token of a prepared text as a word marked at both ends, without outer punctuation; one with signs inside also
+    comes without them."""
+    w = token.strip(TRIM)
+    if not w:
+        return []
+    out = ["^" + w + "$"]
+    if not w.isalnum() and (bare := SIGNS.sub("", w)):
+        out.append("^" + bare + "$")
     return out
 
 
@@ -95,9 +102,17 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _masks(codes: np.ndarray) -> np.ndarray:
-    bits = np.where(codes > 0, np.left_shift(np.uint64(1), ((codes * 40503) >> 4 & 63).astype(np.uint64)), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+def _pair_bits(codes: np.ndarray, reach: int) -> np.ndarray:
+    """[rows, 4] of 64 bits: hashes of the characters that stand up to reach places apart, in order."""
+    out = np.zeros((len(codes), 4), np.uint64)
+    row = np.arange(len(codes))
+    for d in range(1, reach + 1):
+        for i in range(codes.shape[1] - d):
+            a, b = codes[:, i].astype(np.int64), codes[:, i + d].astype(np.int64)
+            bit = (a * 40503 + b * 30011 >> 3) & 255
+            own = np.where((a > 0) & (b > 0), np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)), np.uint64(0))
+            out[row, bit >> 6] |= own
+    return out
 
 
 def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -111,9 +126,10 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     if not windows or not landmarks:
         return out
     a, b = _codes(windows, WIDTH), _codes(landmarks, max(map(len, landmarks)))
-    need = np.array([max(2, len(set(x)) - 1) for x in landmarks])
-    common = np.bitwise_count(_masks(a)[:, None] & _masks(b)[None, :])
-    i, j = np.nonzero(common >= np.minimum(need, np.bitwise_count(_masks(b))))
+    bits, marks = _pair_bits(a, 3), _pair_bits(b, 1)
+    need = np.ceil(SHARED * np.bitwise_count(marks).sum(1))
+    near = [np.argwhere(np.bitwise_count(bits[at : at + 2048, None] & marks[None]).sum(2) >= need) + [at, 0] for at in range(0, len(a), 2048)]
+    i, j = np.concatenate(near).T
     self_b = subsequence_kernel(b, b)
     rows = np.unique(i)
     self_a = np.ones(len(a))
@@ -129,39 +145,43 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 class Features:
-    """Kernels of words, remembered, and the features of sentences."""
+    """Kernels of tokens, remembered, and the features of sentences."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.known: dict[str, int] = {}
-        self.values: list[np.ndarray] = []
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known, self.values = {}, []
-        new = sorted(words - self.known.keys())
-        found = kernels(new, self.landmarks)
-        hot = found.any(axis=1)
-        for w, row, h in zip(new, found, hot):
-            if h:
-                self.known[w] = len(self.values)
-                self.values.append(row)
-            else:
-                self.known[w] = -1
+        self.seen: set[str] = set()
+        self.near: dict[str, np.ndarray] = {}  # of tokens that are near a landmark
+
+    def learn(self, tokens: set[str]) -> None:
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.near = set(), {}
+        new = sorted(tokens - self.seen)
+        self.seen.update(new)
+        words = [(t, w) for t in new for w in words_of(t)]
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            found = kernels([w for _, w in part], self.landmarks)
+            for k in np.flatnonzero(found.any(axis=1)).tolist():
+                token = part[k][0]
+                self.near[token] = np.maximum(self.near[token], found[k]) if token in self.near else found[k].copy()
 
     def sentences(self, texts: list[str | None], told: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text of each row, features, holds a word of told) of the sentences that hold a word near a landmark; all
         others are all 0."""
-        split = [[words_of(s) for s in SENTENCES.split(t)] if t else [] for t in texts]
-        self.learn({w for t in split for s in t for w in s})
+        low = [prepared(t) if t else "" for t in texts]
+        tokens = [set(t.split()) for t in low]
+        self.learn(set().union(*tokens))
         of, rows, marked = [], [], []
-        for k, t in enumerate(split):
-            for s in t:
-                near = {x for w in s if (x := self.known[w]) >= 0}
-                if near:
+        for k, t in enumerate(low):
+            hot = tokens[k] & self.near.keys()
+            if not hot:
+                continue
+            for s in SENTENCES.split(t):
+                own = hot.intersection(s.split())
+                if own:
                     of.append(k)
-                    rows.append(np.max([self.values[x] for x in near], axis=0))
-                    marked.append(not told.isdisjoint(s))
+                    rows.append(np.max([self.near[x] for x in own], axis=0))
+                    marked.append(bool(told) and any(w in told for x in own for w in words_of(x)))
         return np.array(of, int), np.array(rows).reshape(len(rows), len(self.landmarks)), np.array(marked, bool)
 
 
@@ -169,7 +189,7 @@ def _document_counts(sample: DataFrame, wanted: frozenset[str] | None) -> DataFr
     """(item, bad, good): how many toxic and other documents hold each word, or each n-gram of words in wanted."""
 
     def items(text: str) -> set[str]:
-        own = {w for s in SENTENCES.split(text) for w in words_of(s)}
+        own = {w for x in set(prepared(text).split()) for w in words_of(x)}
         return own if wanted is None else {g for w in own for g in grams_of(w)} & wanted
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,14 +266,14 @@ def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
             found: Counter[str] = Counter()
             value: dict[str, float] = {}
             for t in pdf["text"]:
-                own = {w for s in SENTENCES.split(t) for w in words_of(s)}
+                own = set(prepared(t).split())
                 features.learn(own)
-                for w in own:
-                    if (k := features.known[w]) >= 0:
-                        m = float(features.values[k] @ machine.weights + machine.bias)
-                        if m > -0.5:
-                            found[w] += 1
-                            value[w] = m
+                for x in own & features.near.keys():
+                    m = float(features.near[x] @ machine.weights + machine.bias)
+                    if m > -0.5:
+                        w = words_of(x)[-1]
+                        found[w] += 1
+                        value[w] = max(m, value.get(w, m))
             yield pd.DataFrame({"w": pd.Series(list(found), dtype=object), "m": np.array([value[w] for w in found], float), "n": np.array(list(found.values()), np.int64)})
 
     rows = sample.where("not y").select("text").mapInPandas(run, "w string, m double, n long").groupBy("w").agg(F.max("m").alias("m"), F.sum("n").alias("n"))
