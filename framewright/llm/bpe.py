@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Code points of a chunk and of the overlap with the next; the pattern never looks more than MARGIN past a match that
 #: ends before a chunk's end.
 CHUNK, OVERLAP, MARGIN = 32768, 2048, 3
@@ -129,6 +131,7 @@ def encode(docs: DataFrame, text: str, path: str, pattern: str, to: str = "ids",
     space that fills an overlap) are encoded as one piece. Repeated rows stay; an empty table stays empty. A column of
     docs named like to is replaced. path is that of the rank file on every worker.
     """
+    small_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.withColumn("__text", whole).drop(text, to)
     encoder = lambda xs: [codec(path, pattern).encode(x) for x in xs]

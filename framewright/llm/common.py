@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: a Python worker is to hold about a thousand of them at once, unless a session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z only; other letters keep their case."""
     return F.translate(text, UPPER, UPPER.lower())

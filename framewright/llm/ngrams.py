@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .graph import connected_components
 
 #: Pieces of each part; subsets leave out one of them.
@@ -387,6 +387,7 @@ def components(docs: DataFrame, key: str, text: str, n: int = 5, threshold: int
     row whose key is null unless linked to others, and then it has their smallest key. Equal texts are one set and
     meet again at the end, repeated rows too. Whole texts of any length count. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("sid", F.xxhash64("text"))
     sized = cut(set_sizes(rows, n))
     sets = sized.where("n > 0").groupBy("sid").agg(F.min("doc").alias("least"))

@@ -34,7 +34,7 @@ def toxicity_machine(spark: SparkSession, sf_dir: str) -> toxicity.Machine:
     """The classifier that documents and labels of sf_dir give, without the rows held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.train(docs.join(labels, "doc_id"), "text", "toxic", "doc_id")
+    return toxicity.train(docs, labels, "doc_id", "text", "toxic")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

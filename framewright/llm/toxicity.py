@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
 WIDTH = 16
 #: Landmarks at most, their lengths, how many each telling word is given, and landmarks that are clean words at most.
-LANDMARKS, GRAMS, COVER, COUNTER = 96, (4, 5, 6, 7, 8), 2, 32
+LANDMARKS, GRAMS, COVER, COUNTER = 64, (4, 5, 6, 7, 8), 1, 20
 #: Share of the toxic documents that must hold a telling word, and how much more often than others they do.
 SUPPORT, LIFT = 0.008, 20
 #: Cost of a clean sentence on the wrong side against that of a toxic one.
@@ -36,11 +36,11 @@ PER_TEXT = 5
 #: Kernels below it count as 0: of words that share few characters with a landmark it is not computed.
 FLOOR = 0.3
 #: Share of a landmark's neighbouring characters that a word must hold, in order and not far apart, to be compared.
-SHARED = 0.5
+SHARED = 0.6
 #: Labelled documents that the classifier is fitted on at most, of either label.
-MAX_TRAIN = 3000
+MAX_TRAIN = 1500
 #: Tokens whose kernels a Python worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n")
 SIGNS = re.compile(r"[\W_]+")
 SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -85,19 +85,20 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The kernel of a[i] with b[i], rows of character codes padded with 0: the usual recursion, over all rows at once."""
     n, la = a.shape
     lb = b.shape[1]
-    inner = np.ones((la + 1, lb + 1, n))
-    total = np.zeros(n)
+    inner = np.ones((la + 1, lb + 1, n), np.float32)
+    total = np.zeros(n, np.float32)
     for order in range(1, ORDER + 1):
-        new = np.zeros((la + 1, lb + 1, n))
+        new = np.zeros((la + 1, lb + 1, n), np.float32)
         for i in range(1, la + 1):
-            run = np.zeros(n)
+            run = np.zeros(n, np.float32)
             for j in range(1, lb + 1):
                 same = (a[:, i - 1] == b[:, j - 1]) & (a[:, i - 1] > 0)
-                hit = np.where(same, DECAY * DECAY * inner[i - 1, j - 1], 0.0)
+                hit = inner[i - 1, j - 1] * (same * np.float32(DECAY * DECAY))
                 if order == ORDER:
                     total += hit
-                run = DECAY * run + hit
-                new[i, j] = DECAY * new[i - 1, j] + run
+                if order < ORDER:
+                    run = np.float32(DECAY) * run + hit
+                    new[i, j] = np.float32(DECAY) * new[i - 1, j] + run
         inner = new
     return total
 
@@ -137,9 +138,12 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
         own = rows[at : at + 4096]
         self_a[own] = subsequence_kernel(a[own], a[own])
     of = np.array(of)
+    long = (a > 0).sum(1)
+    by_length = np.argsort(long[i], kind="stable")
+    i, j = i[by_length], j[by_length]
     for at in range(0, len(i), 4096):
         p, q = i[at : at + 4096], j[at : at + 4096]
-        value = subsequence_kernel(a[p], b[q]) / np.sqrt(np.maximum(self_a[p] * self_b[q], 1e-12))
+        value = subsequence_kernel(a[p][:, : long[p[-1]]], b[q]) / np.sqrt(np.maximum(self_a[p] * self_b[q], 1e-12))
         np.maximum.at(out, (of[p], q), np.where(value >= FLOOR, value, 0.0))
     return out
 
@@ -281,24 +285,29 @@ def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
     return [r["w"][:WIDTH] for r in worst]
 
 
-def train(labelled: DataFrame, text: str, label: str, key: str, max_train: int = MAX_TRAIN) -> Machine:
-    """Fits on max_train documents of each label or hardly more, by the order of the key's CRC-32; the bound is this
-    parameter. Null labels and texts are left out. Without both labels the machine says 0 for all.
+def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_train: int = MAX_TRAIN) -> Machine:
+    """Fits on docs (key, text) whose labels (key, label) are 0 or 1: on max_train documents of each label or hardly more,
+    by the order of the key's CRC-32; the bound is this parameter. Null labels, keys and texts are left out. Without
+    both labels the machine says 0 for all.
 
     Labels are of documents. A toxic document's sentences count as toxic if they hold a word that tells toxic documents
     from others, so that wrong labels teach little; sentences of other documents count as clean. After a first fit the
     clean words that look most toxic become landmarks as well.
     """
-    crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    one = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), (F.col(label) == 1).alias("y"), crc.alias("o"))
-    keys = one.select("y", "o")
-    last = {y: keys.where("y" if y else "not y").orderBy("o").limit(max_train).agg(F.max("o"), F.count("*")).first() for y in (True, False)}
+    crc = F.crc32(F.col(key).cast("string"))
+    keys = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key), (F.col(label) == 1).alias("y"), crc.alias("o"))
+    last = {y: keys.where("y" if y else "not y").select("o").orderBy("o").limit(max_train).agg(F.max("o"), F.count("*")).first() for y in (True, False)}
     nothing = Machine([], np.zeros(0), -1.0, 1.0, 3.0)
     if not last[True][1] or not last[False][1]:
         return nothing
-    sample = cut(one.where(F.when(F.col("y"), F.col("o") <= last[True][0]).otherwise(F.col("o") <= last[False][0])).select("text", "y").repartition(16, F.xxhash64("text")))
+    # 2 * max_train keys: small enough to be broadcast, so that no text but theirs is moved.
+    picked = keys.where(F.when(F.col("y"), F.col("o") <= last[True][0]).otherwise(F.col("o") <= last[False][0])).select(key, "y").distinct()
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).cast("string").alias("text"))
+    sample = cut(own.join(F.broadcast(picked), key).select("text", "y").repartition(16, F.xxhash64("text")))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_bad, n_good = sizes[True], sizes[False]
+    n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)
+    if not n_bad or not n_good:
+        return nothing
     words = _telling(_document_counts(sample, None), n_bad, n_good)
     grams = _telling(_document_counts(sample, frozenset(g for w in words for g in grams_of(w))), n_bad, n_good)
     chosen = pick_landmarks(words, grams)
@@ -379,6 +388,7 @@ def score(docs: DataFrame, text: str, machine: Machine, to: str = "score", keep_
     Null and empty texts get the score of a text without any suspect word. Repeated rows get equal scores; an empty
     table stays empty. A column of docs named like to is replaced.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop(to)
     kept = rows if keep_text else rows.drop(text)
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes) + f", `{to}` double"
