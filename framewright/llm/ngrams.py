@@ -494,15 +494,16 @@ def join_documents(docs: DataFrame, key: str, text: str, n: int = 5, threshold:
     Rows are found again by key and text, so that rows that share a key keep apart.
     """
     found = components(docs, key, text, n, threshold).dropDuplicates(["doc", "sid"])
+    found = found.select(F.col("doc").alias("__doc"), F.col("sid").alias("__found"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     rows = docs.drop("n_shingles", "component_id").withColumn("__sid", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    same = rows["__sid"].eqNullSafe(found["sid"]) & rows[key].eqNullSafe(found["doc"])
-    return rows.join(found, same).withColumnsRenamed({"n": "n_shingles", "component": "component_id"}).drop("__sid", "sid", "doc")
+    same = (rows["__sid"] == found["__found"]) & rows[key].eqNullSafe(found["__doc"])
+    return rows.join(found, same).drop("__sid", "__found", "__doc")
 
 
 def keep_one(docs: DataFrame, key: str, text: str, n: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs that lead their component: those whose key is its smallest. All columns of docs stay as they are.
 
-    Rows without n-grams are kept all. Rows with a null key stay only where no linked row has a key.
+    Rows without n-grams are kept all; so are rows that repeat the leading row's key and text. Rows with a null key stay only where no linked row has a key.
     """
     columns = docs.columns
     found = join_documents(docs, key, text, n, threshold)
