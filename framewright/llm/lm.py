@@ -4,44 +4,39 @@ A target and a background bigram model share one vocabulary and one form: interp
 frequency with the smoothed unigram. A document's score is the mean over its tokens of the target's loss less the
 background's (in nats): the lower, the more it is like the target.
 
-Counts cover every document. Words and bigrams below a fixed share of all background tokens are left to the unknown
-word and to the unigrams; as the shares of all sum to 1, at most 1 / share of them remain at any size of the corpus,
-which bounds what is broadcast.
+Counts cover every word and every bigram of both corpora; none is too rare. They are Spark tables that grow with the
+corpus, and documents are scored by joining their words and bigrams to them: nothing is broadcast or sent to the driver.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-#: Least share of the background's tokens for a word, and for a bigram, to be in the models.
-WORD_SHARE, PAIR_SHARE = 2e-6, 2e-6
-#: Different words, and a tenth of the bigrams, that a task counts before it passes them on.
-GATHERED = 200_000
+#: Bigrams that a task gathers before it counts them and passes them on.
+GATHERED = 2_000_000
 #: Weight of the bigram against the unigram, and the unigram's added count.
 BLEND, ADDED = 0.6, 0.1
+#: The mark before a text's first word, and what stands for the second word in the code of a single word.
+START, ALONE = 0, 0
+#: Gains are whole numbers of this part of a nat, so that sums don't depend on the order of rows.
+UNIT = 2.0**-32
 
 
 class Model(NamedTuple):
-    """words: to ids from 1 (0: unknown; the count of ids also marks the start). pairs: sorted codes of bigrams.
+    """gains: (code, second, first), a word's or bigram's part of the difference of losses, in UNITs, each time it is
+    a second word (or a bigram), and a first word. unknown: the difference for a word that neither corpus holds."""
 
-    unigram: [2, ids + 1] log probabilities need no context; first, pair: counts that bigrams are taken from.
-    Index 0 is the target, 1 the background.
-    """
-
-    words: dict[str, int]
-    unigram: np.ndarray
-    first: np.ndarray
-    pairs: np.ndarray
-    pair: np.ndarray
+    gains: DataFrame
+    unknown: float
 
 
 def tokens(text: str | None) -> list[str]:
@@ -49,127 +44,125 @@ def tokens(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def _word_counts(texts: DataFrame, text: str) -> DataFrame:
-    def out(found: Counter[str]) -> pd.DataFrame:
-        return pd.DataFrame({"word": list(found), "n": list(found.values())}, columns=["word", "n"]).astype({"word": object, "n": np.int64})
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[str] = Counter()
-        for pdf in batches:
-            for t in pdf.iloc[:, 0]:
-                found.update(tokens(t))
-                if len(found) > GATHERED:
-                    yield out(found)
-                    found = Counter()
-        yield out(found)
+def neighbours(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, second) of every token: the index of its text, and the hashes of the word before and its own."""
+    found = [tokens(t) for t in texts]
+    lengths = np.array([len(x) for x in found], np.int64)
+    flat = np.array(list(chain.from_iterable(found)), object)
+    second = pd.util.hash_array(flat).view(np.int64) if len(flat) else np.empty(0, np.int64)
+    first = np.roll(second, 1)
+    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+    return np.repeat(np.arange(len(texts)), lengths), first, second
 
-    return texts.select(text).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of one of each group of equal rows, and how many the group has."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= np.diff(c[order]) != 0
+    at = np.flatnonzero(new)
+    return order[at], np.diff(np.append(at, len(order)))
 
-def _ids(words: dict[str, int], text: str | None) -> np.ndarray:
-    """The ids of a text's words after the mark of the start."""
-    found = tokens(text)
-    out = np.empty(len(found) + 1, np.int64)
-    out[0] = len(words) + 1
-    out[1:] = [words.get(w, 0) for w in found]
-    return out
 
+def _pair_counts(texts: DataFrame, text: str, to: str) -> DataFrame:
+    """(first, second, background, target): counts of bigrams, those of texts in column to."""
+    schema = "first long, second long, background long, target long"
 
-def _pair_counts(texts: DataFrame, text: str, words) -> DataFrame:
-    """Counts of neighbouring ids as first * size + second."""
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*held) if held else ([], [])))
+        at, n = grouped(a, b)
+        return pd.DataFrame({"first": a[at], "second": b[at], "background": 0, "target": 0}).assign(**{to: n})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = words.value
-        size = len(known) + 2
-        codes, held = [np.empty(0, np.int64)], 0
+        held, n = [], 0
         for pdf in batches:
-            for x in (_ids(known, t) for t in pdf.iloc[:, 0]):
-                codes.append(x[:-1] * size + x[1:])
-                held += len(x)
-            if held > 10 * GATHERED:
-                yield counted(codes)
-                codes, held = [np.empty(0, np.int64)], 0
-        yield counted(codes)
+            _, a, b = neighbours(pdf.iloc[:, 0].tolist())
+            held.append((a, b))
+            n += len(a)
+            if n > GATHERED:
+                yield counted(held)
+                held, n = [], 0
+        yield counted(held)
+
+    return texts.select(F.col(text).cast("string")).mapInPandas(count, schema)
 
-    def counted(codes: list[np.ndarray]) -> pd.DataFrame:
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
-        return pd.DataFrame({"code": code, "n": n.astype(np.int64)})
 
-    return texts.select(text).mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def code(first: Column, second: Column) -> Column:
+    """Of a bigram, or of a word with ALONE."""
+    return F.xxhash64(first.cast("bigint"), second.cast("bigint"))
 
 
-def train(background: DataFrame, target: DataFrame, text: str, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Model:
+def train(background: DataFrame, target: DataFrame, text: str) -> Model:
     """Counts both corpora and builds the two matched models. Both tables have the column text; either may be empty.
 
-    What reaches the driver is bounded: at most 1 / word_share words and 1 / pair_share bigrams.
+    Without its bigram a token's chance is that of its word, times 1 - BLEND where the model has seen the word before.
+    So the difference of losses is a sum of parts of the word before, of the word and of the bigram, each looked up by
+    its own code. A word's identity is a 64-bit hash, a bigram's one of two of them.
     """
-    spark = background.sparkSession
-    small_batches(spark)
-
-
-    counted = cut(_word_counts(background, text))
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = counted.where(F.col("n") >= F.lit(max(2.0, word_share * total))).select("word", "n")
-    kept = sorted((r.word, r.n) for r in frequent.toLocalIterator())
-    words = {w: i + 1 for i, (w, _) in enumerate(kept)}
-    size = len(words) + 2
-    shared = spark.sparkContext.broadcast(words)
-    pairs = cut(_pair_counts(background, text, shared))
-    often = pairs.where(F.col("n") >= F.lit(max(2.0, pair_share * total))).orderBy("code").toPandas() if total else pd.DataFrame({"code": [], "n": []})
-    codes = often["code"].to_numpy(np.int64)
-    mine = pairs.sparkSession.createDataFrame([], "code long, n long")
-    aimed = cut(_pair_counts(target, text, shared))
-    inside = aimed.join(F.broadcast(pairs.where(F.col("n") >= F.lit(max(2.0, pair_share * total))).select("code")), "code", "left_semi") if len(codes) else mine
-    aim = dict(map(tuple, inside.toPandas().to_numpy()))
-    pair = np.stack([np.array([aim.get(c, 0) for c in codes.tolist()], float), often["n"].to_numpy(float)])
-    single = lambda df, of: df.groupBy(of.alias("id")).agg(F.sum("n").alias("n")).toPandas()
-    first, second = np.zeros((2, size)), np.zeros((2, size))
-    for k, df in enumerate((aimed, pairs)):
-        for out, of in ((first, F.expr(f"code div {size}")), (second, F.col("code") % size)):
-            got = single(df, of)
-            out[k, got["id"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    unigram = (second + ADDED) / (second.sum(1, keepdims=True) + ADDED * (size - 1))
-    return Model(words, unigram, first, codes, pair)
-
-
-def score_texts(model: Model, texts: list[str | None]) -> tuple[list[float], list[int]]:
-    """The mean difference of losses of each text and its number of tokens; without tokens 0."""
-    size = len(model.words) + 2
-    ids = [_ids(model.words, t) for t in texts]
-    lengths = np.array([len(x) - 1 for x in ids])
-    if not lengths.sum():
-        return [0.0] * len(texts), lengths.tolist()
-    before, after = np.concatenate([x[:-1] for x in ids]), np.concatenate([x[1:] for x in ids])
-    chance = model.unigram[:, after]
-    if len(model.pairs):
-        code = before * size + after
-        at = np.minimum(np.searchsorted(model.pairs, code), len(model.pairs) - 1)
-        seen = np.where(model.pairs[at] == code, model.pair[:, at], 0.0)
-    else:
-        seen = np.zeros_like(chance)
-    of = model.first[:, before]
-    chance = np.where(of > 0, BLEND * seen / np.maximum(of, 1) + (1 - BLEND) * chance, chance)
-    loss = -np.log(chance)
-    diff = np.concatenate([[0.0], np.cumsum(loss[0] - loss[1])])
-    ends = np.cumsum(lengths)
-    return ((diff[ends] - diff[ends - lengths]) / np.maximum(lengths, 1)).tolist(), lengths.tolist()
+    small_batches(background.sparkSession)
+    both = _pair_counts(background, text, "background").unionByName(_pair_counts(target, text, "target"))
+    pairs = cut(both.groupBy("first", "second").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    none = F.lit(0).cast("bigint")
+    ends = pairs.select(F.col("first").alias("word"), F.col("background").alias("fb"), F.col("target").alias("ft"), none.alias("sb"), none.alias("st")).unionByName(
+        pairs.select(F.col("second").alias("word"), none.alias("fb"), none.alias("ft"), F.col("background").alias("sb"), F.col("target").alias("st"))
+    )
+    words = cut(ends.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("fb", "ft", "sb", "st")]))
+    seen = words.agg(F.count(F.when(F.col("sb") + F.col("st") > 0, 1)), F.coalesce(F.sum("sb"), none), F.coalesce(F.sum("st"), none)).first()
+    mass_b, mass_t = (float(n + ADDED * (seen[0] + 1)) for n in seen[1:])
+    units = lambda c: F.round(c / UNIT).cast("bigint")
+    before = lambda c: F.when(F.col(c) > 0, F.lit(float(np.log(1 - BLEND)))).otherwise(0.0)
+    single = words.select(code(F.col("word"), F.lit(ALONE)).alias("code"), units(F.log((F.col("sb") + ADDED) / (F.col("st") + ADDED))).alias("second"), units(before("fb") - before("ft")).alias("first"))
+    known = pairs.join(words.select(F.col("word").alias("first"), "fb", "ft"), "first").join(words.select(F.col("word").alias("second"), "sb", "st"), "second")
+    # How much more likely the bigram makes the word than the rest of the blend alone.
+    more = lambda n, f, s, mass: F.log1p(BLEND / (1 - BLEND) * mass * F.col(n) / (F.greatest(F.col(f), F.lit(1)) * (F.col(s) + ADDED)))
+    double = known.select(code(F.col("first"), F.col("second")).alias("code"), units(more("background", "fb", "sb", mass_b) - more("target", "ft", "st", mass_t)).alias("second"), none.alias("first"))
+    return Model(cut(single.unionByName(double)), float(np.log(mass_t / mass_b)))
+
+
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """(key, code, second, first): how often each bigram and word is in the texts of a key. The start counts as the
+    second word of every token, which is worth nothing, and as a first word once a text."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            of, a, b = neighbours(pdf["text"].tolist())
+            if not len(of):
+                continue
+            key = pdf["key"].to_numpy(np.int64)[of]
+            at, n = grouped(key, a, b)
+            yield pd.DataFrame({"key": key[at], "a": a[at], "b": b[at], "second": n, "first": 0})
+            at, n = grouped(key, b)
+            word, own = key[at], b[at]
+            last = np.append(of[1:] != of[:-1], True)
+            ends = pd.DataFrame({"key": key[last], "a": b[last]}).assign(first=-1)
+            starts = pd.DataFrame({"key": key[last], "a": START, "second": np.diff(np.append(-1, np.flatnonzero(last)))}).assign(first=1)
+            rows = pd.concat([pd.DataFrame({"key": word, "a": own, "second": n, "first": n}), ends.assign(second=0), starts])
+            yield rows.groupby(["key", "a"], as_index=False)[["second", "first"]].sum().assign(b=ALONE)
+
+    found = texts.mapInPandas(count, "key long, a long, b long, second int, first int")
+    return found.select("key", code(F.col("a"), F.col("b")).alias("code"), "second", "first")
 
 
 def score(docs: DataFrame, text: str, model: Model, to: str = "ce_diff", count: str = "n_tokens") -> DataFrame:
     """Adds to (double) and count (long) to every row and leaves text out; other columns stay.
 
     Null and empty texts have no tokens and score 0; texts are scored whole. Repeated rows get equal scores; an empty
-    table stays empty. Columns of docs named like the new ones are replaced.
+    table stays empty. Columns of docs named like the new ones are replaced. Equal texts are scored together, under the
+    64-bit hash of the text.
     """
-    rows = docs.drop(to, count)
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.drop(text).dtypes) + f", `{to}` double, `{count}` long"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                value, n = score_texts(shared.value, part[text].tolist())
-                yield part.drop(columns=text).assign(**{to: value, count: n})
-
-    return rows.mapInPandas(run, schema)
+    small_batches(docs.sparkSession)
+    whole = F.col(text).cast("string")
+    key = F.xxhash64(whole)
+    gains = model.gains.select("code", F.col("second").alias("gs"), F.col("first").alias("gf"))
+    found = _occurrences(docs.where(whole.isNotNull()).select(key.alias("key"), whole.alias("text"))).join(gains, "code", "left")
+    start = F.col("code") == code(F.lit(START), F.lit(ALONE))
+    sums = found.groupBy(F.col("key").alias("__key")).agg(
+        F.sum(F.col("second") * F.coalesce("gs", F.lit(0)) + F.col("first") * F.coalesce("gf", F.lit(0))).alias("__units"),
+        F.sum(F.when(start, F.col("second").cast("bigint"))).alias("__tokens"),
+        F.sum(F.when(start, F.col("first").cast("bigint"))).alias("__texts"),
+    )
+    rows = docs.drop(to, count).withColumn("__key", key).drop(text).join(sums, "__key", "left")
+    value = F.col("__units") * UNIT / F.col("__tokens") + model.unknown
+    return rows.withColumns({to: F.coalesce(value, F.lit(0.0)), count: F.coalesce(F.expr("__tokens div __texts"), F.lit(0).cast("bigint"))}).drop("__key", "__units", "__tokens", "__texts")

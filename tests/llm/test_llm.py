@@ -172,3 +172,41 @@ def test_pipeline_stages_keep_columns(spark):
         assert out.columns == docs.columns, name
         assert out.count() <= docs.count()
     assert "ids" in corpus_pipeline.STAGES[4][1](spark, docs, SF).columns
+
+
+def brute_lm(background, target, asked):
+    """Differences of losses with all words and bigrams, straight from the definition."""
+    counts = []
+    for texts in (target, background):
+        pair, first, second = {}, {}, {}
+        for t in texts:
+            w = [None, *(t or "").lower().split()]
+            for a, b in zip(w, w[1:]):
+                pair[a, b] = pair.get((a, b), 0) + 1
+                first[a] = first.get(a, 0) + 1
+                second[b] = second.get(b, 0) + 1
+        counts.append((pair, first, second))
+    size = len(counts[0][2].keys() | counts[1][2].keys()) + 1
+
+    def loss(pair, first, second, a, b):
+        chance = (second.get(b, 0) + lm.ADDED) / (sum(second.values()) + lm.ADDED * size)
+        return -np.log(lm.BLEND * pair.get((a, b), 0) / first[a] + (1 - lm.BLEND) * chance if first.get(a) else chance)
+
+    out = []
+    for t in asked:
+        w = [None, *(t or "").lower().split()]
+        out.append((float(np.mean([loss(*counts[0], a, b) - loss(*counts[1], a, b) for a, b in zip(w, w[1:])])) if len(w) > 1 else 0.0, len(w) - 1))
+    return out
+
+
+def test_lm_counts_rare_words_and_pairs(spark):
+    rng = np.random.default_rng(11)
+    back = [" ".join(f"w{x}" for x in rng.zipf(1.3, 40) % 5000) for _ in range(120)] + ["rare words once", None, "", "hot " * 3000]
+    target = [*back[:20], "rare words once", "only here"]
+    asked = [*back, *target, "unseen words only", "rare words once", "w1 unseen w2", "W1\tw1 w2"]
+    table = lambda xs: spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "k int, text string")
+    got = lm.score(table(asked), "text", lm.train(table(back), table(target), "text")).orderBy("k").collect()
+    want = brute_lm(back, target, asked)
+    assert [r.n_tokens for r in got] == [n for _, n in want]
+    assert np.allclose([r.ce_diff for r in got], [x for x, _ in want], atol=1e-8)
+    assert lm.score(table(asked), "text", lm.train(table([]), table([]), "text")).where("abs(ce_diff) > 1e-9").count() == 0
