@@ -26,7 +26,7 @@ ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
 WIDTH = 16
 #: Landmarks at most, their lengths, how many each telling word is given, and landmarks that are clean words at most.
-LANDMARKS, GRAMS, COVER, COUNTER = 64, (4, 5, 6, 7, 8), 1, 20
+LANDMARKS, GRAMS, COVER, COUNTER = 96, (4, 5, 6, 7, 8), 2, 32
 #: Share of the toxic documents that must hold a telling word, and how much more often than others they do.
 SUPPORT, LIFT = 0.008, 20
 #: Cost of a clean sentence on the wrong side against that of a toxic one.
@@ -36,9 +36,9 @@ PER_TEXT = 5
 #: Kernels below it count as 0: of words that share few characters with a landmark it is not computed.
 FLOOR = 0.3
 #: Share of a landmark's neighbouring characters that a word must hold, in order and not far apart, to be compared.
-SHARED = 0.6
+SHARED = 0.5
 #: Labelled documents that the classifier is fitted on at most, of either label.
-MAX_TRAIN = 1500
+MAX_TRAIN = 3000
 #: Tokens whose kernels a Python worker remembers.
 REMEMBERED = 60_000
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n")

@@ -210,3 +210,10 @@ def test_lm_counts_rare_words_and_pairs(spark):
     assert [r.n_tokens for r in got] == [n for _, n in want]
     assert np.allclose([r.ce_diff for r in got], [x for x, _ in want], atol=1e-8)
     assert lm.score(table(asked), "text", lm.train(table([]), table([]), "text")).where("abs(ce_diff) > 1e-9").count() == 0
+
+
+def test_every_telling_word_has_two_landmarks():
+    words = {f"^{w}$": 9 for w in ("blorkhead", "quimbly", "snarvot")}
+    grams = {g: 9 for w in words for g in toxicity.grams_of(w)}
+    chosen = toxicity.pick_landmarks(words, grams)
+    assert all(sum(g in w for g in chosen) >= 2 for w in words)
