@@ -33,8 +33,6 @@ SUPPORT, LIFT = 0.008, 20
 CLEAN_COST = 1.5
 #: Sentences of a clean document that the classifier is fitted on at most: the nearest to landmarks.
 PER_TEXT = 5
-#: Kernels below it count as 0: of words that share few characters with a landmark it is not computed.
-FLOOR = 0.3
 #: Share of a landmark's neighbouring characters that a word must hold, in order and not far apart, to be compared.
 SHARED = 0.5
 #: Labelled documents that the classifier is fitted on at most, of either label.
@@ -117,13 +115,14 @@ def _pair_bits(codes: np.ndarray, reach: int) -> np.ndarray:
 
 
 def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """[words, landmarks]: normalised kernels, 0 below FLOOR. A long word's is the largest of its windows'."""
+    """[words, landmarks]: normalised kernels, however small; 0 where SHARED is not met. A long word's is the largest of
+    its windows'."""
     windows, of = [], []
     for i, w in enumerate(words):
         for at in range(0, max(1, len(w) - WIDTH // 2), WIDTH // 2) if len(w) > WIDTH else (0,):
             windows.append(w[at : at + WIDTH])
             of.append(i)
-    out = np.zeros((len(words), len(landmarks)))
+    out = np.zeros((len(words), len(landmarks)), np.float32)
     if not windows or not landmarks:
         return out
     a, b = _codes(windows, WIDTH), _codes(landmarks, max(map(len, landmarks)))
@@ -144,7 +143,7 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     for at in range(0, len(i), 4096):
         p, q = i[at : at + 4096], j[at : at + 4096]
         value = subsequence_kernel(a[p][:, : long[p[-1]]], b[q]) / np.sqrt(np.maximum(self_a[p] * self_b[q], 1e-12))
-        np.maximum.at(out, (of[p], q), np.where(value >= FLOOR, value, 0.0))
+        np.maximum.at(out, (of[p], q), value)
     return out
 
 

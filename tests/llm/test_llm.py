@@ -217,3 +217,21 @@ def test_every_telling_word_has_two_landmarks():
     grams = {g: 9 for w in words for g in toxicity.grams_of(w)}
     chosen = toxicity.pick_landmarks(words, grams)
     assert all(sum(g in w for g in chosen) >= 2 for w in words)
+
+
+def test_kernel_tolerates_inserted_letters():
+    grams = ["blor", "orkhe", "rkhead", "blorkhea"]
+    for gap in ("x", "xy"):
+        word = "^" + gap.join("blorkhead") + "$"
+        got = toxicity.kernels([word], grams)[0]
+        for g, value in zip(grams, got):
+            best = 0.0
+            for at in range(0, max(1, len(word) - toxicity.WIDTH // 2), toxicity.WIDTH // 2) if len(word) > toxicity.WIDTH else (0,):
+                a, b = (toxicity._codes([x], toxicity.WIDTH) for x in (word[at : at + toxicity.WIDTH], g))
+                k = toxicity.subsequence_kernel
+                best = max(best, float(k(a, b)[0] / np.sqrt(k(a, a)[0] * k(b, b)[0])))
+            # The filter may leave a landmark out, but what it compares keeps its value.
+            assert np.isclose(value, best, atol=1e-6) or value == 0.0
+        assert got.max() > 0.0
+    two = toxicity.kernels(["^bxlxorkhead$"], ["blor"])[0, 0]
+    assert 0.0 < two < 0.3
