@@ -10,6 +10,7 @@ trained by labelled sentences.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_batches
@@ -25,17 +26,19 @@ from .common import cut, small_batches
 ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
 WIDTH = 16
-#: Landmarks at most, their lengths, how many each telling word is given, and landmarks that are clean words at most.
-LANDMARKS, GRAMS, COVER, COUNTER = 96, (4, 5, 6, 7, 8), 2, 32
-#: Share of the toxic documents that must hold a telling word, and how much more often than others they do.
-SUPPORT, LIFT = 0.008, 20
+#: Lengths of landmarks, how many each telling word is given, and landmarks that are clean words at most.
+GRAMS, COVER, COUNTER = (4, 5, 6, 7, 8), 2, 32
+#: Toxic documents that must hold a telling word, at any size, and how much more often than others they do.
+SUPPORT, LIFT = 3, 20
+#: Toxic documents that the classifier is fitted on for each telling word at least, if there are so many.
+EACH = 10
 #: Cost of a clean sentence on the wrong side against that of a toxic one.
 CLEAN_COST = 1.5
 #: Sentences of a clean document that the classifier is fitted on at most: the nearest to landmarks.
 PER_TEXT = 5
 #: Share of a landmark's neighbouring characters that a word must hold, in order and not far apart, to be compared.
 SHARED = 0.5
-#: Labelled documents that the classifier is fitted on at most, of either label.
+#: Labelled documents of either label that the classifier is fitted on, besides those for telling words.
 MAX_TRAIN = 3000
 #: Tokens whose kernels a Python worker remembers.
 REMEMBERED = 60_000
@@ -128,7 +131,8 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     a, b = _codes(windows, WIDTH), _codes(landmarks, max(map(len, landmarks)))
     bits, marks = _pair_bits(a, 3), _pair_bits(b, 1)
     need = np.ceil(SHARED * np.bitwise_count(marks).sum(1))
-    near = [np.argwhere(np.bitwise_count(bits[at : at + 2048, None] & marks[None]).sum(2) >= need) + [at, 0] for at in range(0, len(a), 2048)]
+    step = max(1, 2**17 // len(landmarks))
+    near = [np.argwhere(np.bitwise_count(bits[at : at + step, None] & marks[None]).sum(2) >= need) + [at, 0] for at in range(0, len(a), step)]
     i, j = np.concatenate(near).T
     self_b = subsequence_kernel(b, b)
     rows = np.unique(i)
@@ -188,51 +192,91 @@ class Features:
         return np.array(of, int), np.array(rows).reshape(len(rows), len(self.landmarks)), np.array(marked, bool)
 
 
-def _document_counts(sample: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-    """(item, bad, good): how many toxic and other documents hold each word, or each n-gram of words in wanted."""
-
-    def items(text: str) -> set[str]:
-        own = {w for x in set(prepared(text).split()) for w in words_of(x)}
-        return own if wanted is None else {g for w in own for g in grams_of(w)} & wanted
+def _document_counts(labelled: DataFrame) -> DataFrame:
+    """(item, bad, good): how many toxic and other documents hold each word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
             for t, y in zip(pdf["text"], pdf["y"]):
-                found[int(y)].update(items(t))
+                found[int(y)].update({w for x in set(prepared(t).split()) for w in words_of(x)})
             both = list(found[0].keys() | found[1].keys())
             yield pd.DataFrame({"item": pd.Series(both, dtype=object), "bad": np.array([found[1][x] for x in both], np.int64), "good": np.array([found[0][x] for x in both], np.int64)})
 
-    counts = sample.select("text", "y").mapInPandas(count, "item string, bad long, good long")
+    counts = labelled.select("text", "y").mapInPandas(count, "item string, bad long, good long")
     return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
+def _gram_counts(words: DataFrame, wanted: frozenset[str]) -> DataFrame:
+    """(item, bad, good): documents that hold each n-gram in wanted, counted once for each word that holds it."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found: dict[str, list[int]] = {}
+            for w, bad, good in zip(pdf["item"], pdf["bad"].tolist(), pdf["good"].tolist()):
+                for g in grams_of(w) & wanted:
+                    own = found.setdefault(g, [0, 0])
+                    own[0] += bad
+                    own[1] += good
+            yield pd.DataFrame({"item": pd.Series(list(found), dtype=object), "bad": np.array([x[0] for x in found.values()], np.int64), "good": np.array([x[1] for x in found.values()], np.int64)})
+
+    counts = words.mapInPandas(count, "item string, bad long, good long")
+    return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def _holders(toxic: DataFrame, key: str, words: frozenset[str]) -> DataFrame:
+    """(key): for each telling word EACH toxic documents that hold it, by the order of the key's CRC-32."""
+    kind = dict(toxic.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [{w for x in set(prepared(t).split()) for w in words_of(x)} & words for t in pdf["text"]]
+            yield pd.DataFrame({"k": pdf[key].repeat([len(x) for x in own]), "w": pd.Series([w for x in own for w in x], dtype=object).to_numpy()})
+
+    held = toxic.select(key, "text").mapInPandas(run, f"k {kind}, w string").distinct()
+    place = F.row_number().over(Window.partitionBy("w").orderBy(F.crc32(F.col("k").cast("string")), "k"))
+    return held.withColumn("place", place).where(F.col("place") <= EACH).select(F.col("k").alias(key)).distinct()
+
+
 def grams_of(word: str) -> set[str]:
     return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
 
 
-def _telling(counts: DataFrame, n_bad: int, n_good: int) -> dict[str, int]:
-    """Items that SUPPORT of the toxic documents hold, LIFT times as often as others do; each with its toxic documents."""
-    least = max(3, SUPPORT * n_bad)
-    told = counts.where((F.col("bad") >= F.lit(float(least))) & (F.col("bad") / n_bad > LIFT * (F.col("good") + 0.1) / n_good))
+def _telling(counts: DataFrame, n_bad: int, n_good: int, tested: bool = True) -> dict[str, int]:
+    """Items that SUPPORT toxic documents hold, LIFT times as often as others do; each with its toxic documents.
+
+    If tested, by Chernoff's bound on the chance that labels dealt at random give an item so many toxic documents, at
+    most one item of all that have the support is here by chance. n-grams of tested words need no test of their own.
+    """
+    held = cut(counts.where(F.col("bad") >= SUPPORT))
+    n, p = held.count() if tested else 1, n_bad / (n_bad + n_good)
+    both = F.col("bad") + F.col("good")
+    surprise = F.col("bad") * F.log(F.col("bad") / both / p) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / both / (1 - p))).otherwise(0.0)
+    told = held.where((F.col("bad") / n_bad > LIFT * (F.col("good") + 0.1) / n_good) & (surprise >= F.lit(float(np.log(max(1, n))))))
     return {r["item"]: r["bad"] for r in told.collect()}
 
 
 def pick_landmarks(words: dict[str, int], grams: dict[str, int]) -> list[str]:
-    """n-grams that cover the telling words COVER times each, those that cover most toxic documents first."""
+    """n-grams that cover every telling word COVER times, where it has so many, those that cover most toxic documents
+    first. Gains only fall, so that the best of the heap is the best of all if its gain still holds."""
     holders = defaultdict(list)
     for w in sorted(words):
         for g in grams_of(w) & grams.keys():
             holders[g].append(w)
     left = dict.fromkeys(words, COVER)
+    gain = lambda g: sum(words[w] * len(g) for w in holders[g] if left[w] > 0)
+    heap = [(-gain(g), g) for g in holders]
+    heapq.heapify(heap)
     chosen: list[str] = []
-    while holders and len(chosen) < LANDMARKS:
-        gain = {g: sum(words[w] * len(g) for w in ws if left[w] > 0) for g, ws in holders.items()}
-        best = max(gain, key=lambda g: (gain[g], g))
-        if not gain[best]:
-            break
+    while heap:
+        old, best = heapq.heappop(heap)
+        now = gain(best)
+        if now != -old:
+            if now:
+                heapq.heappush(heap, (-now, best))
+            continue
         chosen.append(best)
-        for w in holders.pop(best):
+        for w in holders[best]:
             left[w] -= 1
     return chosen
 
@@ -285,9 +329,10 @@ def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_train: int = MAX_TRAIN) -> Machine:
-    """Fits on docs (key, text) whose labels (key, label) are 0 or 1: on max_train documents of each label or hardly more,
-    by the order of the key's CRC-32; the bound is this parameter. Null labels, keys and texts are left out. Without
-    both labels the machine says 0 for all.
+    """Fits on docs (key, text) whose labels (key, label) are 0 or 1. Words and n-grams are counted over all of them; the
+    machine is fitted on max_train documents of each label or hardly more, by the order of the key's CRC-32, and on
+    EACH toxic ones for every telling word. Null labels, keys and texts are left out. Without both labels the machine
+    says 0 for all.
 
     Labels are of documents. A toxic document's sentences count as toxic if they hold a word that tells toxic documents
     from others, so that wrong labels teach little; sentences of other documents count as clean. After a first fit the
@@ -299,16 +344,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     nothing = Machine([], np.zeros(0), -1.0, 1.0, 3.0)
     if not last[True][1] or not last[False][1]:
         return nothing
-    # 2 * max_train keys: small enough to be broadcast, so that no text but theirs is moved.
-    picked = keys.where(F.when(F.col("y"), F.col("o") <= last[True][0]).otherwise(F.col("o") <= last[False][0])).select(key, "y").distinct()
     own = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).cast("string").alias("text"))
-    sample = cut(own.join(F.broadcast(picked), key).select("text", "y").repartition(16, F.xxhash64("text")))
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    labelled = own.join(keys.select(key, "y").distinct(), key)
+    sizes = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)
     if not n_bad or not n_good:
         return nothing
-    words = _telling(_document_counts(sample, None), n_bad, n_good)
-    grams = _telling(_document_counts(sample, frozenset(g for w in words for g in grams_of(w))), n_bad, n_good)
+    counts = cut(_document_counts(labelled))
+    words = _telling(counts, n_bad, n_good)
+    grams = _telling(_gram_counts(counts, frozenset(g for w in words for g in grams_of(w))), n_bad, n_good, tested=False)
+    # 2 * max_train keys and EACH for a telling word: broadcast, so that no text but theirs is moved.
+    picked = keys.where(F.when(F.col("y"), F.col("o") <= last[True][0]).otherwise(F.col("o") <= last[False][0])).select(key, "y")
+    picked = picked.unionByName(_holders(labelled.where("y"), key, frozenset(words)).withColumn("y", F.lit(True))).distinct()
+    sample = cut(own.join(F.broadcast(picked), key).select("text", "y").repartition(16, F.xxhash64("text")))
     chosen = pick_landmarks(words, grams)
     if not chosen:
         return nothing

@@ -235,3 +235,20 @@ def test_kernel_tolerates_inserted_letters():
         assert got.max() > 0.0
     two = toxicity.kernels(["^bxlxorkhead$"], ["blor"])[0, 0]
     assert 0.0 < two < 0.3
+
+
+def test_toxicity_learns_rare_insults_and_many(spark):
+    rng = np.random.default_rng(17)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    insults = ["".join(rng.choice(letters, 9)) for _ in range(120)]
+    clean = ["".join(rng.choice(letters, 6)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(clean, 12)) + (f" {insults[i // 4 % 120]}." if i % 4 == 0 else "."), int(i % 4 == 0)) for i in range(2880)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    # Each insult is in 6 of 720 toxic documents (0.83 %); the rare one is in 5 (0.69 %), and few documents are fitted at random.
+    rare = [(9000 + i, f"{' '.join(rng.choice(clean, 12))} glimvorp.", 1) for i in range(5)]
+    docs = docs.unionByName(spark.createDataFrame(rare, docs.schema))
+    machine = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), "doc_id", "text", "toxic", max_train=300)
+    asked = spark.createDataFrame([(i, f"such a {w} it is") for i, w in enumerate([*insults, "glimvorp"])] + [(500 + i, f"such a {w} it is") for i, w in enumerate(clean)], "doc_id bigint, text string")
+    s = {r.doc_id: r.score for r in toxicity.score(asked, "text", machine).collect()}
+    assert sum(s[i] >= queries.TOXIC for i in range(120)) >= 114 and s[120] >= queries.TOXIC
+    assert sum(s[500 + i] >= queries.TOXIC for i in range(300)) <= 15
