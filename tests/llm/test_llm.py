@@ -252,3 +252,19 @@ def test_toxicity_learns_rare_insults_and_many(spark):
     s = {r.doc_id: r.score for r in toxicity.score(asked, "text", machine).collect()}
     assert sum(s[i] >= queries.TOXIC for i in range(120)) >= 114 and s[120] >= queries.TOXIC
     assert sum(s[500 + i] >= queries.TOXIC for i in range(300)) <= 15
+
+
+def test_nearest_fills_up_small_tables(spark):
+    rng = np.random.default_rng(23)
+    for n in (1, 5, 20, 21, 30):
+        v = rng.normal(size=(n, 64))
+        # Every key comes three times, once with another vector: it counts once, with its best score.
+        rows = [(i, x.tolist()) for i, x in enumerate(v)] * 2 + [(i, (-x).tolist()) for i, x in enumerate(v)]
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        asked = spark.createDataFrame(rows[:n], df.schema)
+        got = ann.search(df, asked, "vec_id", "embedding").toPandas()
+        assert got.groupby("query_id").size().to_dict() == ({i: min(20, n - 1) for i in range(n)} if n > 1 else {})
+        if n <= 20:  # all leaves are opened
+            best = np.abs(v @ v.T)
+            for r in got.itertuples():
+                assert np.isclose(r.score, best[r.query_id, r.vec_id])
