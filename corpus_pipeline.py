@@ -12,7 +12,7 @@ from framewright.llm import bpe, lines, mixing, ngrams, toxicity
 from framewright.llm.common import cut, table
 from framewright.llm.queries import TOXIC, WEIGHTS, tokenizer, toxicity_machine
 
-#: The first stage learns from labels, which SQL can't express; tests hold each stage against a brute-force version.
+#: The first stage learns from labels, which SQL can't express.
 ORACLE_SQL = None
 
 
@@ -41,11 +41,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and the SHA-256 of the decoded text."""
+    """mix_position, doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and the SHA-256 of the
+    decoded text, sorted by mix_position: it rises with the order of docs, with gaps. docs has to be in its order each
+    time it is read, as what cut returns is. The result is written once, so that the sort does not encode twice."""
     path, pattern = tokenizer()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path, pattern)
-    both = ids.select("doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.col("ids").alias("again"))
-    return bpe.decode(both, "again", path, pattern).withColumn("decoded_sha256", F.sha2("bytes", 256)).drop("bytes")
+    placed = docs.select(F.monotonically_increasing_id().alias("mix_position"), "doc_id", "lang", "source", "text")
+    ids = bpe.encode(placed, "text", path, pattern)
+    both = ids.select("mix_position", "doc_id", "lang", "source", bpe.n_tokens(F.col("ids")).alias("n_tokens"), "ids", F.col("ids").alias("again"))
+    decoded = bpe.decode(both, "again", path, pattern).withColumn("decoded_sha256", F.sha2("bytes", 256)).drop("bytes")
+    return cut(decoded).orderBy("mix_position")
 
 
 STAGES = [

@@ -268,3 +268,18 @@ def test_nearest_fills_up_small_tables(spark):
             best = np.abs(v @ v.T)
             for r in got.itertuples():
                 assert np.isclose(r.score, best[r.query_id, r.vec_id])
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark):
+    import corpus_pipeline
+    from framewright.llm.common import cut
+
+    rows = [(i, f"text {i} " * (9000 if i % 5 == 0 else 2), "en", f"src{i % 3}", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = cut(corpus_pipeline.mix_sources(spark, docs, SF))
+    got = corpus_pipeline.encode_and_decode(spark, mixed, SF).collect()
+    slots = mixing.mix(docs, "source", "doc_id", queries.WEIGHTS).collect()
+    want = [r.doc_id for r in sorted(slots, key=lambda r: (r.mix_slot, r.mix_row))]
+    assert [r.doc_id for r in got] == want
+    assert [r.mix_position for r in got] == sorted({r.mix_position for r in got})
+    assert all(r.decoded_sha256 == hashlib.sha256(rows[r.doc_id][1].encode()).hexdigest() for r in got)
