@@ -297,11 +297,11 @@ def _sentence_rows(sample: DataFrame, landmarks: list[str], words: frozenset[str
                 rank = np.empty(len(of), int)
                 rank[order] = place
                 use = np.where(y[of], told, rank < PER_TEXT) if len(of) else np.zeros(0, bool)
-                yield pd.DataFrame({"y": y[of[use]] if len(of) else np.zeros(0, bool), "x": pd.Series(list(x[use]), dtype=object)})
+                yield pd.DataFrame({"y": y[of[use]] if len(of) else np.zeros(0, bool), "x": pd.Series([r.tobytes() for r in x[use].astype(np.float32)], dtype=object)})
 
-    rows = sample.select("text", "y").mapInPandas(run, "y boolean, x array<float>").toPandas()
-    x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, len(landmarks)))
-    return np.asarray(x, float), rows["y"].to_numpy(bool)
+    rows = sample.select("text", "y").mapInPandas(run, "y boolean, x binary").collect()
+    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), len(landmarks))
+    return x.astype(float), np.array([r["y"] for r in rows], bool)
 
 
 def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
@@ -393,7 +393,7 @@ def fit_svm(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, penalty: float =
     """Weighted squared-hinge linear machine by full-batch accelerated gradient steps."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     cost = cost / cost.sum()
-    top = np.linalg.norm(x1 * np.sqrt(cost)[:, None], 2) ** 2
+    top = np.linalg.eigvalsh(x1.T @ (x1 * cost[:, None]))[-1]
     step = 1 / (2 * top + penalty)
     w = v = np.zeros(x1.shape[1])
     for k in range(rounds):
