@@ -301,7 +301,7 @@ def _sentence_rows(sample: DataFrame, landmarks: list[str], words: frozenset[str
 
     rows = sample.select("text", "y").mapInPandas(run, "y boolean, x binary").collect()
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), len(landmarks))
-    return x.astype(float), np.array([r["y"] for r in rows], bool)
+    return x, np.array([r["y"] for r in rows], bool)
 
 
 def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
@@ -375,7 +375,10 @@ def _fitted(sample: DataFrame, landmarks: list[str], told: frozenset[str]) -> Ma
     gram = kernels_between(landmarks)
     values, vectors = np.linalg.eigh(gram)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    z = np.vstack([x @ root, np.zeros((1, len(landmarks)))])
+    z = np.zeros((len(x) + 1, len(landmarks)))
+    for at in range(0, len(x), 1024):
+        z[at : at + 1024][: len(x) - at] = x[at : at + 1024].astype(float) @ root
+    del x
     sign = np.append(np.where(y, 1.0, -1.0), -1.0)
     cost = np.append(np.where(y, 1.0, CLEAN_COST), max(1.0, float(len(y))) / 4)
     w, b = fit_svm(z, sign, cost)
@@ -391,14 +394,14 @@ def kernels_between(landmarks: list[str]) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, penalty: float = 1e-5, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Weighted squared-hinge linear machine by full-batch accelerated gradient steps."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
     cost = cost / cost.sum()
-    top = np.linalg.eigvalsh(x1.T @ (x1 * cost[:, None]))[-1]
+    parts = (np.hstack([x[at : at + 1024], np.ones((len(x[at : at + 1024]), 1))]) * np.sqrt(cost[at : at + 1024, None]) for at in range(0, len(x), 1024))
+    top = np.linalg.eigvalsh(sum(a.T @ a for a in parts))[-1]
     step = 1 / (2 * top + penalty)
-    w = v = np.zeros(x1.shape[1])
+    w = v = np.zeros(x.shape[1] + 1)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - sign * (x1 @ v))
-        grad = -2 * x1.T @ (cost * sign * slack) + penalty * np.append(v[:-1], 0)
+        pull = cost * sign * np.maximum(0, 1 - sign * (x @ v[:-1] + v[-1]))
+        grad = -2 * np.append(x.T @ pull, pull.sum()) + penalty * np.append(v[:-1], 0)
         new = v - step * grad
         v = new + k / (k + 3) * (new - w)
         w = new
