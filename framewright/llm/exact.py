@@ -1,7 +1,8 @@
 """Operator 7, exact dedup against a minimal perfect hash over the distinct digests seen before.
 
 The history's distinct digests are dealt to parts of about PART_KEYS; each part gets a minimal perfect hash by
-displacement: a digest falls into a small bucket, and the bucket's pilot sends its digests to slots of their own. A
+displacement: a digest falls into a small bucket, and the bucket's pilot sends its digests to slots of their own. If a
+part's digests find no slots, they are read as other numbers, by the next seed, which is stored with the pilots. A
 slot holds the full digest and the locator of the winner. A new row finds its slot by two equi-joins (pilot, then
 slot) and is a member only if the slot's digest equals its own byte for byte; the others are grouped among
 themselves.
@@ -9,7 +10,7 @@ themselves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -37,17 +38,33 @@ def winners(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("doc").alias("winner"), F.count("*").alias("n"))
 
 
-def _field(at: int, digits: int) -> Column:
-    return F.conv(F.substring("digest", at, digits), 16, 10).cast("bigint")
+#: Shares of a hot digest's rows at the last join, and rows of a digest from which it counts as hot.
+SALTS, HOT = 64, 1024
+#: Hot digests that are broadcast at most, some 10 MB; more of them are joined by key.
+BROADCAST = 100_000
+#: Ways in which a part's digests are read as numbers, tried in turn; the slot's places are drawn from all 256 bits.
+SEEDS, TURNS = 64, 4096
+
+
+def _field(column: Column, at: int, digits: int) -> Column:
+    return F.conv(F.substring(column, at, digits), 16, 10).cast("bigint")
 
 
 def _placed(rows: DataFrame, parts: int) -> DataFrame:
-    """Adds the part of a digest and two independent numbers for its bucket and slot."""
-    return rows.withColumns({"part": _field(1, 8) % parts, "h0": _field(9, 8), "h1": _field(17, 8), "h2": _field(25, 7)})
+    """Adds the part of a digest."""
+    return rows.withColumn("part", _field(F.col("digest"), 1, 8) % parts)
+
 
+def _numbers(seed: Column) -> tuple[Column, Column, Column]:
+    """Three numbers of a digest for its bucket and slot. They follow from the whole digest and the seed of its part, so
+    that digests that can't be told apart under one seed are under another."""
+    drawn = F.md5(F.concat("digest", F.lit("/"), seed.cast("string")))
+    return _field(drawn, 1, 8), _field(drawn, 9, 8), _field(drawn, 17, 7)
 
-def _pilots(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """The pilot of each bucket, so that all digests have different slots of len(h0); two digests never agree in all."""
+
+def _pilots(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray | None:
+    """The pilot of each bucket, so that all digests have different slots of len(h0); None where there are none: two
+    digests of a bucket that agree modulo len(h0) in both numbers meet at every pilot."""
     n = len(h0)
     of = h0 % BUCKETS
     pilots, free = np.zeros(BUCKETS, np.int64), np.ones(n, bool)
@@ -60,10 +77,12 @@ def _pilots(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
             break
         own = order[ends[b] - sizes[b] : ends[b]]
         a, c = h1[own] % n, h2[own] % n
+        if len({*zip(a.tolist(), c.tolist())}) < len(own):
+            return None
         if sizes[b] == 1:
             shift, turn = int((np.flatnonzero(free)[0] - a[0]) % n), 0
         else:
-            for turn in range(1 << 20):
+            for turn in range(TURNS):
                 at = (a + turn * c) % n
                 if len(np.unique(at)) < len(at):
                     continue
@@ -74,16 +93,33 @@ def _pilots(h0: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
                     shift = int(good.argmax())
                     break
             else:
-                raise ValueError("two digests agree in all 92 bits that place them")
+                return None
         pilots[b] = turn * n + shift
         free[(a + turn * c + shift) % n] = False
     return pilots
 
 
+def _drawn(digests: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _numbers gives, in a task."""
+    found = [hashlib.md5(f"{d}/{seed}".encode()).hexdigest() for d in digests]
+    h0, h1, h2 = (np.array([int(x[i:j], 16) for x in found], np.int64) for i, j in ((0, 8), (8, 16), (16, 23)))
+    return h0, h1, h2
+
+
+def place_part(digests: list[str]) -> tuple[int, np.ndarray]:
+    """(seed, pilots) of a part's distinct digests: the first seed under which all find slots of their own. A seed fails
+    with a chance of about 1 in 2,000, so that SEEDS of them fail together practically never."""
+    for seed in range(SEEDS):
+        pilots = _pilots(*_drawn(digests, seed))
+        if pilots is not None:
+            return seed, pilots
+    raise ValueError(f"no seed of {SEEDS} separates the {len(digests)} digests of a part")
+
+
 def build_index(history: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """The perfect hash over history, a (digest, winner, n) table of distinct digests: (pilots, slots, number of parts).
 
-    pilots: part, bucket, pilot, size (slots of the part). slots: part, slot, member (the full digest), winner, n;
+    pilots: part, bucket, pilot, size (slots of the part), seed. slots: part, slot, member (the full digest), winner, n;
     there are as many slots as digests. An empty history gives empty tables.
     """
     history = cut(history)
@@ -91,20 +127,25 @@ def build_index(history: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     placed = _placed(history, parts)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pilots = _pilots(*(pdf[c].to_numpy(np.int64) for c in ("h0", "h1", "h2")))
-        return pd.DataFrame({"part": pdf["part"].iloc[0], "bucket": np.arange(len(pilots)), "pilot": pilots, "size": len(pdf)})
+        seed, pilots = place_part(pdf["digest"].tolist())
+        return pd.DataFrame({"part": pdf["part"].iloc[0], "bucket": np.arange(len(pilots)), "pilot": pilots, "size": len(pdf), "seed": seed})
 
-    pilots = cut(placed.select("part", "h0", "h1", "h2").groupBy("part").applyInPandas(build, "part long, bucket long, pilot long, size long"))
+    schema = "part long, bucket long, pilot long, size long, seed long"
+    pilots = cut(placed.select("part", "digest").groupBy("part").applyInPandas(build, schema))
     slots = _slotted(placed, pilots).select("part", "slot", F.col("digest").alias("member"), "winner", "n")
     return pilots, slots, parts
 
 
 def _slotted(placed: DataFrame, pilots: DataFrame) -> DataFrame:
-    """Adds the slot: the digest's pilot, found by part and bucket, moves it there."""
+    """Adds the slot: the part's seed gives the digest's bucket, whose pilot moves the digest to its slot."""
+    seeds = pilots.where("bucket = 0").select("part", "seed")
+    h0, h1, h2 = _numbers(F.col("seed"))
+    numbered = placed.join(seeds, "part").withColumns({"bucket": h0 % BUCKETS, "__h1": h1, "__h2": h2}).drop("seed")
     size, pilot = F.col("size"), F.col("pilot")
     turn, shift = (pilot - pilot % size) / size, pilot % size
-    slot = (F.col("h1") % size + turn.cast("bigint") % size * (F.col("h2") % size) + shift) % size
-    return placed.withColumn("bucket", F.col("h0") % BUCKETS).join(pilots, ["part", "bucket"]).withColumn("slot", slot)
+    slot = (F.col("__h1") % size + turn.cast("bigint") % size * (F.col("__h2") % size) + shift) % size
+    found = numbered.join(pilots.drop("seed"), ["part", "bucket"]).withColumn("slot", slot)
+    return found.drop("__h1", "__h2", "bucket", "pilot", "size")
 
 
 def lookup(rows: DataFrame, index: tuple[DataFrame, DataFrame, int]) -> DataFrame:
@@ -142,12 +183,24 @@ def dedup_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     index = build_index(history)
     new = dedup(rows.where(~past), index, history_first=False)
     old = index[1].select(F.col("member").alias("digest"), F.col("winner").alias("keep"), F.col("n").alias("group_size"))
-    groups = old.join(new.where("known"), "digest", "left_anti").unionByName(new.drop("known"))
-    return rows.join(groups, "digest").select(
+    groups = cut(old.join(new.where("known"), "digest", "left_anti").unionByName(new.drop("known")))
+    return _joined(rows, groups).select(
         "doc", F.col("keep").alias("keep_id"), "group_size", F.col("keep").eqNullSafe(F.col("doc")).alias("kept"), F.col("digest").alias("text_sha256")
     )
 
 
+def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the answer of their digest. Answers of digests that HOT rows or more hold are repeated for SALTS shares,
+    which the key of a row picks, so that the copies of one text are not one task's."""
+    hot = F.col("group_size") >= HOT
+    shares = groups.select("*", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))).alias("share"))
+    marks = groups.where(hot).select("digest", F.lit(True).alias("hot"))
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    dealt = rows.join(F.broadcast(marks), "digest", "left") if marks.limit(BROADCAST + 1).count() <= BROADCAST else rows.join(marks, "digest", "left")
+    dealt = dealt.withColumn("share", F.when(F.col("hot"), salt).otherwise(F.lit(-1))).drop("hot")
+    return dealt.join(shares, ["digest", "share"]).drop("share")
+
+
 ORACLE_SQL = """
 WITH hashed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
