@@ -22,8 +22,10 @@ from .common import small_batches
 #: Code points of a chunk and of the overlap with the next; the pattern never looks more than MARGIN past a match that
 #: ends before a chunk's end.
 CHUNK, OVERLAP, MARGIN = 32768, 2048, 3
-#: Distinct pieces whose tokens a Python worker remembers.
-REMEMBERED = 100_000
+#: Distinct pieces whose tokens a Python worker remembers: so many of late, and as many of before.
+REMEMBERED = 200_000
+#: Bytes from which a piece is merged by a heap, and code points of the longest piece that is remembered.
+LONG, SHORT = 96, 64
 
 
 class Codec:
@@ -34,24 +36,82 @@ class Codec:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {r: t for t, r in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        # All tokens behind one another, and where each rank's begins and how long it is; -1: no such rank.
+        self.lengths = np.full(max(self.ranks.values()) + 1, -1, np.int64)
+        for token, rank in self.ranks.items():
+            self.lengths[rank] = len(token)
+        held = np.maximum(self.lengths, 0)
+        self.starts = np.cumsum(held) - held
+        self.bytes = np.frombuffer(b"".join(sorted(self.ranks, key=self.ranks.__getitem__)), np.uint8)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        out = []
-        for piece in self.pattern.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = np.array(self.merged(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        pieces = self.pattern.findall(text)
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self.ids(pieces[at])
+        return b"".join(found)
+
+    def ids(self, piece: str) -> bytes:
+        """The ids of one pre-token; the most frequent ones are remembered."""
+        ids = self.known.get(piece) or self.before.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = np.array(self.merged(raw) if len(raw) >= LONG else self.merged_short(raw), "<u4").tobytes()
+        if len(piece) <= SHORT:
+            if len(self.known) >= REMEMBERED:
+                self.before, self.known = self.known, {}
+            self.known[piece] = ids
+        return ids
+
+    def merged_short(self, piece: bytes) -> list[int]:
+        """As merged, for few bytes: the list of the neighbours' ranks is searched anew after each merge."""
+        get = self.ranks.get
+        if (whole := get(piece)) is not None:
+            return [whole]
+        none = 1 << 40
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
+            pairs.pop(i)
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        return [self.ranks[x] for x in parts]
+
+    def decode(self, ids: list[bytes | None]) -> list[bytes]:
+        """The raw bytes of the tokens of each list of ids; the bytes of about a million tokens are gathered at once."""
+        out: list[bytes] = []
+        begin = 0
+        while begin < len(ids):
+            end, held = begin, 0
+            while end < len(ids) and (held < 1 << 22 or end == begin):
+                held += len(ids[end] or b"")
+                end += 1
+            out += self._gathered([x or b"" for x in ids[begin:end]])
+            begin = end
+        return out
+
+    def _gathered(self, ids: list[bytes]) -> list[bytes]:
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        if len(flat) and (flat.max() >= len(self.lengths) or self.lengths[flat].min() < 0):
+            raise ValueError("an id has no token")
+        many = self.lengths[flat]
+        ends = np.cumsum(many)
+        at = np.repeat(self.starts[flat] - (ends - many), many)
+        at += np.arange(len(at))
+        raw = self.bytes[at].tobytes()
+        stops = np.append(0, ends)[np.cumsum([len(x) // 4 for x in ids])].tolist()
+        return [raw[i:j] for i, j in zip([0, *stops], stops)]
 
     def merged(self, piece: bytes) -> list[int]:
         """Merges the neighbours of least rank, leftmost first, until none is left; n log n by a heap."""
@@ -117,9 +177,11 @@ def _cuts(long: DataFrame, path: str, pattern: str, chunk: int, overlap: int) ->
             tail = [[e for e in x if e >= at + chunk] for x, at in zip(found, pdf["at"])]
             yield pdf[["__row", "i"]].assign(head=head, tail=tail)
 
+    # A boundary's two sides come from the chunk before it (its tail) and the one after it (its head).
     found = chunks.mapInPandas(ends, "__row string, i int, head array<long>, tail array<long>")
-    before = found.select("__row", (F.col("i") + 1).alias("i"), F.col("tail").alias("before"))
-    stitched = found.where("i > 0").join(before, ["__row", "i"]).select("__row", "i", F.array_min(F.array_intersect("before", "head")).alias("at"))
+    sides = found.select("__row", F.explode(F.array(F.struct("i", F.col("head").alias("head"), F.lit(None).cast("array<long>").alias("tail")), F.struct((F.col("i") + 1).alias("i"), F.lit(None).cast("array<long>").alias("head"), F.col("tail").alias("tail")))).alias("s"))
+    both = sides.groupBy("__row", F.col("s.i").alias("i")).agg(F.max("s.head").alias("head"), F.max("s.tail").alias("tail")).where("head is not null and tail is not null")
+    stitched = both.select("__row", F.array_min(F.array_intersect("tail", "head")).alias("at"))
     return stitched.groupBy("__row").agg(F.when(F.count("at") == F.count("*"), F.array_sort(F.collect_list("at"))).alias("__cuts"))
 
 
@@ -155,8 +217,7 @@ def decode(df: DataFrame, ids: str, path: str, pattern: str, to: str = "bytes")
     """
 
     def bytes_of(xs: list) -> list[bytes]:
-        tokens = codec(path, pattern).tokens
-        return [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in xs]
+        return codec(path, pattern).decode(xs)
 
     return _mapped(df.drop(to) if to != ids else df, ids, to, "binary", bytes_of)
 
