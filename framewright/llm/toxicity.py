@@ -34,14 +34,17 @@ SUPPORT, LIFT = 3, 20
 EACH = 10
 #: Cost of a clean sentence on the wrong side against that of a toxic one.
 CLEAN_COST = 1.5
-#: Sentences of a clean document that the classifier is fitted on at most: the nearest to landmarks.
-PER_TEXT = 5
+#: Sentences of a document that the classifier is fitted on at most: of a clean one the nearest to landmarks, of a toxic
+#: one the first that hold telling words.
+PER_TEXT, PER_TOXIC = 5, 50
 #: Share of a landmark's neighbouring characters that a word must hold, in order and not far apart, to be compared.
 SHARED = 0.5
 #: Labelled documents of either label that the classifier is fitted on, besides those for telling words.
 MAX_TRAIN = 3000
 #: Tokens whose kernels a Python worker remembers.
 REMEMBERED = 60_000
+#: Bytes of kernels from which a worker forgets them all.
+HELD_BYTES = 1 << 26
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n")
 SIGNS = re.compile(r"[\W_]+")
 SPELLED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -82,26 +85,26 @@ def _codes(strings: list[str], width: int) -> np.ndarray:
     return out
 
 
+def _reach(n: int) -> np.ndarray:
+    """[i, j]: DECAY to the power of the characters between j and a later i, else 0."""
+    gap = np.arange(n)[:, None] - np.arange(n) - 1
+    return np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0.0).astype(np.float32)
+
+
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The kernel of a[i] with b[i], rows of character codes padded with 0: the usual recursion, over all rows at once."""
-    n, la = a.shape
-    lb = b.shape[1]
-    inner = np.ones((la + 1, lb + 1, n), np.float32)
-    total = np.zeros(n, np.float32)
-    for order in range(1, ORDER + 1):
-        new = np.zeros((la + 1, lb + 1, n), np.float32)
-        for i in range(1, la + 1):
-            run = np.zeros(n, np.float32)
-            for j in range(1, lb + 1):
-                same = (a[:, i - 1] == b[:, j - 1]) & (a[:, i - 1] > 0)
-                hit = inner[i - 1, j - 1] * (same * np.float32(DECAY * DECAY))
-                if order == ORDER:
-                    total += hit
-                if order < ORDER:
-                    run = np.float32(DECAY) * run + hit
-                    new[i, j] = np.float32(DECAY) * new[i - 1, j] + run
-        inner = new
-    return total
+    """The kernel of a[i] with b[i], rows of character codes padded with 0. A common subsequence that ends at a pair of
+    equal characters goes on at a later such pair; all rows take each step in two matrix products."""
+    (n, la), lb = a.shape, b.shape[1]
+    left, right = _reach(la), _reach(lb).T
+    out = np.empty(n, np.float32)
+    for at in range(0, n, 1024):
+        x, y = a[at : at + 1024].T[:, :, None], b[None, at : at + 1024]
+        same = ((x == y) & (x > 0)) * np.float32(DECAY * DECAY)  # [la, rows, lb]
+        ended = same
+        for _ in range(ORDER - 1):
+            ended = same * (left @ (ended @ right).reshape(la, -1)).reshape(same.shape)
+        out[at : at + 1024] = ended.sum((0, 2))
+    return out
 
 
 def _pair_bits(codes: np.ndarray, reach: int) -> np.ndarray:
@@ -157,20 +160,23 @@ class Features:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.seen: set[str] = set()
-        self.near: dict[str, np.ndarray] = {}  # of tokens that are near a landmark
+        self.near: dict[str, int] = {}  # of tokens that are near a landmark: the row of their kernels
+        self.rows = np.zeros((0, len(landmarks)), np.float32)
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.near = set(), {}
+        if len(self.seen) > REMEMBERED or self.rows.nbytes > HELD_BYTES:
+            self.seen, self.near, self.rows = set(), {}, self.rows[:0].copy()
         new = sorted(tokens - self.seen)
         self.seen.update(new)
         words = [(t, w) for t in new for w in words_of(t)]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             found = kernels([w for _, w in part], self.landmarks)
-            for k in np.flatnonzero(found.any(axis=1)).tolist():
-                token = part[k][0]
-                self.near[token] = np.maximum(self.near[token], found[k]) if token in self.near else found[k].copy()
+            hot = np.flatnonzero(found.any(axis=1)).tolist()
+            own = [self.near.setdefault(part[k][0], len(self.near)) for k in hot]
+            grown = np.zeros((len(self.near) - len(self.rows), len(self.landmarks)), np.float32)
+            self.rows = np.concatenate([self.rows, grown])
+            np.maximum.at(self.rows, own, found[hot])
 
     def sentences(self, texts: list[str | None], told: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text of each row, features, holds a word of told) of the sentences that hold a word near a landmark; all
@@ -178,18 +184,27 @@ class Features:
         low = [prepared(t) if t else "" for t in texts]
         tokens = [set(t.split()) for t in low]
         self.learn(set().union(*tokens))
-        of, rows, marked = [], [], []
+        of, marked, found = [], [], [np.zeros((0, len(self.landmarks)), np.float32)]
+        words: list[int] = []
+        starts: list[int] = []
         for k, t in enumerate(low):
-            hot = tokens[k] & self.near.keys()
+            hot = {x: self.near[x] for x in tokens[k] if x in self.near}
             if not hot:
                 continue
+            known = {x for x in hot if any(w in told for w in words_of(x))} if told else set()
             for s in SENTENCES.split(t):
-                own = hot.intersection(s.split())
+                own = [hot[x] for x in s.split() if x in hot]
                 if own:
                     of.append(k)
-                    rows.append(np.max([self.near[x] for x in own], axis=0))
-                    marked.append(bool(told) and any(w in told for x in own for w in words_of(x)))
-        return np.array(of, int), np.array(rows).reshape(len(rows), len(self.landmarks)), np.array(marked, bool)
+                    marked.append(bool(known) and not known.isdisjoint(s.split()))
+                    starts.append(len(words))
+                    words += own
+            if len(words) > 20_000:
+                found.append(np.maximum.reduceat(self.rows[words], starts))
+                words, starts = [], []
+        if starts:
+            found.append(np.maximum.reduceat(self.rows[words], starts))
+        return np.array(of, int), np.concatenate(found), np.array(marked, bool)
 
 
 def _document_counts(labelled: DataFrame) -> DataFrame:
@@ -224,38 +239,70 @@ def _gram_counts(words: DataFrame, wanted: frozenset[str]) -> DataFrame:
     return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
+def _marks(texts: list[str]) -> np.ndarray:
+    """The least hash of each text's words: copies of a text, and most of its near copies, have the same."""
+    words = [prepared(t).split() for t in texts]
+    flat = np.array([w for x in words for w in x], object)
+    found = pd.util.hash_array(flat) if len(flat) else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(x) for x in words])
+    return np.array([found[e - len(x) : e].min() if x else 0 for e, x in zip(ends.tolist(), words)], np.uint64).view(np.int64)
+
+
 def _holders(toxic: DataFrame, key: str, words: frozenset[str]) -> DataFrame:
-    """(key): for each telling word EACH toxic documents that hold it, by the order of the key's CRC-32."""
+    """(key, w, mark): the toxic documents that hold each of words, with their marks."""
     kind = dict(toxic.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             own = [{w for x in set(prepared(t).split()) for w in words_of(x)} & words for t in pdf["text"]]
-            yield pd.DataFrame({"k": pdf[key].repeat([len(x) for x in own]), "w": pd.Series([w for x in own for w in x], dtype=object).to_numpy()})
+            many, mark = [len(x) for x in own], _marks(pdf["text"].tolist())
+            yield pd.DataFrame({"k": pdf[key].repeat(many), "w": pd.Series([w for x in own for w in x], dtype=object).to_numpy(), "mark": mark.repeat(many)})
+
+    return toxic.select(key, "text").mapInPandas(run, f"k {kind}, w string, mark long").distinct()
 
-    held = toxic.select(key, "text").mapInPandas(run, f"k {kind}, w string").distinct()
-    place = F.row_number().over(Window.partitionBy("w").orderBy(F.crc32(F.col("k").cast("string")), "k"))
-    return held.withColumn("place", place).where(F.col("place") <= EACH).select(F.col("k").alias(key)).distinct()
+
+def _examples(held: DataFrame, key: str) -> DataFrame:
+    """(key): for each word of held EACH documents with different marks, by the order of the key's CRC-32."""
+    order = [F.crc32(F.col("k").cast("string")), F.col("k")]
+    one = held.groupBy("w", "mark").agg(F.min_by("k", F.struct(*order)).alias("k"))
+    place = F.row_number().over(Window.partitionBy("w").orderBy(*order))
+    return one.withColumn("place", place).where(F.col("place") <= EACH).select(F.col("k").alias(key)).distinct()
 
 
 def grams_of(word: str) -> set[str]:
     return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
 
 
-def _telling(counts: DataFrame, n_bad: int, n_good: int, tested: bool = True) -> dict[str, int]:
+def _telling(counts: DataFrame, n_bad: int, n_good: int, n: int = 1) -> dict[str, int]:
     """Items that SUPPORT toxic documents hold, LIFT times as often as others do; each with its toxic documents.
 
-    If tested, by Chernoff's bound on the chance that labels dealt at random give an item so many toxic documents, at
-    most one item of all that have the support is here by chance. n-grams of tested words need no test of their own.
+    By Chernoff's bound on the chance that labels dealt at random give an item so many toxic documents, at most one of n
+    items is here by chance. With n = 1 nothing is tested: n-grams of tested words need no test of their own.
     """
-    held = cut(counts.where(F.col("bad") >= SUPPORT))
-    n, p = held.count() if tested else 1, n_bad / (n_bad + n_good)
+    p = n_bad / (n_bad + n_good)
     both = F.col("bad") + F.col("good")
     surprise = F.col("bad") * F.log(F.col("bad") / both / p) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / both / (1 - p))).otherwise(0.0)
-    told = held.where((F.col("bad") / n_bad > LIFT * (F.col("good") + 0.1) / n_good) & (surprise >= F.lit(float(np.log(max(1, n))))))
+    lifted = F.col("bad") / n_bad > LIFT * (F.col("good") + 0.1) / n_good
+    told = counts.where((F.col("bad") >= SUPPORT) & lifted & (surprise >= F.lit(float(np.log(max(1, n))))))
     return {r["item"]: r["bad"] for r in told.collect()}
 
 
+def _telling_words(counts: DataFrame, toxic: DataFrame, key: str, n_bad: int, n_good: int) -> tuple[dict[str, int], DataFrame]:
+    """The words that tell toxic documents from others, and the documents that hold them (see _holders).
+
+    Copies are no evidence of their own: a word that only one text and its copies hold is in as many toxic documents as
+    there are copies. So words that pass by all documents are tested again with the documents of one mark as one. That
+    lessens only the count of toxic documents, so that no word that would pass is lost in the first test.
+    """
+    n = counts.where(F.col("bad") >= SUPPORT).count()
+    first = frozenset(_telling(counts, n_bad, n_good, n))
+    held = cut(_holders(toxic, key, first))
+    apart = held.groupBy(F.col("w").alias("item")).agg(F.countDistinct("mark").alias("bad"))
+    again = apart.join(counts.select("item", "good"), "item")
+    words = _telling(again, n_bad, n_good, n)
+    return words, held.where(F.col("w").isin(list(words))) if words else held.limit(0)
+
+
 def pick_landmarks(words: dict[str, int], grams: dict[str, int]) -> list[str]:
     """n-grams that cover every telling word COVER times, where it has so many, those that cover most toxic documents
     first. Gains only fall, so that the best of the heap is the best of all if its gain still holds."""
@@ -296,7 +343,9 @@ def _sentence_rows(sample: DataFrame, landmarks: list[str], words: frozenset[str
                 place = np.arange(len(of)) - np.searchsorted(of[order], of[order])
                 rank = np.empty(len(of), int)
                 rank[order] = place
-                use = np.where(y[of], told, rank < PER_TEXT) if len(of) else np.zeros(0, bool)
+                seen = np.cumsum(told) - told  # telling sentences before each one, of its own text and of texts before
+                nth = seen - seen[np.searchsorted(of, of)] if len(of) else seen
+                use = np.where(y[of], told & (nth < PER_TOXIC), rank < PER_TEXT) if len(of) else np.zeros(0, bool)
                 yield pd.DataFrame({"y": y[of[use]] if len(of) else np.zeros(0, bool), "x": pd.Series([r.tobytes() for r in x[use].astype(np.float32)], dtype=object)})
 
     rows = sample.select("text", "y").mapInPandas(run, "y boolean, x binary").collect()
@@ -316,7 +365,7 @@ def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
                 own = set(prepared(t).split())
                 features.learn(own)
                 for x in own & features.near.keys():
-                    m = float(features.near[x] @ machine.weights + machine.bias)
+                    m = float(features.rows[features.near[x]] @ machine.weights + machine.bias)
                     if m > -0.5:
                         w = words_of(x)[-1]
                         found[w] += 1
@@ -351,11 +400,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     if not n_bad or not n_good:
         return nothing
     counts = cut(_document_counts(labelled))
-    words = _telling(counts, n_bad, n_good)
-    grams = _telling(_gram_counts(counts, frozenset(g for w in words for g in grams_of(w))), n_bad, n_good, tested=False)
+    words, held = _telling_words(counts, labelled.where("y"), key, n_bad, n_good)
+    grams = _telling(_gram_counts(counts, frozenset(g for w in words for g in grams_of(w))), n_bad, n_good)
     # 2 * max_train keys and EACH for a telling word: broadcast, so that no text but theirs is moved.
     picked = keys.where(F.when(F.col("y"), F.col("o") <= last[True][0]).otherwise(F.col("o") <= last[False][0])).select(key, "y")
-    picked = picked.unionByName(_holders(labelled.where("y"), key, frozenset(words)).withColumn("y", F.lit(True))).distinct()
+    picked = picked.unionByName(_examples(held, key).withColumn("y", F.lit(True))).distinct()
     sample = cut(own.join(F.broadcast(picked), key).select("text", "y").repartition(16, F.xxhash64("text")))
     chosen = pick_landmarks(words, grams)
     if not chosen:
