@@ -239,13 +239,25 @@ def _gram_counts(words: DataFrame, wanted: frozenset[str]) -> DataFrame:
     return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def _marks(texts: list[str]) -> np.ndarray:
-    """The least hash of each text's words: copies of a text, and most of its near copies, have the same."""
-    words = [prepared(t).split() for t in texts]
-    flat = np.array([w for x in words for w in x], object)
-    found = pd.util.hash_array(flat) if len(flat) else np.zeros(0, np.uint64)
-    ends = np.cumsum([len(x) for x in words])
-    return np.array([found[e - len(x) : e].min() if x else 0 for e, x in zip(ends.tolist(), words)], np.uint64).view(np.int64)
+def _marks(text: str, words: frozenset[str]) -> dict[str, int]:
+    """For each of words that the text holds the least hash of two neighbouring tokens that are not this word: copies of
+    a text, and most of its near copies, have the same; other texts with the word don't."""
+    tokens = np.array(prepared(text).split(), object)
+    holders: dict[str, list[str]] = defaultdict(list)
+    for x in set(tokens.tolist()):
+        for w in words_of(x):
+            if w in words:
+                holders[w].append(x)
+    if not holders:
+        return {}
+    h = pd.util.hash_array(tokens)
+    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:] >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    out = {}
+    for w, own in holders.items():
+        other = ~np.isin(h, pd.util.hash_array(np.array(own, object)))
+        rest = pair[other[:-1] & other[1:]]
+        out[w] = int(rest.min().view(np.int64)) if len(rest) else 0
+    return out
 
 
 def _holders(toxic: DataFrame, key: str, words: frozenset[str]) -> DataFrame:
@@ -254,9 +266,9 @@ def _holders(toxic: DataFrame, key: str, words: frozenset[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [{w for x in set(prepared(t).split()) for w in words_of(x)} & words for t in pdf["text"]]
-            many, mark = [len(x) for x in own], _marks(pdf["text"].tolist())
-            yield pd.DataFrame({"k": pdf[key].repeat(many), "w": pd.Series([w for x in own for w in x], dtype=object).to_numpy(), "mark": mark.repeat(many)})
+            own = [_marks(t, words) for t in pdf["text"]]
+            w, mark = [w for x in own for w in x], [m for x in own for m in x.values()]
+            yield pd.DataFrame({"k": pdf[key].repeat([len(x) for x in own]), "w": pd.Series(w, dtype=object).to_numpy(), "mark": np.array(mark, np.int64)})
 
     return toxic.select(key, "text").mapInPandas(run, f"k {kind}, w string, mark long").distinct()
 
