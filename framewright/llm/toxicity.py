@@ -14,6 +14,7 @@ import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -41,9 +42,11 @@ PER_TEXT, PER_TOXIC = 5, 50
 SHARED = 0.5
 #: Labelled documents of either label that the classifier is fitted on, besides those for telling words.
 MAX_TRAIN = 3000
-#: Tokens whose kernels a Python worker remembers.
-REMEMBERED = 60_000
-#: Bytes of kernels from which a worker forgets them all.
+#: Labels (a key and a flag) that are broadcast at most, some 50 MB.
+FEW_LABELS = 1_000_000
+#: Tokens whose kernels a Python worker remembers: so many of late, and as many of before.
+REMEMBERED = 150_000
+#: Bytes of kernels from which a worker forgets older ones.
 HELD_BYTES = 1 << 26
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n")
 SIGNS = re.compile(r"[\W_]+")
@@ -79,9 +82,10 @@ def words_of(token: str) -> list[str]:
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
+    """Character codes of strings of width characters at most, padded with 0."""
     out = np.zeros((len(strings), width), np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.int32)
+    many = np.array([len(s) for s in strings], np.int64)
+    out[np.arange(width) < many[:, None]] = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.int32)
     return out
 
 
@@ -134,23 +138,33 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     a, b = _codes(windows, WIDTH), _codes(landmarks, max(map(len, landmarks)))
     bits, marks = _pair_bits(a, 3), _pair_bits(b, 1)
     need = np.ceil(SHARED * np.bitwise_count(marks).sum(1))
-    step = max(1, 2**17 // len(landmarks))
-    near = [np.argwhere(np.bitwise_count(bits[at : at + step, None] & marks[None]).sum(2) >= need) + [at, 0] for at in range(0, len(a), step)]
+    step = max(1, 2**16 // len(landmarks))
+    near = []
+    for at in range(0, len(a), step):
+        own = bits[at : at + step]
+        held = sum(np.bitwise_count(own[:, k, None] & marks[:, k]) for k in range(4))
+        near.append(np.argwhere(held >= need) + [at, 0])
     i, j = np.concatenate(near).T
+    long = (a > 0).sum(1)
+    by_length = np.argsort(long[i], kind="stable")
+    i, j = i[by_length], j[by_length]
     self_b = subsequence_kernel(b, b)
     rows = np.unique(i)
-    self_a = np.ones(len(a))
+    rows = rows[np.argsort(long[rows], kind="stable")]
+    self_a = np.ones(len(a), np.float32)
     for at in range(0, len(rows), 4096):
         own = rows[at : at + 4096]
-        self_a[own] = subsequence_kernel(a[own], a[own])
-    of = np.array(of)
-    long = (a > 0).sum(1)
-    by_length = np.argsort(long[i], kind="stable")
-    i, j = i[by_length], j[by_length]
+        x = a[own][:, : long[own[-1]]]
+        self_a[own] = subsequence_kernel(x, x)
+    value = np.empty(len(i), np.float32)
     for at in range(0, len(i), 4096):
         p, q = i[at : at + 4096], j[at : at + 4096]
-        value = subsequence_kernel(a[p][:, : long[p[-1]]], b[q]) / np.sqrt(np.maximum(self_a[p] * self_b[q], 1e-12))
-        np.maximum.at(out, (of[p], q), value)
+        value[at : at + 4096] = subsequence_kernel(a[p][:, : long[p[-1]]], b[q])
+    value /= np.sqrt(np.maximum(self_a[i] * self_b[j], 1e-12))
+    if len(windows) == len(words):
+        out[i, j] = value
+    else:
+        np.maximum.at(out, (np.array(of)[i], j), value)
     return out
 
 
@@ -162,43 +176,54 @@ class Features:
         self.seen: set[str] = set()
         self.near: dict[str, int] = {}  # of tokens that are near a landmark: the row of their kernels
         self.rows = np.zeros((0, len(landmarks)), np.float32)
+        self.before: tuple[set[str], dict[str, int], np.ndarray] = (set(), {}, self.rows)
 
     def learn(self, tokens: set[str]) -> None:
+        """Kernels of tokens. When there are too many, those that don't come again for as long are forgotten."""
         if len(self.seen) > REMEMBERED or self.rows.nbytes > HELD_BYTES:
-            self.seen, self.near, self.rows = set(), {}, self.rows[:0].copy()
-        new = sorted(tokens - self.seen)
-        self.seen.update(new)
-        words = [(t, w) for t in new for w in words_of(t)]
+            self.before = self.seen, self.near, self.rows
+            self.seen, self.near, self.rows = set(), {}, self.rows[:0]
+        seen, near, rows = self.before
+        new = tokens - self.seen
+        self.seen |= new
+        again = [x for x in new & seen if x in near]
+        self.near.update(zip(again, range(len(self.near), len(self.near) + len(again))))
+        grown = [self.rows, rows[[near[x] for x in again]]]
+        words = [(t, w) for t in sorted(new - seen) for w in words_of(t)]
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             found = kernels([w for _, w in part], self.landmarks)
-            hot = np.flatnonzero(found.any(axis=1)).tolist()
-            own = [self.near.setdefault(part[k][0], len(self.near)) for k in hot]
-            grown = np.zeros((len(self.near) - len(self.rows), len(self.landmarks)), np.float32)
-            self.rows = np.concatenate([self.rows, grown])
-            np.maximum.at(self.rows, own, found[hot])
+            hot = np.flatnonzero(found.any(axis=1))
+            # A token's words, two at most, stand next to each other; they may be in two parts.
+            begin = len(self.near)
+            own = np.array([self.near.setdefault(part[k][0], len(self.near)) for k in hot.tolist()], int)
+            block = np.zeros((len(self.near) - begin, len(self.landmarks)), np.float32)
+            late = own >= begin
+            np.maximum.at(block, own[late] - begin, found[hot[late]])
+            grown.append(block)
+            for k, r in zip(hot[~late].tolist(), own[~late].tolist()):
+                self.rows = np.concatenate(grown)
+                self.rows[r] = np.maximum(self.rows[r], found[k])
+                grown = [self.rows]
+        self.rows = np.concatenate(grown)
 
     def sentences(self, texts: list[str | None], told: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text of each row, features, holds a word of told) of the sentences that hold a word near a landmark; all
         others are all 0."""
-        low = [prepared(t) if t else "" for t in texts]
-        tokens = [set(t.split()) for t in low]
-        self.learn(set().union(*tokens))
+        read = [[x for s in SENTENCES.split(prepared(t)) if (x := s.split())] if t else [] for t in texts]
+        self.learn(set(chain.from_iterable(chain.from_iterable(read))))
         of, marked, found = [], [], [np.zeros((0, len(self.landmarks)), np.float32)]
         words: list[int] = []
         starts: list[int] = []
-        for k, t in enumerate(low):
-            hot = {x: self.near[x] for x in tokens[k] if x in self.near}
-            if not hot:
-                continue
-            known = {x for x in hot if any(w in told for w in words_of(x))} if told else set()
-            for s in SENTENCES.split(t):
-                own = [hot[x] for x in s.split() if x in hot]
-                if own:
+        row = self.near.get
+        for k, sentences in enumerate(read):
+            for s in sentences:
+                begin = len(words)
+                words += [r for r in map(row, s) if r is not None]
+                if len(words) > begin:
                     of.append(k)
-                    marked.append(bool(known) and not known.isdisjoint(s.split()))
-                    starts.append(len(words))
-                    words += own
+                    marked.append(bool(told) and any(w in told for x in s for w in words_of(x)))
+                    starts.append(begin)
             if len(words) > 20_000:
                 found.append(np.maximum.reduceat(self.rows[words], starts))
                 words, starts = [], []
@@ -207,14 +232,29 @@ class Features:
         return np.array(of, int), np.concatenate(found), np.array(marked, bool)
 
 
+_features: dict[tuple[str, ...], Features] = {}
+
+
+def remembered(landmarks: list[str]) -> Features:
+    """The Python worker's kernels with these landmarks; those with others are forgotten."""
+    key = tuple(landmarks)
+    if key not in _features:
+        _features.clear()
+        _features[key] = Features(landmarks)
+    return _features[key]
+
+
 def _document_counts(labelled: DataFrame) -> DataFrame:
     """(item, bad, good): how many toxic and other documents hold each word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+            known: dict[str, list[str]] = {}
             for t, y in zip(pdf["text"], pdf["y"]):
-                found[int(y)].update({w for x in set(prepared(t).split()) for w in words_of(x)})
+                own = set(prepared(t).split())
+                known.update((x, words_of(x)) for x in own - known.keys())
+                found[int(y)].update(set(chain.from_iterable(map(known.__getitem__, own))))
             both = list(found[0].keys() | found[1].keys())
             yield pd.DataFrame({"item": pd.Series(both, dtype=object), "bad": np.array([found[1][x] for x in both], np.int64), "good": np.array([found[0][x] for x in both], np.int64)})
 
@@ -345,7 +385,7 @@ def _sentence_rows(sample: DataFrame, landmarks: list[str], words: frozenset[str
     document the PER_TEXT sentences nearest to landmarks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(landmarks)
+        features = remembered(landmarks)
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
@@ -369,7 +409,7 @@ def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
     """Words of clean documents that look most toxic, most common first among equals."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(machine.landmarks)
+        features = remembered(machine.landmarks)
         for pdf in batches:
             found: Counter[str] = Counter()
             value: dict[str, float] = {}
@@ -406,7 +446,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     if not last[True][1] or not last[False][1]:
         return nothing
     own = docs.where(F.col(text).isNotNull()).select(F.col(key), F.col(text).cast("string").alias("text"))
-    labelled = own.join(keys.select(key, "y").distinct(), key)
+    told = keys.select(key, "y").distinct()
+    # Few labels go to the texts; with more of them labelled texts are moved once and written.
+    few = told.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    labelled = own.join(F.broadcast(told), key) if few else cut(own.join(told, key))
     sizes = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = sizes.get(True, 0), sizes.get(False, 0)
     if not n_bad or not n_good:
@@ -421,11 +464,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     chosen = pick_landmarks(words, grams)
     if not chosen:
         return nothing
-    told = frozenset(words)
-    machine = _fitted(sample, chosen, told)
+    telling = frozenset(words)
+    machine = _fitted(sample, chosen, telling)
     counter = [w for w in _near_misses(sample, machine) if w not in chosen]
     if counter:
-        machine = _fitted(sample, chosen + counter, told)
+        machine = _fitted(sample, chosen + counter, telling)
     margins = score(sample, "text", machine._replace(slope=1.0, shift=0.0)).select("y", F.ln(F.col("score") / (1 - F.col("score"))).alias("m")).toPandas()
     slope, shift = platt(margins["m"].to_numpy(float), margins["y"].to_numpy(bool))
     return machine._replace(slope=slope, shift=shift)
@@ -490,9 +533,6 @@ def score_texts(machine: Machine, features: Features, texts: list[str | None]) -
     return 1 / (1 + np.exp(-np.clip(machine.slope * margin + machine.shift if machine.landmarks else np.full(len(texts), -3.0), -30, 30)))
 
 
-_features: dict[tuple[str, ...], Features] = {}
-
-
 def score(docs: DataFrame, text: str, machine: Machine, to: str = "score", keep_text: bool = False) -> DataFrame:
     """Adds to (double, 0 to 1) to every row, from its whole text alone; leaves text out unless keep_text.
 
@@ -507,10 +547,7 @@ def score(docs: DataFrame, text: str, machine: Machine, to: str = "score", keep_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        if tuple(m.landmarks) not in _features:
-            _features.clear()
-            _features[tuple(m.landmarks)] = Features(m.landmarks)
-        features = _features[tuple(m.landmarks)]
+        features = remembered(m.landmarks)
         for pdf in batches:
             for at in range(0, len(pdf), 500):
                 part = pdf.iloc[at : at + 500]
