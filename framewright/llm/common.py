@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,11 +30,24 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Keeps the folder in spark.checkpoint.dir; only where none is named (tests) a temporary one is set."""
+    """Keeps the folder in spark.checkpoint.dir; only where none is named and all runs on one machine (tests) a temporary
+    one is set."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-"))
 
 
+#: Keys that are told apart as hot at most, and rows of a key from which it can be one.
+HOT_KEYS, HOT_ROWS = 100_000, 1024
+
+
+def hot_from(rows: int) -> int:
+    """Rows from which a key is hot, in a table of so many rows: at most HOT_KEYS keys are, so that a table with a row for
+    each of them may be broadcast; a key that isn't has one row in HOT_KEYS at most, or less than HOT_ROWS."""
+    return max(HOT_ROWS, -(-rows // HOT_KEYS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint in the shared folder; it survives lost executors."""
     shared_checkpoints(df.sparkSession)

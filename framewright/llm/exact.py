@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_from
 
 #: Distinct digests of a part on average, and buckets of every part.
 PART_KEYS, BUCKETS = 4096, 1024
@@ -38,10 +38,8 @@ def winners(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("doc").alias("winner"), F.count("*").alias("n"))
 
 
-#: Shares of a hot digest's rows at the last join, and rows of a digest from which it counts as hot.
-SALTS, HOT = 64, 1024
-#: Hot digests that are broadcast at most, some 10 MB; more of them are joined by key.
-BROADCAST = 100_000
+#: Shares of a hot digest's rows at the last join.
+SALTS = 64
 #: Ways in which a part's digests are read as numbers, tried in turn; the slot's places are drawn from all 256 bits.
 SEEDS, TURNS = 64, 4096
 
@@ -190,15 +188,16 @@ def dedup_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _joined(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """rows with the answer of their digest. Answers of digests that HOT rows or more hold are repeated for SALTS shares,
-    which the key of a row picks, so that the copies of one text are not one task's."""
-    hot = F.col("group_size") >= HOT
-    shares = groups.select("*", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))).alias("share"))
+    """rows with the answer of their digest. The answer of a hot digest is repeated for SALTS shares, which the key of a
+    row picks, so that the copies of one text are not one task's."""
+    hot = F.col("group_size") >= hot_from(rows.count())
+    shares = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    answers = groups.withColumn("share", F.explode(shares))
     marks = groups.where(hot).select("digest", F.lit(True).alias("hot"))
-    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
-    dealt = rows.join(F.broadcast(marks), "digest", "left") if marks.limit(BROADCAST + 1).count() <= BROADCAST else rows.join(marks, "digest", "left")
-    dealt = dealt.withColumn("share", F.when(F.col("hot"), salt).otherwise(F.lit(-1))).drop("hot")
-    return dealt.join(shares, ["digest", "share"]).drop("share")
+    share = F.when(F.col("hot").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    # hot_from bounds the marks.
+    dealt = rows.join(F.broadcast(marks), "digest", "left").withColumn("share", share).drop("hot")
+    return dealt.join(answers, ["digest", "share"]).drop("share")
 
 
 ORACLE_SQL = """
