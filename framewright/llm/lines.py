@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, ascii_lower
+from .common import WHITE, ascii_lower, cut, hot_from
 
 #: Ranges that a line found in many documents is spread over.
 SALTS = 64
@@ -33,21 +33,27 @@ def drop_bitmaps(docs: DataFrame, text: str, doc: Column, min_docs: int = 10, mi
 
     The line rows are partitioned by ranges of (hash, salt), where the salt follows from the document, and sorted by
     document and position, so that one pass over a range sees each document of a key once, next to each other; a key
-    with many documents is spread over SALTS ranges and the partial counts are added up afterwards.
+    with many documents is spread over SALTS ranges and the partial counts are added up afterwards. They are written once,
+    so that no line is split or hashed twice.
     """
-    rows = line_rows(docs, text, doc, min_chars).withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS)))
+    rows = cut(line_rows(docs, text, doc, min_chars).withColumn("salt", F.pmod(F.hash("doc"), F.lit(SALTS))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "h1", "h2", "salt")
+    ranged = rows.repartitionByRange(parts, "h1", "h2", "salt")
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc", "pos")
-    rows = rows.withColumn("again", F.coalesce(F.lag("doc").over(stream).eqNullSafe(F.col("doc")) & F.lag("pos").over(stream).isNotNull(), F.lit(False)))
-    keys = (
-        rows.where("not again")
+    again = F.lag("doc").over(stream).eqNullSafe(F.col("doc")) & F.lag("pos").over(stream).isNotNull()
+    keys = cut(
+        ranged.withColumn("again", F.coalesce(again, F.lit(False)))
+        .where("not again")
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.min(F.struct("doc", "pos")).alias("first"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", *(["first"] if keep_first else []))
+        .select("h1", "h2", "n_docs", *(["first"] if keep_first else []))
     )
-    gone = rows.join(keys, ["h1", "h2"])
+    # Rows of hot keys, whose number hot_from bounds, are found where they are; only those of other keys are dealt by key.
+    hot = F.col("n_docs") >= hot_from(rows.count())
+    often, seldom = F.broadcast(keys.where(hot).drop("n_docs")), keys.where(~hot).drop("n_docs")
+    key = ["h1", "h2"]
+    gone = rows.join(often, key).unionByName(rows.join(often.select(*key), key, "left_anti").join(seldom, key))
     if keep_first:
         gone = gone.where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
     gone = gone.select("doc", "pos").distinct()
