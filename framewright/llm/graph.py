@@ -5,32 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hot_from
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as edges (a, b) of comparable keys.
 
     Returns (node, component): component is the smallest key that the node reaches. Nodes are those on some edge;
     self loops are allowed and keep a node; edges with a null end are left out; an empty table gives an empty one.
 
-    Alternates large-star and small-star steps until the edge set is a forest of stars. Each step is one partial
-    aggregation and one equi-join, so a hub's edges are spread by the map-side combine and by adaptive skew
-    splitting, and the rows never exceed the input's edges plus one row for each node.
+    Alternates large-star and small-star steps until the edge set is a forest of stars, which it always becomes. Each step
+    is one partial aggregation and one equi-join, in which hubs are split, and the rows never exceed the input's edges
+    plus one row for each node.
     """
     edges = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = cut(links)
-    before = None
-    for _ in range(max_rounds):
-        links = cut(_small_star(_large_star(links)))
-        now = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    before, now = None, _state(links)
+    while now != before:
+        links = cut(_small_star(_large_star(links, now[0]), now[0]))
+        before, now = now, _state(links)
     return (
         nodes.distinct()
         .join(links.select(F.col("a").alias("node"), "b"), "node", "left")
@@ -38,15 +33,29 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _state(links: DataFrame) -> tuple[int, int | None]:
+    """How many links there are, and a number that changes with them."""
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def _with_least(links: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """links (a, b) with the m of their a from least (a, m, n), n being the rows of a. Hubs, whose number hot_from bounds,
+    are joined where their links are; only links of other nodes are dealt by node."""
+    hub = F.col("n") >= hot_from(rows)
+    hubs, others = F.broadcast(least.where(hub).drop("n")), least.where(~hub).drop("n")
+    return links.join(hubs, "a").unionByName(links.join(hubs.select("a"), "a", "left_anti").join(others, "a"))
+
+
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    joined = _with_least(both, least, 2 * rows)
+    return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(links, least, rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
