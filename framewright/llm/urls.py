@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import WHITE, ascii_lower, cut
 from .graph import connected_components
 
 
@@ -30,10 +30,6 @@ RULES = (
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
-#: Prefixes of hosts and parameters that don't change the page an address leads to.
-ALIAS_HOSTS, TRACKING = r"^(?:www|m)\.", r"^(?:utm_[a-z]+|ref|fbclid|gclid)="
-
-
 def host_of(url: Column) -> Column:
     return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
@@ -51,50 +47,86 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def plain_address(url: Column) -> Column:
-    """What aliases of a page share: no scheme, host prefix, tracking parameter, fragment, .html or closing slash."""
-    query = F.regexp_extract(url, r"(?s)^[^#?]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
-    path = F.regexp_replace(path_of(url), r"(?:\.html?|/)$", "")
-    return F.concat(F.regexp_replace(host_of(url), ALIAS_HOSTS, ""), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+def address_of(url: Column) -> Column:
+    """What spellings of one address share by the standard of URLs: scheme and host in lower case, no default port, no
+    fragment, and / for an empty path. Null where there is no ://."""
+    scheme = ascii_lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
+    host = F.regexp_replace(host_of(url), r"^(.*):(?:80|443)$", "$1")
+    port = F.regexp_extract(host_of(url), r":(80|443)$", 1)
+    usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    query = F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)", 1)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), F.when(usual, host).otherwise(host_of(url)), path, query))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute address that a reference in the page at url means; null for what leads to no page (mailto: and the
+    like, the page itself)."""
+    root = F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1))
+    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    named = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    rest = F.substr(target, F.char_length(named) + 1)
+    joined = F.when(named.startswith("/"), named).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), named))
+    steps = F.aggregate(
+        F.slice(F.split(joined, "/"), F.lit(2), F.size(F.split(joined, "/"))),
+        F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    closing = F.when(joined.rlike(r"/\.\.?$") & (F.size(steps) > 0), "/").otherwise("")
+    return (
+        F.when(target.contains("://"), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, "(?s)^(.*?:)//", 1), target))
+        .when((target == "") | target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .otherwise(F.concat(root, F.lit("/"), F.array_join(steps, "/"), closing, rest))
+    )
+
+
+def _value(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, without quotes and with &amp; read as &; empty where there is none."""
+    found = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    return F.replace(F.btrim(found, F.lit("\"'" + WHITE)), F.lit("&amp;"), F.lit("&"))
 
 
 def declared_targets(html: Column) -> Column:
-    """The addresses of rel=canonical links and of refresh redirects in a page's whole HTML."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>|<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), 1)
-    found = F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*[\"']?)([^\"'>\s;]+)", 1))
-    return F.when(html.rlike("(?i)canonical|http-equiv"), F.filter(found, lambda x: x.contains("://"))).otherwise(F.array().cast("array<string>"))
+    """The references of rel=canonical links and of refresh redirects in a page's whole HTML."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike("(?i)^<link") & _value(t, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")), lambda t: _value(t, "href"))
+    refresh = F.transform(
+        F.filter(tags, lambda t: t.rlike("(?i)^<meta") & (F.lower(_value(t, "http-equiv")) == "refresh")),
+        lambda t: F.regexp_extract(_value(t, "content"), r"(?is)(?:^|[;,\s])url\s*=\s*[\"']?([^\"'\s]+)", 1),
+    )
+    return F.when(html.rlike("(?i)canonical|refresh"), F.filter(F.concat(canonical, refresh), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
 
 def filter_urls(pages: DataFrame, url: str, html: str | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Adds host, path, rule and verdict to every row of pages.
 
     A row that a rule fits has the rule's verdict. Another is blocked if an address of its component is blocked by a
-    rule and none is allowed by one, and else allowed. Edges: an address to its plain form, and to the canonical and
-    redirect targets in html. Targets are judged by the rules too.
+    rule and none is allowed by one, and else allowed. Edges: a page's address to the canonical and redirect targets in
+    its html, relative ones resolved against it. Spellings of one address (see address_of) are one node; targets are
+    judged by the rules too.
 
     A null url, or one without ://, has empty host and path, no edges, and is allowed. Null html has no targets.
     Repeated rows get equal answers; an empty table stays empty. Columns named like the new ones are replaced. The
-    rules are few enough to be an expression; all else is joined by hash, with hot addresses aggregated first.
+    rules are few enough to be an expression; a node is an address's 128-bit digest, and all else is joined by it.
     """
     new = ["host", "path", "rule", "verdict"]
     address = F.col(url)
-    source = pages.where(address.contains("://"))
-    plain = source.select(address.alias("a"), plain_address(address).alias("b"))
-    edges = plain.distinct()
-    if html is not None:
-        told = source.select(address.alias("a"), F.explode(declared_targets(F.col(html))).alias("b")).distinct()
-        edges = edges.unionByName(told).unionByName(told.select(F.col("b").alias("a"), plain_address(F.col("b")).alias("b"))).distinct()
-    key = lambda c: F.xxhash64(c)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("address")).distinct()
-    judged = rule_of(host_of(F.col("address")), path_of(F.col("address")), rules)
-    parts = connected_components(edges.select(key("a").alias("a"), key("b").alias("b")))
-    members = ends.select(key("address").alias("node"), judged["verdict"].alias("said")).join(parts, "node")
-    said = members.groupBy("component").agg(F.bool_or(F.col("said") == "allow").alias("allowed"), F.bool_or(F.col("said") == "block").alias("blocked"))
-    verdicts = parts.join(said, "component").where("blocked and not coalesce(allowed, false)").select(F.col("node").alias("__node"), F.lit("block").alias("__said"))
-    host, path = host_of(address), path_of(address)
-    own = rule_of(host, path, rules)
-    rows = pages.drop(*new).withColumns({"host": host, "path": path, "__own": own, "__node": F.when(address.contains("://"), key(address))})
+    key = lambda c: F.md5(address_of(c))
+    targets = declared_targets(F.col(html)) if html is not None else F.array().cast("array<string>")
+    told = pages.where(address.contains("://")).select(address.alias("a"), F.explode(targets).alias("t"))
+    # Read from the pages once: each text is matched here and nowhere else.
+    edges = cut(told.select("a", resolved(F.col("t"), F.col("a")).alias("b")).where("b is not null").distinct())
+    nodes = edges.select(key(F.col("a")).alias("a"), key(F.col("b")).alias("b"))
+    judged = lambda c: rule_of(host_of(address_of(c)), path_of(address_of(c)), rules)["verdict"]
+    ends = edges.select(F.explode(F.array("a", "b")).alias("address")).select(key(F.col("address")).alias("node"), judged(F.col("address")).alias("said"))
+    parts = cut(connected_components(nodes))
+    said = ends.where("said is not null").distinct().join(parts, "node").groupBy("component")
+    blocked = said.agg(F.bool_or(F.col("said") == "allow").alias("allowed"), F.bool_or(F.col("said") == "block").alias("blocked")).where("blocked and not allowed")
+    verdicts = parts.join(blocked, "component").select(F.col("node").alias("__node"), F.lit("block").alias("__said"))
+    own = rule_of(host_of(address), path_of(address), rules)
+    rows = pages.drop(*new).withColumns({"host": host_of(address), "path": path_of(address), "__own": own, "__node": key(address)})
     return (
         rows.join(verdicts, "__node", "left")
         .withColumns({"rule": F.col("__own.rule"), "verdict": F.coalesce("__own.verdict", "__said", F.lit("allow"))})
