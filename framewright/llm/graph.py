@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_from
 
+#: Shares of a hub's links at a join, and rows of a partition.
+SALTS, PART_ROWS = 64, 100_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph given as edges (a, b) of comparable keys.
@@ -22,6 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = cut(links)
+    # A step has no more rows than the links and nodes there were at first.
     before, now = None, _state(links)
     while now != before:
         links = cut(_small_star(_large_star(links, now[0]), now[0]))
@@ -38,24 +42,38 @@ def _state(links: DataFrame) -> tuple[int, int | None]:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _with_least(links: DataFrame, least: DataFrame, rows: int) -> DataFrame:
-    """links (a, b) with the m of their a from least (a, m, n), n being the rows of a. Hubs, whose number hot_from bounds,
-    are joined where their links are; only links of other nodes are dealt by node."""
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as its rows need, however many the session deals out: the steps are many and small."""
+    return df.coalesce(max(1, rows // PART_ROWS))
+
+
+def _with_least(links: DataFrame, rows: int) -> DataFrame:
+    """links (a, b) with m, the smallest b of their a. The m of a hub is repeated for SALTS shares, which b picks, so that
+    a hub's links are not one task's; hot_from bounds the hubs."""
+    least = _sized(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), rows)
+    if rows < hot_from(rows):  # too few links for any hub
+        return _sized(links.join(least.drop("n"), "a"), rows)
     hub = F.col("n") >= hot_from(rows)
-    hubs, others = F.broadcast(least.where(hub).drop("n")), least.where(~hub).drop("n")
-    return links.join(hubs, "a").unionByName(links.join(hubs.select("a"), "a", "left_anti").join(others, "a"))
+    shares = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    hubs = F.broadcast(least.where(hub).select("a", F.lit(True).alias("hub")))
+    share = F.when(F.col("hub").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    dealt = links.join(hubs, "a", "left").select("a", "b", share.alias("share"))
+    joined = dealt.join(least.select("a", "m", F.explode(shares).alias("share")), ["a", "share"])
+    return _sized(joined.select("a", "b", "m"), rows)
+
+
+def _pairs(links: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """The distinct (a, b) that the named columns of every row give."""
+    each = F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs]))
+    return links.select(each.alias("p")).select("p.a", "p.b")
 
 
 def _large_star(links: DataFrame, rows: int) -> DataFrame:
     """Joins every larger neighbour of a node to the smallest of the node and its neighbours."""
-    both = links.union(links.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-    joined = _with_least(both, least, 2 * rows)
-    return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    joined = _with_least(_pairs(links, ("a", "b"), ("b", "a")), 2 * rows).where("b > a")
+    return _sized(joined.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), rows)
 
 
 def _small_star(links: DataFrame, rows: int) -> DataFrame:
     """Joins a node and its smaller neighbours to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(links, least, rows).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    return _sized(_pairs(_with_least(links, rows), ("b", "m"), ("a", "m")).where("a <> b").distinct(), rows)
