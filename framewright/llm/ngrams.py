@@ -426,9 +426,13 @@ def _all_links(found: DataFrame, pairs: DataFrame, vectors: DataFrame, threshold
     links = cut(linked(first, vectors, threshold))
     rest = cut(_apart(pairs, cut(connected_components(links))).join(first, ["a", "b"], "left_anti"))
     links = cut(links.unionByName(linked(rest, vectors, threshold)))
-    parts = connected_components(links).select(F.col("node").alias("sid"), "component")
+    homes = cut(connected_components(links))
     large = found.where("sig is not null")
-    group = large.select("sig", F.col("b").alias("sid")).distinct().join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    # Only groups with a member that its hub isn't connected with can have links left; all else stays unjoined.
+    open_sigs = large.join(_apart(pairs, homes), ["a", "b"], "left_semi").select("sig").distinct()
+    members = large.join(open_sigs, "sig", "left_semi").select("sig", F.col("b").alias("sid")).distinct()
+    parts = homes.select(F.col("node").alias("sid"), "component")
+    group = members.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     live = group.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), (F.min("component") < F.max("component")).alias("live")).where("live")
     group = cut(group.join(live, "sig").select("sig", "sid", "component", "blocks"))
     late = cut(close_pairs(group, vectors, threshold).distinct())
