@@ -150,5 +150,9 @@ def role_of(name: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts a2 before a10: the text before the first number, then that number."""
-    return F.struct(F.regexp_extract(name, r"^\D*", 0), F.coalesce(F.expr("null").cast("bigint"), F.try_to_number(F.regexp_extract(name, r"\d+", 0), F.lit("999999999999999999"))), name)
+    """Sorts a2 before A10 and a1b2 before a1b10: the text in lower case, cut at all runs of digits, each run with its
+    number. A run of over 18 digits sorts by its length and digits."""
+    pairs = F.regexp_extract_all(F.lower(name), F.lit(r"(\D*)(\d*)"), 0)
+    part = lambda x, pattern: F.regexp_extract(x, pattern, 0)
+    digits = lambda x: F.regexp_replace(part(x, r"\d+$"), "^0+(?=.)", "")
+    return F.transform(pairs, lambda x: F.struct(part(x, r"^\D*").alias("text"), F.length(digits(x)).alias("digits"), digits(x).alias("number")))

@@ -30,9 +30,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def metric_lines(metrics: DataFrame, step: str = "step", phase: str = "phase") -> DataFrame:
-    """(value): one JSON line for each step and phase out of (step, phase, key, value) rows."""
+    """(value): one JSON line for each step and phase out of (step, phase, key, value) rows; of values that share a step,
+    phase and key the largest is taken, since rows have no order."""
+    one = metrics.groupBy(step, phase, "key").agg(F.max("value").alias("value"))
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
-    return metrics.groupBy(step, phase).agg(pairs.alias("m")).select(F.to_json(F.struct(step, phase, "m")).alias("value"))
+    return one.groupBy(step, phase).agg(pairs.alias("m")).select(F.to_json(F.struct(step, phase, "m")).alias("value"))
 
 
 def result_json(rows: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Hand-made cases and plain-loop comparisons of the core library."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,26 @@ def test_core_does_not_import_the_training_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert ".llm" not in p.read_text(), p
+
+
+def test_natural_key_reads_all_numbers(spark):
+    from framewright.functions.text import natural_key
+
+    names = ["a10", "A2", "a1b10", "a1b2", "B1", "b", "007", "7a", "12345678901234567890123", "", "a1"]
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(natural_key(F.col("n")), "n").collect()]
+    cut = lambda n: [(t.lower(), int(d or -1)) for t, d in re.findall(r"(\D*)(\d*)", n) if t or d]
+    assert got == sorted(names, key=lambda n: (cut(n), n))
+
+
+def test_metric_lines_take_one_value_of_a_key(spark):
+    from framewright.sources.writers import metric_lines
+
+    rows = spark.createDataFrame([(1, "a", "x", 1.0), (1, "a", "x", 2.0), (1, "a", "y", 0.5)], "step int, phase string, key string, value double")
+    assert [r.value for r in metric_lines(rows).collect()] == ['{"step":1,"phase":"a","m":{"x":2.0,"y":0.5}}']
+
+
+def test_flattened_names_nested_fields(spark):
+    from framewright.operators.summaries import flattened
+
+    df = spark.sql("SELECT named_struct('b', 1, 'c', named_struct('d', 2)) AS a, 3 AS e")
+    assert flattened(df).columns == ["a/b", "a/c/d", "e"] and flattened(df).first() == (1, 2, 3)
