@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, hot_from
 
-#: Shares of a hub's links at a join, and rows of a partition.
-SALTS, PART_ROWS = 64, 100_000
+#: Shares of a hub's links at a join, rows of a partition, and links from which a node is a hub: fewer are one task's.
+SALTS, PART_ROWS, HUB_ROWS = 64, 100_000, 1_000_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -51,9 +51,10 @@ def _with_least(links: DataFrame, rows: int) -> DataFrame:
     """links (a, b) with m, the smallest b of their a. The m of a hub is repeated for SALTS shares, which b picks, so that
     a hub's links are not one task's; hot_from bounds the hubs."""
     least = _sized(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), rows)
-    if rows < hot_from(rows):  # too few links for any hub
+    most = max(HUB_ROWS, hot_from(rows))
+    if rows < most:  # too few links for any hub
         return _sized(links.join(least.drop("n"), "a"), rows)
-    hub = F.col("n") >= hot_from(rows)
+    hub = F.col("n") >= most
     shares = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
     hubs = F.broadcast(least.where(hub).select("a", F.lit(True).alias("hub")))
     share = F.when(F.col("hub").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))

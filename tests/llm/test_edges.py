@@ -37,7 +37,8 @@ def test_exact_dedup_of_empty_and_new_tables(spark):
     assert {r.keep for r in exact.dedup(new, index, history_first=False).collect()} == {1, 2, 3}
 
 
-def test_components_with_hubs_paths_and_loops(spark):
+def test_components_with_hubs_paths_and_loops(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUB_ROWS", 1024)
     edges = [(9000, k) for k in range(9001, 10500)] + [(k, k + 1) for k in range(20)] + [(50, 50), (70, 60), (None, 3)]
     got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: 9000 for k in range(9000, 10500)} | {k: 0 for k in range(21)} | {50: 50, 70: 60, 60: 60}
