@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker_cache
 
 #: Code points of a chunk and of the overlap with the next; the pattern never looks more than MARGIN past a match that
 #: ends before a chunk's end.
@@ -143,13 +143,11 @@ class Codec:
         return [m.end() for m in self.pattern.finditer(text) if last or m.end() <= len(text) - MARGIN]
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    kept = worker_cache("bpe")
+    if (path, pattern) not in kept:
+        kept[path, pattern] = Codec(path, pattern)
+    return kept[path, pattern]
 
 
 def _mapped(df: DataFrame, column: str, to: str, kind: str, f) -> DataFrame:

@@ -24,6 +24,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "1000")
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What an operator keeps in a Python worker, which outlives its stage; what other operators kept is dropped."""
+    if operator not in _kept:
+        _kept.clear()
+        _kept[operator] = {}
+    return _kept[operator]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z only; other letters keep their case."""
     return F.translate(text, UPPER, UPPER.lower())

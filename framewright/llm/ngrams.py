@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, worker_cache
 from .graph import connected_components
 
 #: Pieces of each part; subsets leave out one of them.
@@ -187,6 +187,7 @@ def signatures(value: np.ndarray, of: np.ndarray, n_texts: int, threshold: int)
 
 def _slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, ends) of runs of texts of a string column of about SLICE bytes; nulls are empty."""
+    worker_cache("ngrams")  # drops what operators before this one kept in the worker
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)

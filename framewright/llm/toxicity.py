@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, small_batches, worker_cache
 
 ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
@@ -232,16 +232,13 @@ class Features:
         return np.array(of, int), np.concatenate(found), np.array(marked, bool)
 
 
-_features: dict[tuple[str, ...], Features] = {}
-
-
 def remembered(landmarks: list[str]) -> Features:
     """The Python worker's kernels with these landmarks; those with others are forgotten."""
-    key = tuple(landmarks)
-    if key not in _features:
-        _features.clear()
-        _features[key] = Features(landmarks)
-    return _features[key]
+    kept, key = worker_cache("toxicity"), tuple(landmarks)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Features(landmarks)
+    return kept[key]
 
 
 def _document_counts(labelled: DataFrame) -> DataFrame:
