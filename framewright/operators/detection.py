@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, iou
 from .groups import map_groups
+from .ranges import latest_max, running
 
 
 def iou_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], id_: str, box_: str = "box", overlapping: bool = False) -> DataFrame:
@@ -39,46 +40,59 @@ def assign(pairs: DataFrame, keys: Sequence[str], low: float, high: float, rescu
     return out.join(saved, [*keys, "l"], "left").withColumn("label", F.when(F.col("__saved"), 1).otherwise(F.col("label"))).drop("__saved")
 
 
-def match_greedy(det: DataFrame, truth: DataFrame, keys: Sequence[str], threshold: float, order: Sequence[Column]) -> DataFrame:
-    """det with tp and fp: each detection goes to its best object; in order, the first to claim an object that it
-    overlaps by threshold is right, later ones are wrong, and objects marked difficult count neither way.
+def match_levels(det: DataFrame, truth: DataFrame, keys: Sequence[str], thresholds: Sequence[float], order: Sequence[Column]) -> DataFrame:
+    """det with threshold, tp and fp, once for each threshold: each detection goes to its best object; in order, the first
+    to claim an object that it overlaps by the threshold is right, later ones are wrong, and objects marked difficult
+    count neither way.
 
-    det and truth have keys, id and box, truth also difficult. The best object doesn't depend on claims, so that a
-    window over objects settles them all.
+    det and truth have keys, id and box, truth also difficult. The best object depends on neither claims nor thresholds,
+    so that overlaps are found once and a window over objects settles them all.
     """
-    pairs = iou_pairs(det, truth, keys, "id").groupBy(*keys, "l").agg(F.max_by(F.struct("r", "iou"), F.struct("iou", -F.col("r"))).alias("b")).select(*keys, F.col("l").alias("id"), F.col("b.r").alias("object"), F.col("b.iou").alias("iou"))
-    found = det.join(pairs, [*keys, "id"], "left").join(truth.select(*keys, F.col("id").alias("object"), "difficult"), [*keys, "object"], "left")
-    near = F.coalesce(F.col("iou") >= threshold, F.lit(False))
+    best = F.max_by(F.struct("r", "iou"), F.struct("iou", -F.col("r"))).alias("b")
+    pairs = iou_pairs(det, truth, keys, "id").groupBy(*keys, "l").agg(best)
+    pairs = pairs.select(*keys, F.col("l").alias("id"), F.col("b.r").alias("object"), F.col("b.iou").alias("iou"))
+    objects = truth.select(*keys, F.col("id").alias("object"), "difficult")
+    found = det.join(pairs, [*keys, "id"], "left").join(objects, [*keys, "object"], "left")
+    found = found.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    near = F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False))
     claim = F.when(near, F.col("object"))
-    rank = F.row_number().over(Window.partitionBy(*keys, claim).orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("threshold", *keys, claim).orderBy(*order))
     easy = ~F.coalesce(F.col("difficult"), F.lit(False))
-    ranked = found.withColumn("__rank", rank)
-    return ranked.withColumns({"tp": (near & easy & (F.col("__rank") == 1)).cast("int"), "fp": (~near | easy & (F.col("__rank") > 1)).cast("int")}).drop("__rank", "difficult")
+    first = F.col("__rank") == 1
+    right, wrong = near & easy & first, ~near | easy & ~first
+    marked = found.withColumn("__rank", rank).withColumns({"tp": right.cast("int"), "fp": wrong.cast("int")})
+    return marked.drop("__rank", "difficult")
+
+
+def match_greedy(det: DataFrame, truth: DataFrame, keys: Sequence[str], threshold: float, order: Sequence[Column]) -> DataFrame:
+    """match_levels at one threshold."""
+    return match_levels(det, truth, keys, [threshold], order).drop("threshold")
 
 
 def precision_recall(matched: DataFrame, keys: Sequence[str], order: Sequence[Column], positives: Column) -> DataFrame:
-    """Adds recall, precision and envelope: the best precision at this recall or a higher one."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tp, fp = F.sum("tp").over(upto), F.sum("fp").over(upto)
-    curve = matched.withColumns({"recall": F.try_divide(tp, positives), "precision": F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)), "__at": F.row_number().over(w)})
-    back = Window.partitionBy(*keys).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return curve.withColumn("envelope", F.max("precision").over(back))
+    """Adds recall, precision and envelope: the best precision at this recall or a higher one. keys may be few."""
+    curve = running(matched, keys, order, {"__tp": F.col("tp"), "__fp": F.col("fp"), "__row": F.lit(1)})
+    tp, fp = F.col("__tp"), F.col("__fp")
+    step = {
+        "recall": F.try_divide(tp, positives),
+        "precision": F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)),
+        "__before": F.when(F.col("__row") == 1, -1.0).otherwise(F.try_divide(tp - F.col("tp"), positives)),
+    }
+    return latest_max(curve.withColumns(step), keys, "precision", "envelope")
 
 
 def average_precision(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, ap): the area under the envelope over all recall steps."""
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy(*keys).orderBy("__at")), F.lit(0.0))
-    return curve.withColumn("__step", F.col("recall") - before).groupBy(*keys).agg(F.sum(F.col("__step") * F.col("envelope")).alias("ap"))
+    step = F.col("recall") - F.greatest(F.col("__before"), F.lit(0.0))
+    return curve.groupBy(*keys).agg(F.sum(step * F.col("envelope")).alias("ap"))
 
 
 def interpolated_precision(curve: DataFrame, keys: Sequence[str], points: int = 101) -> DataFrame:
-    """(keys, ap): mean of the envelope at equally spaced recalls; 0 where none is reached."""
+    """(keys, ap): mean of the envelope at equally spaced recalls (101 or 11, as a rule); 0 where none is reached."""
     levels = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / (points - 1))
     # The envelope falls, so each row answers for the levels between the recall before it and its own.
-    before = F.coalesce(F.lag("recall").over(Window.partitionBy(*keys).orderBy("__at")), F.lit(-1.0))
     mine = F.size(F.filter(levels, lambda x: (x > F.col("__before")) & (x <= F.col("recall"))))
-    return curve.withColumn("__before", before).groupBy(*keys).agg((F.sum(mine * F.col("envelope")) / points).alias("ap"))
+    return curve.groupBy(*keys).agg((F.sum(mine * F.col("envelope")) / points).alias("ap"))
 
 
 def recall_at(best: DataFrame, positives: Column, thresholds: Sequence[float]) -> DataFrame:
@@ -204,12 +218,12 @@ def panoptic_quality(segments: DataFrame) -> DataFrame:
 
 def lovasz(df: DataFrame, keys: Sequence[str], error: str, truth: str) -> DataFrame:
     """(keys, loss): the Lovasz extension of the IoU loss; keys without a true row are left out. truth is 0 or 1."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(error), F.desc(truth))
-    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    hits, total, seen = F.sum(truth).over(upto), F.sum(truth).over(whole), F.row_number().over(w)
-    rows = df.withColumns({"__total": total, "__jaccard": 1 - (total - hits) / (total + seen - hits), "__at": seen})
-    grad = F.col("__jaccard") - F.coalesce(F.lag("__jaccard").over(w), F.lit(0.0))
-    return rows.where("__total > 0").withColumn("__part", F.col(error) * grad).groupBy(*keys).agg(F.sum("__part").alias("loss"))
+    placed = running(df, keys, [F.desc(error), F.desc(truth)], {"__hits": F.col(truth), "__seen": F.lit(1)})
+    total, hits, seen = F.col("__hits_all"), F.col("__hits"), F.col("__seen")
+    jaccard = lambda h, k: 1 - (total - h) / (total + k - h)
+    before = F.when(seen == 1, 0.0).otherwise(jaccard(hits - F.col(truth), seen - 1))
+    part = F.col(error) * (jaccard(hits, seen) - before)
+    return placed.where(total > 0).groupBy(*keys).agg(F.sum(part).alias("loss"))
 
 
 def cover_greedily(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
 from .sequences import dense_number
 
 
@@ -29,9 +30,9 @@ def split_random(df: DataFrame, key: str, ratio: float, seed: int = 42, to: str
 
 def split_stratified(df: DataFrame, stratum: str, key: str, ratio: float, seed: int = 42, to: str = "side") -> DataFrame:
     """The same within every stratum."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(draw(key, seed), key))
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return df.withColumn(to, F.when(rank <= F.greatest(F.lit(1), F.floor(n * ratio)), "val").otherwise("train"))
+    placed = running(df, [stratum], [draw(key, seed), F.col(key)], {"__r": F.lit(1)})
+    val = F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__r_all") * ratio))
+    return placed.withColumn(to, F.when(val, "val").otherwise("train")).drop("__r", "__r_all", "__part", "__at")
 
 
 def split_groups(df: DataFrame, group: Column, ratio: float, seed: int = 42, to: str = "side") -> DataFrame:
@@ -58,8 +59,7 @@ def leaks(df: DataFrame, group: Column, side: str = "side") -> DataFrame:
 def balanced(df: DataFrame, bucket: str, key: str, total: int, buckets: int, seed: int = 42) -> DataFrame:
     """total rows: total // buckets of each bucket, and the rest from what is left over, all by draw."""
     each = total // buckets
-    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(draw(key, seed), key))
-    ranked = df.withColumn("__r", rank)
+    ranked = running(df, [bucket], [draw(key, seed), F.col(key)], {"__r": F.lit(1)}).drop("__r_all", "__part", "__at")
     first = ranked.where(F.col("__r") <= each)
     size = first.agg(F.count("*").alias("__n"))
     spare = dense_number(ranked.where(F.col("__r") > each).withColumn("__draw", draw(key, seed)), ["__draw", key], "__k").crossJoin(F.broadcast(size)).where(F.col("__k") <= total - F.col("__n"))
@@ -69,7 +69,7 @@ def balanced(df: DataFrame, bucket: str, key: str, total: int, buckets: int, see
 def rarest_bucket(labels: DataFrame, key: str, label: str, other: str = "other") -> DataFrame:
     """(key, bucket): the label of each key that fewest keys have; ties to the first by name, none to other."""
     counts = labels.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__n"))
-    joined = labels.join(F.broadcast(counts), label, "left")
+    joined = labels.join(counts, label, "left")
     return joined.groupBy(key).agg(F.coalesce(F.min_by(label, F.struct(F.coalesce("__n", F.lit(2**62)), label)), F.lit(other)).alias("bucket"))
 
 

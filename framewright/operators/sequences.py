@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..storage import materialise
+from .clips import middle_frames
+from .ranges import running
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -83,10 +85,9 @@ def subsample_middle(df: DataFrame, clip: str, t: str, n: int) -> DataFrame:
     """(clip, k, t): the middle frame of each of n equal intervals; clips shorter than n repeat their last frame."""
     w = Window.partitionBy(clip).orderBy(t)
     placed = df.select(clip, t, (F.row_number().over(w) - 1).alias("at"), F.count("*").over(Window.partitionBy(clip)).alias("size"))
-    wanted = placed.select(clip, "size").distinct().select(clip, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"), "size")
-    step = F.col("size") / n
-    middle = F.least(F.when(F.col("size") < n, F.col("k")).otherwise(F.floor(step * F.col("k") + step / 2)), F.col("size") - 1)
-    return wanted.withColumn("at", middle.cast("int")).join(placed.select(clip, "at", t), [clip, "at"]).select(clip, "k", t)
+    sizes = placed.groupBy(clip).agg(F.first("size").alias("size"))
+    wanted = sizes.select(clip, F.posexplode(middle_frames(F.col("size"), n)).alias("k", "at"))
+    return wanted.join(placed.select(clip, F.col("at").cast("bigint").alias("at"), t), [clip, "at"]).select(clip, "k", t)
 
 
 def clip_windows(frames: DataFrame, video: str, t: str, length: int) -> DataFrame:
@@ -148,9 +149,9 @@ def gated(answers: DataFrame, keys: Sequence[str], order: str, yes: str) -> Data
 
 def top_fraction_mean(df: DataFrame, keys: Sequence[str], value: str, fraction: float) -> DataFrame:
     """(keys, score): mean of the largest int(n * fraction) values; null where that is none."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(value))
-    placed = df.withColumns({"__r": F.row_number().over(w), "__n": F.count("*").over(Window.partitionBy(*keys))})
-    return placed.groupBy(*keys).agg(F.avg(F.when(F.col("__r") <= F.floor(F.col("__n") * fraction), F.col(value))).alias("score"))
+    placed = running(df, keys, [F.desc(value)], {"__r": F.lit(1)})
+    top = F.col("__r") <= F.floor(F.col("__r_all") * fraction)
+    return placed.groupBy(*keys).agg(F.avg(F.when(top, F.col(value))).alias("score"))
 
 
 def quantile_map(df: DataFrame, value: str) -> DataFrame:
@@ -160,6 +161,33 @@ def quantile_map(df: DataFrame, value: str) -> DataFrame:
     return ranked.crossJoin(F.broadcast(total)).select(value, (F.col("rank") / (F.col("__n") + 1)).alias("q"))
 
 
+def inverse_map(source: DataFrame, value: str, target: DataFrame, target_value: str) -> DataFrame:
+    """(value, q, mapped): the value of target at each source value's quantile, between target's values by a straight line.
+    Values of source differ; the i-th of m sorted target values is the quantile i / m, and beyond the last is that one."""
+    places = dense_number(target.select(F.col(target_value).alias("__v")), ["__v"], "__i", start=0)
+    following = places.select((F.col("__i") - 1).alias("__i"), F.col("__v").alias("__next"))
+    total = target.agg(F.count("*").alias("__m"))
+    at = F.col("q") * F.col("__m")
+    placed = quantile_map(source, value).crossJoin(F.broadcast(total))  # one row
+    placed = placed.withColumn("__i", F.least(F.floor(at), F.col("__m") - 1))
+    both = placed.join(places, "__i").join(following, "__i", "left")
+    line = F.col("__v") + (at - F.col("__i")) * (F.coalesce("__next", "__v") - F.col("__v"))
+    return both.select(value, "q", line.alias("mapped"))
+
+
+def mapping_table(mapped: DataFrame, steps: int = 100) -> DataFrame:
+    """(score, mapped): for scores 0, 1 / steps, 2 / steps and so on, what inverse_map gave the nearest quantile, ties to
+    the smaller one."""
+    total = mapped.agg(F.count("*").alias("__n"))
+    scores = mapped.sparkSession.range(steps).select((F.col("id") / steps).alias("score")).crossJoin(F.broadcast(total))  # one row
+    low = F.floor(F.col("score") * (F.col("__n") + 1))
+    near = F.transform(F.array(low - 1, low, low + 1, low + 2), lambda r: F.least(F.greatest(r, F.lit(1)), F.col("__n")))
+    wanted = scores.select("score", F.explode(F.array_distinct(near)).alias("__rank"))
+    ranked = mapped.crossJoin(F.broadcast(total)).select(F.round(F.col("q") * (F.col("__n") + 1)).cast("bigint").alias("__rank"), "q", "mapped")
+    gap = F.struct(F.abs(F.col("q") - F.col("score")), F.col("q"))
+    return ranked.join(F.broadcast(wanted), "__rank").groupBy("score").agg(F.min_by("mapped", gap).alias("mapped"))
+
+
 def run_lengths(df: DataFrame, key: str, order: str, bit: str) -> DataFrame:
     """(key, counts): lengths of alternating runs of a 0/1 column; the first run is of zeros, perhaps of none."""
     w = Window.partitionBy(key).orderBy(order)

@@ -22,7 +22,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> Data
     """(keys, bin, n): equal bins between a key's least and greatest value; the last holds its end."""
     v = F.col(value).cast("double")
     ends = df.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    joined = df.join(F.broadcast(ends), list(keys)) if keys else df.crossJoin(F.broadcast(ends))
+    joined = df.join(ends, list(keys)) if keys else df.crossJoin(F.broadcast(ends))
     at = F.coalesce(F.floor(F.try_divide(v - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins), F.lit(0))
     return joined.where(v.isNotNull()).groupBy(*keys, F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 

@@ -14,12 +14,12 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, id, class, score, box of every line item."""
     c = F.col
     b = G.from_xywh(c("l_partkey") % 50, c("l_suppkey") % 50, c("l_quantity"), c("l_linenumber") * 5 + 1)
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"))
     score = F.round(c("l_discount") * 10 + c("l_tax"), 6)
     return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image"), rank.alias("id"), c("l_returnflag").alias("class"), score.alias("score"), b.struct().alias("box"), "l_discount")
 
 
-_BOXES = """WITH b AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber) AS id, l_returnflag AS class, round(l_discount * 10 + l_tax, 6) AS score,
+_BOXES = """WITH b AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag) AS id, l_returnflag AS class, round(l_discount * 10 + l_tax, 6) AS score,
   CAST(l_partkey % 50 AS DOUBLE) AS x0, CAST(l_suppkey % 50 AS DOUBLE) AS y0, l_partkey % 50 + l_quantity AS x1, CAST(l_suppkey % 50 + l_linenumber * 5 + 1 AS DOUBLE) AS y1 FROM lineitem),
 p AS (SELECT *, i / ((ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) - i) AS iou FROM (
   SELECT a.image, a.id AS l, b.id AS r, a.class AS ca, b.class AS cb, a.score AS score, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1,

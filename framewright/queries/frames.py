@@ -52,8 +52,9 @@ def f14_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS at, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-k AS (SELECT DISTINCT user_id, n, unnest(range(4)) AS k FROM p)
-SELECT k.user_id, k.k, p.event_id FROM k JOIN p ON p.user_id = k.user_id AND p.at = least(CASE WHEN k.n < 4 THEN k.k ELSE floor(k.n / 4.0 * k.k + k.n / 4.0 / 2) END, k.n - 1)""")
+k AS (SELECT DISTINCT user_id, n, least(n, 4) AS c, unnest(range(4)) AS k FROM p),
+b AS (SELECT *, floor(least(k, c - 1) * (n / c)) AS low, CASE WHEN least(k, c - 1) + 1 = c THEN n ELSE floor((least(k, c - 1) + 1) * (n / c)) END AS high FROM k)
+SELECT b.user_id, b.k, p.event_id FROM b JOIN p ON p.user_id = b.user_id AND p.at = floor((b.low + b.high - 1) / 2)""")
 def f16_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.subsample_middle(table(spark, sf_dir, "events"), "user_id", "event_id", 4)
 
