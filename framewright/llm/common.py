@@ -63,3 +63,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a reliable checkpoint in the shared folder; it survives lost executors."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, for files that Spark doesn't write itself."""
+    shared_checkpoints(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")

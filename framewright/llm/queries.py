@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, lines, lm, mixing, ngrams, sharding, toxicity, urls
-from .common import table
+from . import ann, bpe, exact, lines, lm, mixing, ngrams, sharding, toxicity, urls, warc
+from .common import shared_folder, table
 
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
 #: Target weights of the sources of a training mix; sources that aren't named share weight 8.
@@ -90,6 +91,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, "text", lm.train(docs, good, "text"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder, "page_id", "url", "html")
+    records = warc.checked(warc.read(spark, folder))
+    number = lambda c: warc.key_of(F.col(c)).cast("bigint")
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,11 +106,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_mixing, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_nearest, op7_exact_dedup, op8_url_filter, op9_bpe, op10_lm_score, pipeline)
+    f.__name__: f for f in (op1_sharding, op2_mixing, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_nearest, op7_exact_dedup, op8_url_filter, op9_bpe, op10_lm_score, op11_warc, pipeline)
 }
 ORACLE_SQL = {
     "op1_sharding": sharding.oracle_sql(SHARDS),
     "op2_mixing": mixing.oracle_sql(WEIGHTS),
     "op5_line_dedup": lines.ORACLE_SQL,
     "op7_exact_dedup": exact.ORACLE_SQL,
+    "op11_warc": warc.ORACLE_SQL,
 }
