@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact, lines, lm, mixing, ngrams, sharding, toxicity, urls, warc
+from . import ann, bpe, exact, lexical, lines, lm, mixing, negatives, ngrams, sharding, toxicity, urls, warc
 from .common import shared_folder, table
 
 SHARDS = tuple(f"shard-{k:02d}" for k in range(16))
@@ -99,6 +99,17 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), "vec_id", "label", "embedding", F.col("vec_id") % 50 == 0)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return found.withColumnsRenamed({"item": "item_id", "doc": "doc_id"})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,7 +117,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_mixing, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_nearest, op7_exact_dedup, op8_url_filter, op9_bpe, op10_lm_score, op11_warc, pipeline)
+    f.__name__: f for f in (op1_sharding, op2_mixing, op3_toxicity, op4_ngram_join, op5_line_dedup, op6_nearest, op7_exact_dedup, op8_url_filter, op9_bpe, op10_lm_score, op11_warc, op12_hard_negatives, op13_lexical, pipeline)
 }
 ORACLE_SQL = {
     "op1_sharding": sharding.oracle_sql(SHARDS),
@@ -114,4 +125,6 @@ ORACLE_SQL = {
     "op5_line_dedup": lines.ORACLE_SQL,
     "op7_exact_dedup": exact.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
+    "op12_hard_negatives": negatives.ORACLE_SQL,
+    "op13_lexical": lexical.ORACLE_SQL,
 }
