@@ -26,6 +26,8 @@ ANCHOR_NUMBERS, ROWS, ANCHORS, PAIRS = 1 << 22, 4096, 256, 1 << 16
 SCALE = 256.0
 #: Sums in double precision are off by less than this share of the product of two norms.
 SLACK = 1e-11
+#: Components from which on squares may leave the doubles.
+LARGEST = 1e100
 
 
 class Codebook(NamedTuple):
@@ -55,7 +57,7 @@ def integers(column: pa.Array, dim: int) -> np.ndarray:
     sizes = np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(lists), dim))
     out[np.arange(dim) < sizes[:, None]] = np.floor(SCALE * lists.flatten().to_numpy(zero_copy_only=False))
-    if not np.isfinite(out).all():
+    if (np.abs(out) > LARGEST).any():
         raise OverflowError("a component is too large")
     return out
 
@@ -259,7 +261,7 @@ def mine(df: DataFrame, key: str, label: str, vector: str, is_anchor: Column, k_
     Anchors are the rows of df for which is_anchor holds; they are taken in blocks of bounded size, each against all rows.
     Rows without key, label or vector, or with a null or non-finite component, take no part. Short vectors are filled with
     zeros. A row is never the partner of a row of its own key; rows that repeat a key count each, as anchors too. Ties go to
-    smaller keys. Integer products that 64 bits cannot hold fail the job.
+    smaller keys. Integer products that 64 bits cannot hold fail the job, and so do components beyond LARGEST.
     """
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull() & F.col(label).isNotNull() & usable(F.col(vector)))

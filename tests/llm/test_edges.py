@@ -121,3 +121,19 @@ def test_copies_are_no_evidence_of_their_own(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
     machine = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), "doc_id", "text", "toxic")
     assert any("narv" in x for x in machine.landmarks) and not any("zzy" in x or "rrw" in x for x in machine.landmarks)
+
+
+def test_url_plans_compile_and_empty_urls_spread(spark):
+    rows = [(i, None if i % 2 else "no address", f"<p>{i}</p>") for i in range(200)] + [(900, "http://a.net/x", '<link rel="canonical" href="http://x.com/de/9">'), (901, "HTTP://A.net:80/x#y", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    strict = {"spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY"}  # code that doesn't compile is an error
+    for k, v in strict.items():
+        spark.conf.set(k, v)
+    try:
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(df, "url", "html").collect()}
+    finally:
+        for k in strict:
+            spark.conf.unset(k)
+    assert got.pop(900) == ("a.net", "/x", None, "block") and got.pop(901) == ("a.net:80", "/x", None, "block")
+    assert len(got) == 200 and set(got.values()) == {("", "", None, "allow")}
+    assert urls.filter_urls(df.limit(0), "url", "html").count() == 0
