@@ -47,16 +47,14 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def address_of(url: Column) -> Column:
+def address_of(url: Column, host: Column | None = None, path: Column | None = None) -> Column:
     """What spellings of one address share by the standard of URLs: scheme and host in lower case, no default port, no
-    fragment, and / for an empty path. Null where there is no ://."""
+    fragment, and / for an empty path. Null where there is no ://. host and path may be columns that hold these of url."""
+    host, path = host_of(url) if host is None else host, path_of(url) if path is None else path
     scheme = ascii_lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))
-    host = F.regexp_replace(host_of(url), r"^(.*):(?:80|443)$", "$1")
-    port = F.regexp_extract(host_of(url), r":(80|443)$", 1)
-    usual = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
+    named = F.when(scheme == "http", F.regexp_replace(host, "^(.*):80$", "$1")).when(scheme == "https", F.regexp_replace(host, "^(.*):443$", "$1")).otherwise(host)
     query = F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), F.when(usual, host).otherwise(host_of(url)), path, query))
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), named, F.coalesce(F.nullif(path, F.lit("")), F.lit("/")), query))
 
 
 def resolved(target: Column, url: Column) -> Column:
@@ -113,22 +111,26 @@ def filter_urls(pages: DataFrame, url: str, html: str | None = None, rules: Sequ
     """
     new = ["host", "path", "rule", "verdict"]
     address = F.col(url)
-    key = lambda c: F.md5(address_of(c))
     targets = declared_targets(F.col(html)) if html is not None else F.array().cast("array<string>")
     told = pages.where(address.contains("://")).select(address.alias("a"), F.explode(targets).alias("t"))
-    # Read from the pages once: each text is matched here and nowhere else.
+    # Read from the pages once: each text is matched here and nowhere else. Addresses are columns of their own from here
+    # on, so that no expression holds another one's pattern again and again.
     edges = cut(told.select("a", resolved(F.col("t"), F.col("a")).alias("b")).where("b is not null").distinct())
-    nodes = edges.select(key(F.col("a")).alias("a"), key(F.col("b")).alias("b"))
-    judged = lambda c: rule_of(host_of(address_of(c)), path_of(address_of(c)), rules)["verdict"]
-    ends = edges.select(F.explode(F.array("a", "b")).alias("address")).select(key(F.col("address")).alias("node"), judged(F.col("address")).alias("said"))
+    edges = cut(edges.select(address_of(F.col("a")).alias("a"), address_of(F.col("b")).alias("b")))
+    nodes = edges.select(F.md5("a").alias("a"), F.md5("b").alias("b"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("address")).withColumns({"host": host_of(F.col("address")), "path": path_of(F.col("address"))})
+    ends = ends.select(F.md5("address").alias("node"), rule_of(F.col("host"), F.col("path"), rules)["verdict"].alias("said"))
     parts = cut(connected_components(nodes))
     said = ends.where("said is not null").distinct().join(parts, "node").groupBy("component")
     blocked = said.agg(F.bool_or(F.col("said") == "allow").alias("allowed"), F.bool_or(F.col("said") == "block").alias("blocked")).where("blocked and not allowed")
     verdicts = parts.join(blocked, "component").select(F.col("node").alias("__node"), F.lit("block").alias("__said"))
-    own = rule_of(host_of(address), path_of(address), rules)
-    rows = pages.drop(*new).withColumns({"host": host_of(address), "path": path_of(address), "__own": own, "__node": key(address)})
+    # Rows without an address are dealt out by all that they hold, as no verdict waits for them.
+    rows = pages.drop(*new)
+    none = F.concat(F.lit("none "), F.xxhash64(*rows.columns))
+    rows = rows.withColumns({"host": host_of(address), "path": path_of(address), "__none": F.when(~F.coalesce(address.contains("://"), F.lit(False)), none)})
+    rows = rows.withColumns({"__own": rule_of(F.col("host"), F.col("path"), rules), "__node": F.coalesce(F.md5(address_of(address, F.col("host"), F.col("path"))), "__none")})
     return (
         rows.join(verdicts, "__node", "left")
         .withColumns({"rule": F.col("__own.rule"), "verdict": F.coalesce("__own.verdict", "__said", F.lit("allow"))})
-        .drop("__own", "__node", "__said")
+        .drop("__own", "__node", "__said", "__none")
     )
