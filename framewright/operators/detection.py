@@ -12,19 +12,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, iou
+from ..functions.geometry import Box, box, iou
 from .groups import map_groups
 from .ranges import latest_max, running
 
 
-def iou_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], id_: str, box_: str = "box", overlapping: bool = False) -> DataFrame:
-    """(keys, l, r, iou) of all boxes of left and right with equal keys; overlapping leaves disjoint ones out."""
+def iou_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], id_: str, box_: str = "box", overlapping: bool = False, pixel: float = 0.0) -> DataFrame:
+    """(keys, l, r, iou) of all boxes of left and right with equal keys; overlapping leaves disjoint ones out. pixel is 1
+    where corners name pixels, so that a box holds its last ones too."""
     l = left.select(*keys, F.col(id_).alias("l"), F.col(box_).alias("__l"))  # noqa: E741
     r = right.select(*keys, F.col(id_).alias("r"), F.col(box_).alias("__r"))
     both = l.join(r, list(keys))
     if overlapping:
         both = both.where("__l.x0 < __r.x1 and __r.x0 < __l.x1 and __l.y0 < __r.y1 and __r.y0 < __l.y1")
-    return both.select(*keys, "l", "r", iou(box("__l"), box("__r")).alias("iou"))
+    whole = lambda b: Box(b.x0, b.y0, b.x1 + pixel, b.y1 + pixel) if pixel else b
+    return both.select(*keys, "l", "r", iou(whole(box("__l")), whole(box("__r"))).alias("iou"))
 
 
 def assign(pairs: DataFrame, keys: Sequence[str], low: float, high: float, rescue: bool = True) -> DataFrame:
@@ -40,33 +42,32 @@ def assign(pairs: DataFrame, keys: Sequence[str], low: float, high: float, rescu
     return out.join(saved, [*keys, "l"], "left").withColumn("label", F.when(F.col("__saved"), 1).otherwise(F.col("label"))).drop("__saved")
 
 
-def match_levels(det: DataFrame, truth: DataFrame, keys: Sequence[str], thresholds: Sequence[float], order: Sequence[Column]) -> DataFrame:
+def match_levels(det: DataFrame, truth: DataFrame, keys: Sequence[str], thresholds: Sequence[float], order: Sequence[Column], strict: bool = True, pixel: float = 1.0) -> DataFrame:
     """det with threshold, tp and fp, once for each threshold: each detection goes to its best object; in order, the first
-    to claim an object that it overlaps by the threshold is right, later ones are wrong, and objects marked difficult
-    count neither way.
+    to claim an object that it overlaps by more than the threshold (not strict: or by just that) is right, later ones are
+    wrong, and objects marked difficult count neither way.
 
-    det and truth have keys, id and box, truth also difficult. The best object depends on neither claims nor thresholds,
-    so that overlaps are found once and a window over objects settles them all.
+    det and truth have keys, id and box, truth also difficult; for pixel see iou_pairs. The best object depends on neither
+    claims nor thresholds, so that overlaps are found once. Whoever comes first at a threshold is told by the greatest
+    overlap before it on the same object, so that rows are shuffled once and repeated only after that.
     """
     best = F.max_by(F.struct("r", "iou"), F.struct("iou", -F.col("r"))).alias("b")
-    pairs = iou_pairs(det, truth, keys, "id").groupBy(*keys, "l").agg(best)
+    pairs = iou_pairs(det, truth, keys, "id", pixel=pixel).groupBy(*keys, "l").agg(best)
     pairs = pairs.select(*keys, F.col("l").alias("id"), F.col("b.r").alias("object"), F.col("b.iou").alias("iou"))
     objects = truth.select(*keys, F.col("id").alias("object"), "difficult")
     found = det.join(pairs, [*keys, "id"], "left").join(objects, [*keys, "object"], "left")
-    found = found.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    near = F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False))
-    claim = F.when(near, F.col("object"))
-    rank = F.row_number().over(Window.partitionBy("threshold", *keys, claim).orderBy(*order))
+    before = F.max("iou").over(Window.partitionBy(*keys, "object").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("__before", before).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
+    over = lambda c: F.coalesce(F.col(c) > F.col("threshold") if strict else F.col(c) >= F.col("threshold"), F.lit(False))
+    near, taken = over("iou"), over("__before")
     easy = ~F.coalesce(F.col("difficult"), F.lit(False))
-    first = F.col("__rank") == 1
-    right, wrong = near & easy & first, ~near | easy & ~first
-    marked = found.withColumn("__rank", rank).withColumns({"tp": right.cast("int"), "fp": wrong.cast("int")})
-    return marked.drop("__rank", "difficult")
+    right, wrong = near & easy & ~taken, ~near | easy & taken
+    return found.withColumns({"tp": right.cast("int"), "fp": wrong.cast("int")}).drop("__before", "difficult")
 
 
-def match_greedy(det: DataFrame, truth: DataFrame, keys: Sequence[str], threshold: float, order: Sequence[Column]) -> DataFrame:
+def match_greedy(det: DataFrame, truth: DataFrame, keys: Sequence[str], threshold: float, order: Sequence[Column], strict: bool = True, pixel: float = 1.0) -> DataFrame:
     """match_levels at one threshold."""
-    return match_levels(det, truth, keys, [threshold], order).drop("threshold")
+    return match_levels(det, truth, keys, [threshold], order, strict, pixel).drop("threshold")
 
 
 def precision_recall(matched: DataFrame, keys: Sequence[str], order: Sequence[Column], positives: Column) -> DataFrame:

@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from ..storage import materialise
 
 
+#: Rows for keys and ranges up to which they are broadcast; beyond, with very many keys, they are shuffled.
+SMALL = 100_000
+
+
 def _shifted(placed: DataFrame, keys: Sequence[str], per_range: DataFrame) -> DataFrame:
     """placed with the columns of per_range for its key and range; a null key is a key like others."""
+    per_range = materialise(per_range)
+    per_range = F.broadcast(per_range) if per_range.count() <= SMALL else per_range
     names = {k: f"__key{i}" for i, k in enumerate(keys)} | {"__part": "__from"}
     renamed = per_range.withColumnsRenamed(names)
     same = None
@@ -33,9 +39,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], s
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*[F.col(f"`{k}`") for k in keys], *order]
-    ranged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    # Ranges are cut by a sample, for which what is above would run once more.
+    ranged = materialise(df).repartitionByRange(parts, *by).sortWithinPartitions(*by)
     inputs = {f"__in_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()}
-    # Written once: ranges are cut by a sample, and both uses below must see the same ones.
+    # Written once, so that both uses below see the same ranges.
     at = F.monotonically_increasing_id()
     placed = materialise(ranged.withColumns(inputs | {"__part": F.spark_partition_id(), "__at": at}))
     totals = placed.groupBy(*keys, "__part").agg(*[F.sum(f"__in_{n}").alias(f"__sum_{n}") for n in sums])

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .ranges import running
 from .sequences import dense_number
 
@@ -57,13 +58,20 @@ def leaks(df: DataFrame, group: Column, side: str = "side") -> DataFrame:
 
 
 def balanced(df: DataFrame, bucket: str, key: str, total: int, buckets: int, seed: int = 42) -> DataFrame:
-    """total rows: total // buckets of each bucket, and the rest from what is left over, all by draw."""
+    """total rows: total // buckets of each bucket, and the rest from what is left over, all by draw.
+
+    No more than total rows of a bucket can be among them; ranks beyond are pruned before the shuffle.
+    """
     each = total // buckets
-    ranked = running(df, [bucket], [draw(key, seed), F.col(key)], {"__r": F.lit(1)}).drop("__r_all", "__part", "__at")
-    first = ranked.where(F.col("__r") <= each)
-    size = first.agg(F.count("*").alias("__n"))
-    spare = dense_number(ranked.where(F.col("__r") > each).withColumn("__draw", draw(key, seed)), ["__draw", key], "__k").crossJoin(F.broadcast(size)).where(F.col("__k") <= total - F.col("__n"))
-    return first.drop("__r").unionByName(spare.drop("__r", "__draw", "__k", "__n"))
+    drawn = df.withColumn("__draw", draw(key, seed))
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy("__draw", key))
+    ranked = materialise(drawn.withColumn("__r", rank).where(F.col("__r") <= total))
+    first = ranked.where(F.col("__r") <= each).drop("__r", "__draw")
+    missing = total - first.count()
+    if missing <= 0:
+        return first
+    spare = dense_number(ranked.where(F.col("__r") > each), ["__draw", key], "__k").where(F.col("__k") <= missing)
+    return first.unionByName(spare.drop("__r", "__draw", "__k"))
 
 
 def rarest_bucket(labels: DataFrame, key: str, label: str, other: str = "other") -> DataFrame:

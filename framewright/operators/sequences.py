@@ -126,9 +126,10 @@ def pairs_in_order(df: DataFrame, clip: str, t: str, value: str, wrap: bool = Fa
 
 
 def moves(pairs: DataFrame, clip: str, score: Column, threshold: float, frames: int = 16, share: int = 4) -> DataFrame:
-    """(clip, moving): whether enough pairs score over threshold; share of every frames pairs, halves to even."""
+    """(clip, moving): whether enough pairs score over threshold: share of every frames frames, of which a clip has one more
+    than pairs, halves to even. Clips of one frame have no pair and no row."""
     found = pairs.groupBy(clip).agg(F.count("*").alias("n"), F.count_if(score > threshold).alias("hits"))
-    return found.select(clip, (F.col("hits") >= F.bround(share * F.col("n") / frames)).alias("moving"))
+    return found.select(clip, (F.col("hits") >= F.bround(share * (F.col("n") + 1) / frames)).alias("moving"))
 
 
 def prefix_success(answers: DataFrame, keys: Sequence[str], order: str, yes: str) -> DataFrame:

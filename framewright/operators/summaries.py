@@ -42,13 +42,14 @@ def blend(df: DataFrame, key: str, name: str, value: str, weights: Mapping[str,
 def static_clips(pairs: DataFrame, key: str, score: str, wraps: Column, side: Column) -> DataFrame:
     """(key, static): few neighbouring frames differ, and the last and first frames hardly do.
 
-    side is the shorter side of a clip's frames. A score counts as motion above 3 / 256 of it; an eighth of the pairs may
-    move, and pairs that wrap around may differ by twice that many thresholds.
+    side is the shorter side of a clip's frames. A score counts as motion above 3 / 256 of it; as many pairs may move as
+    an eighth of the frames, halves to even, and the two pairs that wrap around may differ by twice that many thresholds.
+    pairs has a row for each frame but the last, and the two that wrap.
     """
     rows = pairs.select(F.col(key), F.col(score).alias("__s"), wraps.alias("__w"), (side * 3 / 256).alias("__t"))
     moving = F.count_if(~F.col("__w") & (F.col("__s") > F.col("__t")))
     found = rows.groupBy(key).agg(
-        moving.alias("__m"), F.round(F.count("*") / 8).alias("__k"), F.max(F.when(F.col("__w"), F.col("__s"))).alias("__last"), F.max("__t").alias("__t")
+        moving.alias("__m"), F.bround((F.count("*") - 1) / 8).alias("__k"), F.max(F.when(F.col("__w"), F.col("__s"))).alias("__last"), F.max("__t").alias("__t")
     )
     near = F.coalesce(F.col("__last") <= F.col("__t") * F.col("__k") * 2, F.lit(True))
     return found.select(key, ((F.col("__m") <= F.col("__k")) & near).alias("static"))

@@ -45,15 +45,19 @@ def d16_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Odd ids are detections, even ids objects, of which every seventh is difficult; matched at 0.3."""
+    """Odd ids are detections, even ids objects, of which every seventh is difficult; matched at 0.3 within a class."""
     d = detections(spark, sf_dir)
     truth = d.where("id % 2 = 0").select("image", "id", "box", "class", (F.col("id") % 7 == 0).alias("difficult"))
-    found = D.match_greedy(d.where("id % 2 = 1").select("image", "id", "box", "class", "score"), truth, ["image"], 0.3, [F.desc("score"), F.col("id")])
+    found = D.match_greedy(d.where("id % 2 = 1").select("image", "id", "box", "class", "score"), truth, ["image", "class"], 0.3, [F.desc("score"), F.col("id")])
     return found, truth
 
 
-_MATCH = _BOXES + """, best AS (SELECT image, l, r, iou FROM (SELECT *, row_number() OVER (PARTITION BY image, l ORDER BY iou DESC, r) AS k FROM p) WHERE k = 1),
-d AS (SELECT b.image, b.id, b.class, b.score, best.r, coalesce(best.iou >= 0.3, false) AS near, coalesce(best.r % 7 = 0, false) AS hard FROM b LEFT JOIN best ON best.image = b.image AND best.l = b.id WHERE b.id % 2 = 1),
+#: Overlaps within a class, of boxes that hold the pixels of both their corners.
+_SAME = """, u AS (SELECT image, l, r, j / ((ax1 - ax0 + 1) * (ay1 - ay0 + 1) + (bx1 - bx0 + 1) * (by1 - by0 + 1) - j) AS iou FROM (
+  SELECT *, greatest(least(ax1, bx1) - greatest(ax0, bx0) + 1, 0) * greatest(least(ay1, by1) - greatest(ay0, by0) + 1, 0) AS j FROM p WHERE ca = cb)),
+best AS (SELECT image, l, r, iou FROM (SELECT *, row_number() OVER (PARTITION BY image, l ORDER BY iou DESC, r) AS k FROM u) WHERE k = 1)"""
+_MATCH = _BOXES + _SAME + """,
+d AS (SELECT b.image, b.id, b.class, b.score, best.r, coalesce(best.iou > 0.3, false) AS near, coalesce(best.r % 7 = 0, false) AS hard FROM b LEFT JOIN best ON best.image = b.image AND best.l = b.id WHERE b.id % 2 = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY image, CASE WHEN near THEN r END ORDER BY score DESC, id) AS k FROM d),
 m AS (SELECT image, id, class, score, CASE WHEN near AND NOT hard AND k = 1 THEN 1 ELSE 0 END AS tp, CASE WHEN NOT near OR (NOT hard AND k > 1) THEN 1 ELSE 0 END AS fp FROM k)
 """

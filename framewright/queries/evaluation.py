@@ -13,7 +13,7 @@ from ..operators import grids as M
 from ..operators import sequences as S
 from ..plans.scorers import scorer
 from ..registry import query, table
-from .boxes import _BOXES, _MATCH, detections, matched
+from .boxes import _BOXES, _MATCH, _SAME, detections, matched
 
 
 def _curve_sql(matches: str) -> str:
@@ -23,9 +23,9 @@ c AS (SELECT t, m.class, row_number() OVER w AS k, sum(tp) OVER w / n.n AS recal
 """
 
 
-_LEVELS = _BOXES + """, best AS (SELECT image, l, r, iou FROM (SELECT *, row_number() OVER (PARTITION BY image, l ORDER BY iou DESC, r) AS k FROM p) WHERE k = 1),
+_LEVELS = _BOXES + _SAME + """,
 t AS (SELECT i / 20 AS t FROM range(10, 20) x(i)),
-d AS (SELECT b.image, b.id, b.class, b.score, best.r, t.t, coalesce(best.iou >= t.t, false) AS near, coalesce(best.r % 7 = 0, false) AS hard FROM b CROSS JOIN t LEFT JOIN best ON best.image = b.image AND best.l = b.id WHERE b.id % 2 = 1),
+d AS (SELECT b.image, b.id, b.class, b.score, best.r, t.t, coalesce(best.iou > t.t, false) AS near, coalesce(best.r % 7 = 0, false) AS hard FROM b CROSS JOIN t LEFT JOIN best ON best.image = b.image AND best.l = b.id WHERE b.id % 2 = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY t, image, CASE WHEN near THEN r END ORDER BY score DESC, id) AS k FROM d),
 m AS (SELECT t, image, id, class, score, CASE WHEN near AND NOT hard AND k = 1 THEN 1 ELSE 0 END AS tp, CASE WHEN NOT near OR (NOT hard AND k > 1) THEN 1 ELSE 0 END AS fp FROM k)
 """
@@ -43,7 +43,7 @@ def e35_ten_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision by class over overlaps from 0.5 to 0.95, at 0.5 and at 0.75."""
     truth = _truth(spark, sf_dir)
     det = detections(spark, sf_dir).where("id % 2 = 1").select("image", "id", "class", "score", "box")
-    found = D.match_levels(det, truth, ["image"], E.LEVELS, [F.desc("score"), F.col("id")])
+    found = D.match_levels(det, truth, ["image", "class"], E.LEVELS, [F.desc("score"), F.col("id")])
     positives = truth.where("not difficult").groupBy("class").agg(F.count("*").alias("n"))
     order = [F.desc("score"), F.col("image"), F.col("id")]
     curve = D.precision_recall(found.join(positives, "class"), ["threshold", "class"], order, F.col("n"))

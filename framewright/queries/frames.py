@@ -86,7 +86,7 @@ def f15_pairs_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("event_type").agg(F.count("*").alias("pairs"), F.round(F.sum(F.abs(F.col("a") - F.col("b"))), 4).alias("moved"))
 
 
-@query("""SELECT user_id, count(*) FILTER (WHERE abs(value - b) > 30) >= round_even(count(*) * 4 / 16, 0) AS moving FROM (SELECT user_id, value, lead(value) OVER w AS b, lead(event_id) OVER w AS nx FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE nx IS NOT NULL GROUP BY 1""")
+@query("""SELECT user_id, count(*) FILTER (WHERE abs(value - b) > 30) >= round_even((count(*) + 1) * 4 / 16, 0) AS moving FROM (SELECT user_id, value, lead(value) OVER w AS b, lead(event_id) OVER w AS nx FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE nx IS NOT NULL GROUP BY 1""")
 def c19_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = S.pairs_in_order(table(spark, sf_dir, "events"), "user_id", "event_id", "value")
     return S.moves(pairs, "user_id", F.abs(F.col("a") - F.col("b")), 30)

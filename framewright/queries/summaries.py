@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
@@ -39,12 +39,16 @@ def e30_macro_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"accuracy": F.round("accuracy", 9), "macro": F.round("macro", 9)})
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_discount * 20 AS s, l_linenumber = 1 AS w, 80 * 3 / 256.0 AS t FROM lineitem),
-g AS (SELECT l_orderkey, count_if(NOT w AND s > t) AS m, round(count(*) / 8) AS k, max(CASE WHEN w THEN s END) AS last, max(t) AS t FROM r GROUP BY 1)
-SELECT l_orderkey, m <= k AND coalesce(last <= t * k * 2, true) AS static FROM g""")
+@query("""WITH r AS (SELECT l_orderkey // 3 AS clip, l_discount * 20 * (l_orderkey % 5) / 4 AS s, row_number() OVER (PARTITION BY l_orderkey // 3 ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) <= 2 AS w FROM lineitem),
+k AS (SELECT *, round_even(2 * ((count(*) OVER (PARTITION BY clip) - 1) / 16), 0) AS k, 3.0 * (80 / 256.0) AS t FROM r QUALIFY count(*) OVER (PARTITION BY clip) > 2)
+SELECT clip, count_if(NOT w AND s > t) <= max(k) AND NOT bool_or(w AND s > t * k * 2) AS static FROM k GROUP BY clip""")
 def c20_static_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _lines(spark, sf_dir).select("l_orderkey", (F.col("l_discount") * 20).alias("s"), "l_linenumber")
-    return S.static_clips(rows, "l_orderkey", "s", F.col("l_linenumber") == 1, F.lit(80.0))
+    """Three orders are a clip, whose first two rows stand for the pairs that wrap around."""
+    c = F.col
+    w = Window.partitionBy("clip").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    rows = _lines(spark, sf_dir).withColumn("clip", F.floor(c("l_orderkey") / 3)).withColumns({"at": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("clip"))})
+    rows = rows.where("n > 2").select("clip", (c("l_discount") * 20 * (c("l_orderkey") % 5) / 4).alias("s"), (c("at") <= 2).alias("wraps"))
+    return S.static_clips(rows, "clip", "s", c("wraps"), F.lit(80.0))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_returnflag AS t, CASE WHEN l_linenumber % 2 = 0 THEN 'N' ELSE l_returnflag END AS p FROM lineitem WHERE l_linestatus <> 'F' OR l_returnflag <> 'R'),

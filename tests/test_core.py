@@ -15,6 +15,7 @@ from framewright.operators import relate as R
 from framewright.operators import sampling as S
 from framewright.operators import sequences as Q
 from framewright.operators import statistics as A
+from framewright.operators import summaries as Y
 from framewright.plans import scores
 from framewright.sources import readers
 from framewright.streaming import jobs
@@ -175,3 +176,34 @@ def test_flattened_names_nested_fields(spark):
 
     df = spark.sql("SELECT named_struct('b', 1, 'c', named_struct('d', 2)) AS a, 3 AS e")
     assert flattened(df).columns == ["a/b", "a/c/d", "e"] and flattened(df).first() == (1, 2, 3)
+
+
+def test_matches_at_just_the_threshold_and_of_whole_pixels(spark):
+    kind = "image bigint, id bigint, box struct<x0: double, y0: double, x1: double, y1: double>"
+    det = spark.createDataFrame([(1, 1, (0.0, 0.0, 9.0, 9.0), 0.9), (1, 2, (0.0, 0.0, 9.0, 6.0), 0.8), (1, 3, (50.0, 0.0, 59.0, 4.0), 0.7)], kind + ", score double")
+    truth = spark.createDataFrame([(1, 10, (0.0, 0.0, 9.0, 6.0), False), (1, 11, (50.0, 0.0, 59.0, 9.0), False)], kind + ", difficult boolean")
+    def told(**rule):
+        rows = D.match_levels(det, truth, ["image"], [0.5, 0.6, 0.7], [F.desc("score")], **rule).collect()
+        return {(r.id, r.threshold): (r.tp, r.fp) for r in rows}
+
+    # with whole pixels the overlaps are 0.7, 1 and 0.5; without, 2 / 3, 1 and 4 / 9
+    assert told() == {(1, 0.5): (1, 0), (2, 0.5): (0, 1), (3, 0.5): (0, 1), (1, 0.6): (1, 0), (2, 0.6): (0, 1), (3, 0.6): (0, 1), (1, 0.7): (0, 1), (2, 0.7): (1, 0), (3, 0.7): (0, 1)}
+    loose = told(strict=False)
+    assert loose[3, 0.5] == (1, 0) and loose[1, 0.7] == (1, 0) and loose[2, 0.7] == (0, 1)
+    assert told(pixel=0.0)[1, 0.7] == (0, 1) and told(pixel=0.0, strict=False)[3, 0.5] == (0, 1)
+
+
+def test_still_and_moving_clips_round_frames_to_even(spark):
+    def static(frames, moving, wrap=0.0):
+        rows = [("a", 9.0 if i < moving else 0.0, False) for i in range(frames - 1)] + [("a", wrap, True), ("a", 0.0, True)]
+        df = spark.createDataFrame(rows, "clip string, s double, w boolean")
+        return Y.static_clips(df, "clip", "s", F.col("w"), F.lit(256.0)).first().static
+
+    assert not static(3, 1) and static(3, 0) and not static(4, 1) and static(5, 1) and static(12, 2) and not static(12, 3) and not static(20, 3) and static(21, 3)
+    assert static(5, 0, 6.0) and not static(5, 0, 6.1) and not static(4, 0, 0.1)
+
+    def moving(frames, hits):
+        df = spark.createDataFrame([("a", 1.0 if i < hits else 0.0) for i in range(frames - 1)], "clip string, s double")
+        return Q.moves(df, "clip", F.col("s"), 0.5).first().moving
+
+    assert moving(2, 0) and not moving(3, 0) and moving(3, 1) and moving(6, 2) and not moving(6, 1) and moving(10, 2) and not moving(14, 3) and moving(14, 4)
