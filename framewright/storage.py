@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df once to the folder of spark.checkpoint.dir, which all executors share, and reads it from there.
-
-    Only where no folder is set, as in tests on one machine, a temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only where none is set and all runs on one machine,
+    as in tests, a temporary one is made."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-"))
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df once to the shared folder and reads it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
