@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def enrich(df: DataFrame, attributes: DataFrame, key: str, column: str) -> DataFrame:
     """Fills column from attributes (key, column) only where it is null or empty."""
@@ -115,3 +117,29 @@ def best_by(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[C
     """The row of each key with the greatest value; order breaks ties."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value.desc(), *order))
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+
+
+def pair_distance(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """(keys, n, size, distance): the mean L1 distance of all pairs of a key's n vectors of size components, without pairs.
+
+    Of sorted values, the k-th is subtracted from by all before it and from all after it: the sum over pairs is that of
+    value times 2 k - n - 1. Sums run over ranges, so that keys may be few and large. Null distance for a single vector.
+    """
+    flat = df.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(vector).alias("__c", "__x"))
+    placed = running(flat, [*keys, "__c"], ["__x"], {"__k": F.lit(1)})
+    part = F.col("__x") * (2 * F.col("__k") - F.col("__k_all") - 1)
+    sums = placed.groupBy(*keys).agg(F.max("__k_all").alias("n"), (F.max("__c") + 1).alias("size"), F.sum(part).alias("__sum"))
+    n = F.col("n")
+    return sums.select(*keys, "n", "size", F.try_divide("__sum", n * (n - 1) / 2).alias("distance"))
+
+
+def diversity(content: DataFrame, styles: DataFrame, keys: Sequence[str], layer: str, vector: str, style_weight: float = 1000.0, greatest: float = 17.712) -> DataFrame:
+    """(keys, content, style, score): how much samples of a prompt differ, between 0 and 1. content has a vector a sample,
+    styles one for each layer of a sample, such as a Gram matrix. Both are mean differences by component over all pairs,
+    style's also over layers and weighted; the score is half their sum, by the greatest one known (a fixed value)."""
+    mean = lambda df: df.select(*keys, (F.col("distance") / F.col("size")).alias("d"))
+    c = mean(pair_distance(content, keys, vector)).withColumnRenamed("d", "content")
+    s = mean(pair_distance(styles, [*keys, layer], vector)).groupBy(*keys).agg((F.avg("d") * style_weight).alias("style"))
+    score = F.least(F.greatest((F.col("content") + F.col("style")) / 2 / greatest, F.lit(0.0)), F.lit(1.0))
+    both = F.col("content").isNotNull() & F.col("style").isNotNull()
+    return c.join(s, list(keys), "left").select(*keys, "content", "style", F.when(both, score).alias("score"))

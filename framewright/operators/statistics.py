@@ -1,10 +1,9 @@
-"""Summaries, histograms, distances of distributions."""
+"""Summaries, histograms, shares and weighted means; moments and distances of vectors are in partials."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,38 +26,6 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> Data
     return joined.where(v.isNotNull()).groupBy(*keys, F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def moments(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """(keys, n, i, j, product, mean): sums over rows of the products of components, one row for each i <= j.
-
-    Sums are algebraic, so Spark adds them up before the shuffle; nothing but dim * dim numbers leaves a task.
-    """
-    v = F.col(vector)
-    pairs = F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(v, i + 1, F.size(v)), lambda y, k: F.struct(i.alias("i"), (i + k).alias("j"), x.alias("x"), y.alias("y")))))
-    rows = df.select(*keys, F.explode(pairs).alias("p"))
-    return rows.groupBy(*keys, "p.i", "p.j").agg(F.count("*").alias("n"), F.avg("p.x").alias("mean_i"), F.avg("p.y").alias("mean_j"), F.covar_samp("p.x", "p.y").alias("cov"))
-
-
-def gaussian(cells: list) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance from the rows of moments for one key."""
-    dim = max(r["j"] for r in cells) + 1
-    mean, cov = np.zeros(dim), np.zeros((dim, dim))
-    for r in cells:
-        mean[r["i"]], mean[r["j"]] = r["mean_i"], r["mean_j"]
-        cov[r["i"], r["j"]] = cov[r["j"], r["i"]] = r["cov"]
-    return mean, cov
-
-
-def frechet(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Distance of two Gaussians given as (mean, covariance): of dim * dim numbers, so done on the driver."""
-    roots = np.sqrt(np.maximum(np.linalg.eigvals(a[1] @ b[1]).real, 0))
-    return float(((a[0] - b[0]) ** 2).sum() + np.trace(a[1]) + np.trace(b[1]) - 2 * roots.sum())
-
-
-def frechet_distance(left: DataFrame, right: DataFrame, vector: str) -> float:
-    both = moments(left.select(vector, F.lit(0).alias("side")).unionByName(right.select(vector, F.lit(1).alias("side"))), ["side"], vector).collect()
-    return frechet(*(gaussian([r for r in both if r["side"] == s]) for s in (0, 1)))
-
-
 def two_class_gap(df: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
     """(keys, score): 1 less the distance of a two-class share from one half."""
     return df.groupBy(*keys).agg((1 - F.abs(F.avg(flag.cast("double")) - 0.5) * 2).alias("score"))

@@ -90,10 +90,24 @@ def d7_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.label, list_sum(list_transform(range(1, 65), lambda i: abs(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))) AS d
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) GROUP BY label""")
 def d12_pair_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean L1 distance of all pairs of a prompt's samples."""
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    pairs = R.pairs_within(rows, ["label"], ["vec_id"], ["e"])
-    return pairs.groupBy("label").agg(F.round(F.avg(V.l1_distance(F.col("a_e"), F.col("b_e"))), 6).alias("distance"), F.count("*").alias("pairs"))
+    """Mean L1 distance of all pairs of a prompt's samples, from sorted components."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
+    n = F.col("n")
+    return R.pair_distance(rows, ["label"], "e").select("label", F.round("distance", 6).alias("distance"), (n * (n - 1) / 2).cast("bigint").alias("pairs"))
+
+
+@query("""WITH v AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT label, vec_id, k, list_transform(range(9), lambda i: list_dot_product(e[12 * k + 4 * (i // 3) + 1 : 12 * k + 4 * (i // 3) + 4], e[12 * k + 4 * (i % 3) + 1 : 12 * k + 4 * (i % 3) + 4]) / 12) AS g FROM v, range(5) t(k)),
+c AS (SELECT a.label, avg(list_sum(list_transform(range(1, 65), lambda i: abs(a.e[i] - b.e[i]))) / 64) AS content FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1),
+s AS (SELECT a.label, 1000 * avg(list_sum(list_transform(range(1, 10), lambda i: abs(a.g[i] - b.g[i]))) / 9) AS style FROM g a JOIN g b ON a.label = b.label AND a.k = b.k AND a.vec_id < b.vec_id GROUP BY 1)
+SELECT label, round(content, 6) AS content, round(style, 6) AS style, round(least(greatest((content + style) / 2 / 17.712, 0), 1), 6) AS score FROM c JOIN s USING (label)""")
+def e50_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content is the whole vector; a style layer the Gram matrix of three channels of four places of it."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
+    channels = lambda k: F.array(*[F.slice("e", 12 * k + 4 * i + 1, 4) for i in range(3)])
+    layers = F.explode(F.array(*[F.struct(F.lit(k).alias("layer"), V.gram(channels(k)).alias("e")) for k in range(5)])).alias("x")
+    out = R.diversity(rows, rows.select("label", layers).select("label", "x.layer", "x.e"), ["label"], "layer", "e")
+    return out.select("label", *[F.round(c, 6).alias(c) for c in ("content", "style", "score")])
 
 
 @query("""SELECT event_id, round(CASE WHEN value <= 0 THEN 0 WHEN value >= 100 THEN 1 WHEN value < 10 THEN value / 10 * 0.5 WHEN value < 50 THEN 0.5 + (value - 10) / 40 * 0.3 ELSE 0.8 + (value - 50) / 50 * 0.2 END, 6) AS y FROM events""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schedules
 from ..functions import vectors as V
+from ..operators import partials as M
 from ..operators import statistics as A
 from ..plans import scores as P
 from ..registry import query, table
@@ -136,20 +137,58 @@ def e46_weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_orderpriority").agg(F.round(A.weighted_mean(F.col("o_totalprice"), F.col("n")), 4).alias("loss"))
 
 
-@query("""SELECT label, count(*) AS n, round(covar_samp(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)), 6) AS cov, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean FROM embeddings GROUP BY label""")
+@query("""WITH c AS (SELECT label, vec_id, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings)
+SELECT a.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, count(*) AS n, round(avg(a.x), 6) + 0.0 AS mean_i, round(avg(b.x), 6) + 0.0 AS mean_j, round(covar_samp(a.x, b.x), 6) + 0.0 AS cov
+FROM c a JOIN c b ON a.label = b.label AND a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL""")
 def e41_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and covariance of features as one aggregation; the distance itself is A.frechet_distance."""
-    rows = table(spark, sf_dir, "embeddings").select("label", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("e"))
-    cell = A.moments(rows, ["label"], "e").where("i = 0 and j = 1")
-    return cell.select("label", "n", F.round("cov", 6).alias("cov"), F.round("mean_i", 6).alias("mean"))
+    """Means and covariances of all pairs of components of whole vectors, from blocks of products; no zero is negative."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("e"))
+    return M.moments(rows, ["label"], "e").select("label", "i", "j", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mean_i", "mean_j", "cov")])
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).alias("kind"), F.col("embedding").cast("array<double>").alias("e"))
+    return rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1")
 
 
 @query()
 def e41_frechet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fréchet distance between odd and even vectors; tests hold it against NumPy."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    d = A.frechet_distance(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "e")
-    return spark.createDataFrame([(round(d, 4),)], "distance double")
+    """Fréchet distance between odd and even vectors of each kind; tests hold it against another way to take the root."""
+    found = M.frechet_distances(*_halves(spark, sf_dir), ["kind"], "e")
+    return found.select("kind", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def e42_heavy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances by name; one has too few vectors and another no features, and both are left out."""
+    a, b = _halves(spark, sf_dir)
+    short = lambda df: df.select(F.slice("e", 1, 8).alias("e"))
+    found = M.heavy_metrics({"fid": (a, b, "e"), "fvd": (short(a), short(b), "e"), "few": (a, b.where("vec_id = 1"), "e"), "none": None})
+    return found.select("metric", F.round("value", 6).alias("value"))
+
+
+@query("""WITH r AS (SELECT l_linenumber % 4 AS t, CAST(l_partkey % 5 AS INTEGER) % 4 AS f, l_returnflag = 'N' AS y, l_discount * 9 + l_tax AS s, l_quantity AS q FROM lineitem),
+k AS (SELECT c.k, count(*) FILTER (WHERE t = c.k AND f = c.k) AS hit, count(*) FILTER (WHERE t = c.k OR f = c.k) AS any FROM r, range(4) c(k) GROUP BY 1),
+b AS (SELECT CAST(least(greatest(floor(s * 4096), 0), 4095) AS INTEGER) AS bin, count(*) FILTER (WHERE y) AS one, count(*) FILTER (WHERE NOT y) AS zero FROM r GROUP BY 1),
+u AS (SELECT one * (coalesce(sum(zero) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + zero / 2) AS w, one, zero FROM b)
+SELECT 'size' AS evaluator, 'quantity' AS metric, round(avg(q), 6) AS value FROM r
+UNION ALL SELECT 'classes', 'line_accuracy', round(avg(CAST(t = f AS INTEGER)), 6) FROM r
+UNION ALL SELECT 'classes', 'line_iou', round(avg(hit / "any") FILTER (WHERE "any" > 0), 6) FROM k
+UNION ALL SELECT 'ranking', 'auc', round(sum(w) / (sum(one) * sum(zero)), 6) FROM u
+UNION ALL SELECT 'shape', 'pair_norm', round(sqrt(avg(q) * avg(q) + avg(s) * avg(s)), 6) FROM r
+UNION ALL SELECT 'shape', 'pair_trace', round(var_samp(q) + var_samp(s), 6) FROM r""")
+def l2_evaluators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four evaluators over one scan of lineitem."""
+    return M.evaluate_all(evaluated_rows(spark, sf_dir), EVALUATORS).withColumn("value", F.round("value", 6))
+
+
+EVALUATORS = {"size": M.Mean("quantity", "q"), "classes": M.Classes("line", "t", "f", 4), "ranking": M.Ranking("auc", "y", "s"), "shape": M.Gaussian("pair", "pair")}
+
+
+def evaluated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf_dir, "lineitem").select((c("l_linenumber") % 4).alias("t"), (c("l_partkey") % 5 % 4).alias("f"), (c("l_returnflag") == "N").cast("int").alias("y"), (c("l_discount") * 9 + c("l_tax")).alias("s"), c("l_quantity").alias("q"))
+    return rows.withColumn("pair", F.array("q", "s"))
 
 
 @query("""SELECT event_type, round(avg(m), 6) AS score FROM (SELECT event_type, user_id, sum(value * (user_id % 2)) / nullif(sum(user_id % 2), 0) AS m FROM events GROUP BY 1, 2) GROUP BY 1""")

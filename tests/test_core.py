@@ -14,7 +14,6 @@ from framewright.operators import predicates as P
 from framewright.operators import relate as R
 from framewright.operators import sampling as S
 from framewright.operators import sequences as Q
-from framewright.operators import statistics as A
 from framewright.operators import summaries as Y
 from framewright.plans import scores
 from framewright.sources import readers
@@ -116,14 +115,6 @@ def test_box_deltas_invert(spark):
     assert tuple(back) == pytest.approx((1, 1, 3, 5))
 
 
-def test_frechet_equals_numpy(spark):
-    rng = np.random.default_rng(2)
-    x, y = rng.normal(size=(50, 3)), rng.normal(size=(60, 3)) + 1
-    make = lambda v: spark.createDataFrame([(r.tolist(),) for r in v], "e array<double>")
-    want = A.frechet((x.mean(0), np.cov(x.T)), (y.mean(0), np.cov(y.T)))
-    assert A.frechet_distance(make(x), make(y), "e") == pytest.approx(want)
-
-
 def test_missing_dimensions_score_below_zero(spark):
     table = scores.dimension_table(spark, scores.VIDEO_DIMENSIONS)
     none = spark.createDataFrame([], "dimension string, score double")
