@@ -288,38 +288,6 @@ def match_at_thresholds(pairs: DataFrame, detections: DataFrame, truth: DataFram
     return map_groups(rows, keys, [F.desc("score"), "id", F.desc("iou"), "r"], match, schema)
 
 
-def track(df: DataFrame, video: str, t: str, id_: str, label: str, threshold: float = 0.6, patience: int = 8) -> DataFrame:
-    """(video, t, id, track): a box continues the track of its label that it overlaps most, by threshold at least; tracks
-    that find no box are kept for patience frames."""
-    rows = df.select(video, t, F.col(id_).alias("id"), F.col(label).alias("label"), "box.x0", "box.y0", "box.x1", "box.y1")
-    kind = lambda c: rows.schema[c].dataType.simpleString()
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracks: list[list] = []  # number, label, box, last frame
-        out, made = [], 0
-        for k, (at, frame) in enumerate(pdf.sort_values([t, "id"]).groupby(t)):
-            tracks = [x for x in tracks if k - x[3] <= patience]
-            free = list(tracks)
-            for row in frame.itertuples(index=False):
-                own = np.array([row.x0, row.y0, row.x1, row.y1], float)
-                fits = [x for x in free if x[1] == row.label]
-                found = None
-                if fits:
-                    v = _iou_matrix(own, np.stack([x[2] for x in fits]))
-                    found = fits[int(v.argmax())] if v.max() > threshold else None
-                if found is None:
-                    found = [made, row.label, own, k]
-                    made += 1
-                    tracks.append(found)
-                else:
-                    free.remove(found)
-                found[2], found[3] = own, k
-                out.append([getattr(row, video), at, row.id, found[0]])
-        return pd.DataFrame(out, columns=[video, t, "id", "track"])
-
-    return rows.groupBy(video).applyInPandas(follow, f"`{video}` {kind(video)}, `{t}` {kind(t)}, id {kind('id')}, track long")
-
-
 def suppress_masks(pixels: DataFrame, image: str, mask: str, score: str, pixel: str, threshold: float) -> DataFrame:
     """(image, mask, pixel): masks, best score first, lose pixels that earlier ones cover; those that share more than
     threshold of their area with them go."""

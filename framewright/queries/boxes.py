@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import detection as D
+from ..operators import tracking as K
 from ..registry import query, table
 
 
@@ -168,7 +169,17 @@ def d19_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d26_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of a supplier as a video, orders as its frames."""
     d = detections(spark, sf_dir).withColumn("video", F.col("image") % 101)
-    return D.track(d, "video", "image", "id", "class")
+    return K.track(d, "video", "image", "id", "class")
+
+
+@query()
+def d26_track_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for masks, the cells of a grid that a box touches, in one long video for each class."""
+    grid = lambda lo, hi: F.sequence(F.floor(lo / 8).cast("int"), F.floor(hi / 8).cast("int"))
+    b = G.box("box")
+    pixels = F.flatten(F.transform(grid(b.x0, b.x1), lambda x: F.transform(grid(b.y0, b.y1), lambda y: x * 100 + y)))
+    d = detections(spark, sf_dir).select(F.col("class").alias("video"), "image", "id", F.lit(1).alias("label"), pixels.alias("mask"))
+    return K.track(d, "video", "image", "id", "label", shape="mask")
 
 
 @query()

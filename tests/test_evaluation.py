@@ -87,28 +87,6 @@ def test_matches_at_thresholds_follow_the_rule(spark, boxes):
     assert seen == len(got)
 
 
-def test_tracks_follow_their_boxes(spark):
-    got = {(r.video, r.image, r.id): r.track for r in catalogue.QUERIES["d26_track"](spark, SF).collect()}
-    rows = [r for r in detections(spark, SF).withColumn("video", F.col("image") % 101).collect() if r.video == 5]
-    frames = defaultdict(list)
-    for r in rows:
-        frames[r.image].append(r)
-    last, made, want = {}, 0, {}  # track -> (class, box, frame)
-    for k, image in enumerate(sorted(frames)):
-        used = set()
-        for r in sorted(frames[image], key=lambda r: r.id):
-            fits = [(overlap(r.box, b), -n) for n, (c, b, f) in last.items() if c == r["class"] and k - f <= 8 and n not in used]
-            v, n = max(fits, default=(0, 0))
-            if v > 0.6:
-                n = -n
-            else:
-                n, made = made, made + 1
-            used.add(n)
-            last[n] = (r["class"], r.box, k)
-            want[5, image, r.id] = n
-    assert {k: v for k, v in got.items() if k[0] == 5} == want
-
-
 def test_masks_lose_what_earlier_ones_cover(spark):
     got = {(r.image, r.mask, r.pixel) for r in catalogue.QUERIES["g8_suppress_masks"](spark, SF).collect()}
     masks = defaultdict(lambda: defaultdict(set))
