@@ -155,3 +155,44 @@ def rescale(x: Column, low: float, high: float, to_low: float = 0.0, to_high: fl
     """Linear map of [low, high], clamped at both ends."""
     y = (x - low) / (high - low) * (to_high - to_low) + to_low
     return F.least(F.greatest(y, F.lit(to_low)), F.lit(to_high))
+
+
+def expand_rounded(b: Box, ratio: float, width: Column, height: Column) -> Box:
+    """Grows a box of pixels around its middle to ratio times its size; rounded, halves to even, and within the pixels that
+    the image has."""
+    dx, dy = b.width * ((ratio - 1) / 2), b.height * ((ratio - 1) / 2)
+    low = lambda v: F.when(v < 0, F.lit(0)).otherwise(F.bround(v)).cast("int")
+    high = lambda v, size: F.when(v > size - 1, size - 1).otherwise(F.bround(v)).cast("int")
+    return Box(low(b.x0 - dx), low(b.y0 - dy), high(b.x1 + dx, width), high(b.y1 + dy, height))
+
+
+def crop_of_face(b: Box, width: Column, height: Column, pad: float, above: float) -> Column:
+    """struct(x, y, w, h) in pixels around a box given in shares of the frame: padded on all sides, more above it, of even
+    sizes of 2 at least, within the frame; halves round to even."""
+    unit = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    at = lambda v, size: F.bround(unit(v) * size).cast("int")
+    x0, x1 = at(b.x0 - b.width * pad, width), at(b.x1 + b.width * pad, width)
+    y0, y1 = at(b.y0 - b.height * (pad + above), height), at(b.y1 + b.height * pad, height)
+    even = lambda a, z: F.greatest(z - a, F.lit(2)) - F.greatest(z - a, F.lit(2)) % 2
+    w, h = even(x0, x1), even(y0, y1)
+    inside = lambda a, size, n: F.greatest(F.least(a, (size - n).cast("int")), F.lit(0))
+    return F.struct(inside(x0, width, w).alias("x"), inside(y0, height, h).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def crop_to_ratio(width: Column, height: Column, crop: Column, ratio: tuple[int, int], draw: Column) -> Column:
+    """struct(x, y, w, h): the largest crop of a ratio, in whole steps of it, that holds crop (x, y, w, h), from the top of a
+    square picture to the bottom, or from left to right of a wide one; draw, between 0 and 1, says where. Fails where crop
+    does not fit."""
+    rw, rh = ratio
+    step = F.when(width == height, F.floor(width / rw)).otherwise(F.floor(height / rh)).cast("int")
+    w, h = step * rw, step * rh
+
+    def place(begin: Column, size: Column, own: Column, whole: Column) -> Column:
+        low, high = F.greatest(begin - (size - own), F.lit(0)), F.least(begin + size, whole) - size
+        fits = (size >= own) & (high >= low)
+        return F.when(fits, low + F.least(F.floor(draw * (high - low + 1)), high - low)).otherwise(F.raise_error(F.lit("the crop does not fit")).cast("bigint")).cast("int")
+
+    tall = width == height
+    x = F.when(tall, F.lit(0)).otherwise(place(crop["x"], w, crop["w"], width))
+    y = F.when(tall, place(crop["y"], h, crop["h"], height)).otherwise(F.lit(0))
+    return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))

@@ -29,3 +29,14 @@ def cyclic(step: Column, length: int, low: float) -> Column:
 
 def shifted_sigma(t: Column, shift: float) -> Column:
     return shift * t / (1 + (shift - 1) * t)
+
+
+def middle_weight(t: Column, shift: float, steps: int = 1000) -> Column:
+    """The training weight of a timestep between 0 and steps: a bell around the middle, less its least value on the grid of
+    shifted steps, and by norm 1 on average there; 0 beyond that. The two constants are sums over the grid, done once."""
+    grid = [shift * s / (1 + (shift - 1) * s) * steps for s in (1 - k / steps for k in range(steps))]
+    bell = lambda x: math.exp(-2 * ((x - steps / 2) / steps) ** 2)
+    least = min(map(bell, grid))
+    total = sum(bell(x) - least for x in grid)
+    norm = steps / total if total > 1e-8 else 1.0
+    return F.greatest(F.exp(-2 * F.pow((t - steps / 2) / steps, 2)) - least, F.lit(0.0)) * norm

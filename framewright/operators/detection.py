@@ -132,6 +132,74 @@ def suppress(df: DataFrame, keys: Sequence[str], id_: str, threshold: float, sco
     return map_groups(rows, keys, [F.desc("s"), "id"], keep, schema)
 
 
+def suppress_clusters(df: DataFrame, keys: Sequence[str], id_: str, threshold: float, score: str = "score", box_: str = "box") -> DataFrame:
+    """(keys, id, kept): every box with the id of the box that stays for it: its own, or that of the first box kept that it
+    overlaps by more than threshold. See suppress for the order."""
+    rows = df.select(*keys, F.col(id_).alias("id"), F.col(score).cast("double").alias("s"), *[F.col(f"{box_}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+
+    def cluster(pdf: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+        boxes, ids = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["id"].tolist()
+        of = np.full(len(boxes), -1)
+        for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
+            for i in range(begin, end):
+                if of[i] < 0:
+                    of[i] = i
+                    rest = of[i + 1 : end]
+                    rest[(rest < 0) & (_iou_matrix(boxes[i], boxes[i + 1 : end]) > threshold)] = i
+        return pdf[[*keys, "id"]].assign(kept=[ids[i] for i in of])
+
+    return map_groups(rows, keys, [F.desc("s"), "id"], cluster, ", ".join(f"`{k}` {kind(k)}" for k in keys) + f", id {kind('id')}, kept {kind('id')}")
+
+
+def final_detections(df: DataFrame, image: str, label: str, id_: str, least_score: float, threshold: float, top: int, width: float, height: float) -> DataFrame:
+    """What a detector reports of an image: scores above least_score, boxes clipped to the image, suppressed within their
+    class, and of all classes the top by score. Boxes and scores that aren't finite go."""
+    from ..functions.geometry import clip
+    from .sequences import first_n
+
+    b = box("box")
+    finite = F.coalesce(F.abs(b.x0 + b.y0 + b.x1 + b.y1 + F.col("score")) < float("inf"), F.lit(False))
+    sure = df.where(finite & (F.col("score") > least_score)).withColumn("box", clip(b, F.lit(width), F.lit(height)).struct())
+    kept = suppress(sure, [image, label], id_, threshold).withColumnRenamed("id", id_)
+    return first_n(sure.join(kept, [image, label, id_], "left_semi"), [image], [F.desc("score"), id_], top)
+
+
+def rescaled(df: DataFrame, width: Column, height: Column, to_width: Column, to_height: Column, points: str | None = None) -> DataFrame:
+    """Detections of an image of one size as those of the same image in another: boxes scaled and clipped, empty ones
+    left out, and the places of keypoints, an array of structs with x and y, scaled."""
+    from ..functions.geometry import clip, nonempty, scale
+
+    sx, sy = to_width / width, to_height / height
+    out = df.withColumn("box", clip(scale(box("box"), sx, sy), to_width.cast("double"), to_height.cast("double")).struct()).where(nonempty(box("box")))
+    if points is None:
+        return out
+    return out.withColumn(points, F.transform(points, lambda p: p.withField("x", p["x"] * sx).withField("y", p["y"] * sy)))
+
+
+def ensemble_detections(outputs: DataFrame, image: str, label: str, id_: str, width: float, height: float, threshold: float, top: int, least_score: float = 1e-8) -> tuple[DataFrame, DataFrame]:
+    """Detections of several views of an image as one: flipped ones are mirrored back, all are suppressed together, and each
+    of the top that stays has its score and box, the number of boxes that it stands for and their mean box.
+
+    outputs: image, view, flipped, label, id (of its own in the image), score, box. Also returns (image, label, id, kept),
+    the box that stays for each box, by which mean_masks and other fields of a cluster are gathered.
+    """
+    b = box("box")
+    back = F.when(F.col("flipped"), Box(width - b.x1, b.y0, width - b.x0, b.y1).struct()).otherwise(b.struct())
+    union = outputs.withColumn("box", back)
+    best = final_detections(union, image, label, id_, least_score, threshold, top, width, height)
+    clusters = suppress_clusters(union.where(F.col("score") > least_score), [image, label], id_, threshold).withColumnRenamed("id", id_)
+    mean = F.struct(*[F.avg(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    each = union.join(clusters, [image, label, id_]).groupBy(image, label, F.col("kept").alias(id_)).agg(F.count("*").alias("members"), mean.alias("mean_box"))
+    return best.select(image, label, id_, "score", "box").join(each, [image, label, id_]), clusters
+
+
+def mean_masks(cells: DataFrame, keys: Sequence[str], x: str, y: str, value: str, size: int, flipped: Column) -> DataFrame:
+    """(keys, x, y, value): the mean over views of an object's mask, a square of size cells; flipped ones are mirrored back."""
+    at = F.when(flipped, size - 1 - F.col(x)).otherwise(F.col(x))
+    return cells.withColumn(x, at).groupBy(*keys, x, y).agg(F.avg(value).alias(value))
+
+
 def _clip_polygon(subject: np.ndarray, clipper: np.ndarray) -> np.ndarray:
     """The part of a convex polygon inside another one; both run counter-clockwise."""
     for a, b in zip(clipper, np.roll(clipper, -1, axis=0)):

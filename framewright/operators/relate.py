@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,45 @@ def pending(df: DataFrame, key: str, *ledgers: DataFrame) -> DataFrame:
     return df.join(done.distinct(), key, "left_anti")
 
 
+def select_pending(df: DataFrame, key: str, done: Sequence[DataFrame], failed: DataFrame, order: Sequence[str], retry_failed: bool = False, limit: int = 0) -> DataFrame:
+    """Rows that no ledger in done has, without those that failed before unless retry_failed, and of them the first limit
+    in order; all, if limit is 0."""
+    left = pending(df, key, *done, *([] if retry_failed else [failed]))
+    return left.orderBy(*order).limit(limit) if limit > 0 else left
+
+
+def count_report(found: DataFrame, expected: int, suffix: str = ".mp4", name: str = "name") -> DataFrame:
+    """(expected, found, missing, extra, complete) for the files of a kind, whatever the case of their suffix."""
+    n = found.where(F.lower(F.col(name)).endswith(suffix)).agg(F.count("*").alias("found"))
+    e = F.lit(expected).cast("bigint")
+    return n.select(e.alias("expected"), "found", F.greatest(e - F.col("found"), F.lit(0)).alias("missing"), F.greatest(F.col("found") - e, F.lit(0)).alias("extra"), (F.col("found") == e).alias("complete"))
+
+
+def substitutions(df: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
+    """df with own, the first of names that the text holds, and for each of names a row with place and prompt, the text with
+    own replaced by it. Texts that hold none of them are left out."""
+    own = F.lit(None).cast("string")
+    for n in reversed(names):
+        own = F.when(F.contains(F.col(text), F.lit(n)), n).otherwise(own)
+    each = F.posexplode(F.array(*map(F.lit, names))).alias("place", "__n")
+    rows = df.withColumn("own", own).where("own IS NOT NULL").select("*", each)
+    return rows.withColumn("prompt", F.replace(F.col(text), F.col("own"), F.col("__n"))).drop("__n")
+
+
+def counterfactual_scores(scored: DataFrame, key: str, names: Sequence[str], score: str = "score", merged: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, own, value): 1 where the best of a row's substitutions, the first of equals, is its own name, or one of the same
+    group in merged, else 0; and (own, mean) by group, with null for groups of names that no row has."""
+    group = F.col("own")
+    names_of = F.element_at(F.array(*[F.lit((merged or {}).get(n, n)) for n in names]), F.col("best") + 1)
+    for old, new in (merged or {}).items():
+        group = F.when(F.col("own") == old, new).otherwise(group)
+    best = scored.groupBy(key, "own").agg(F.max_by("place", F.struct(F.col(score), -F.col("place"))).alias("best"))
+    each = best.select(key, group.alias("own"), (names_of == group).cast("double").alias("value"))
+    groups = list(dict.fromkeys((merged or {}).get(n, n) for n in names))
+    all_ = scored.sparkSession.createDataFrame([(g,) for g in groups], "own string")
+    return each, all_.join(each.groupBy("own").agg(F.avg("value").alias("mean")), "own", "left")
+
+
 def expected_samples(prompts: DataFrame, prompt: str, n: int, extension: str = ".mp4", special: str = "") -> DataFrame:
     """(prompt, i, name) of the n files that each prompt should have."""
     rows = prompts.select(F.col(prompt), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
