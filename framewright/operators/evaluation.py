@@ -50,7 +50,7 @@ def proposal_recall(proposals: DataFrame, truth: DataFrame, keys: Sequence[str],
     return out.select("threshold", F.try_divide(F.coalesce("__hits", F.lit(0.0)), F.col("__n")).alias("recall"))
 
 
-def label_proposals(proposals: DataFrame, truth: DataFrame, keys: Sequence[str], low: float, high: float, background: int, n: int, fraction: float, seed: int = 42) -> DataFrame:
+def label_proposals(proposals: DataFrame, truth: DataFrame, keys: Sequence[str], low: float, high: float, background: int | str, n: int, fraction: float, seed: int = 42) -> DataFrame:
     """(keys, id, label, class, object): at most n proposals of each image, no more than int(n * fraction) of them on objects.
 
     Objects are proposals too. A proposal has label 1 and the class of its object from an overlap of high on, label 0 and

@@ -116,7 +116,7 @@ def f16_frame_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH m AS (SELECT l_suppkey AS v, l_linenumber AS e, avg(l_partkey % 41 - 20) AS dx, avg(l_orderkey * 7 % 41 - 20) AS dy FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
+@query("""WITH m AS (SELECT l_suppkey AS v, (l_linenumber - 1) % 4 + 1 AS e, avg(l_partkey % 41 - 20) AS dx, avg(l_orderkey * 7 % 41 - 20) AS dy FROM lineitem GROUP BY 1, 2),
 w AS (SELECT v, e, CASE WHEN dx > 1 THEN 'right' WHEN dx < -1 THEN 'left' END AS way FROM m UNION ALL SELECT v, e, CASE WHEN dy > 1 THEN 'down' WHEN dy < -1 THEN 'up' END FROM m),
 d AS (SELECT v, e, way FROM w WHERE way IS NOT NULL UNION ALL SELECT v, e, 'static' FROM w GROUP BY 1, 2 HAVING count(way) = 0),
 means AS (SELECT * FROM (VALUES (1, 'left_left', 'pan_right'), (1, 'right_right', 'pan_left'), (1, 'down_down', 'tilt_up'), (1, 'up_up', 'tilt_down'), (1, 'up_down', 'zoom_in'), (1, 'down_up', 'zoom_out'), (1, 'static_static', 'static'),
@@ -127,14 +127,13 @@ u AS (SELECT v, list(DISTINCT label) AS ls FROM s WHERE v IN (SELECT v FROM m GR
 z AS (SELECT v, [x FOR x IN ls IF x <> 'static' OR len(ls) = 1] AS ls FROM u)
 SELECT v AS l_suppkey, array_to_string(list_sort([x FOR x IN ls IF x <> 'None' OR len(ls) = 1]), ',') AS labels FROM z""")
 def f21_camera_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as videos, the first four lines of orders as points of the top, lower, left and right edges."""
+    """Suppliers as videos, the lines of orders in turn as points of the top, lower, left and right edges."""
     c = F.col
-    edge = F.get(F.array(*[F.lit(e) for e in ("top", "down", "left", "right")]), c("l_linenumber") - 1)
+    edge = F.get(F.array(*[F.lit(e) for e in ("top", "down", "left", "right")]), (c("l_linenumber") - 1) % 4)
     moved = F.struct(F.lit(1).alias("t"), (c("l_partkey") % 41 - 20).alias("x"), (c("l_orderkey") * 7 % 41 - 20).alias("y"))
     began = F.struct(F.lit(0).alias("t"), F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
-    point = F.concat_ws(":", "l_orderkey", "l_partkey")
-    tracks = lines.select("l_suppkey", edge.alias("edge"), point.alias("point"), F.explode(F.array(began, moved)).alias("p"))
+    point = F.concat_ws(":", "l_orderkey", "l_partkey", "l_linenumber")
+    tracks = table(spark, sf_dir, "lineitem").select("l_suppkey", edge.alias("edge"), point.alias("point"), F.explode(F.array(began, moved)).alias("p"))
     ways = C.edge_directions(tracks.select("l_suppkey", "edge", "point", "p.*"), "l_suppkey", "edge", "point", "t", 1.0)
     return C.camera_labels(ways, "l_suppkey").select("l_suppkey", F.array_join("labels", ",").alias("labels"))
 
@@ -234,13 +233,21 @@ def j30_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.coverage(_grid(spark, sf_dir), ["image"], {"x": (12, 5), "y": (7, 3)}, "v", nearest=True)
 
 
-@query("""WITH l AS (SELECT * FROM (VALUES (0, 20, 30, 8, 32.0), (0, 20, 30, 8, 64.0), (1, 10, 15, 16, 128.0)) x(level, rows, columns, stride, size)),
-s AS (SELECT *, CASE WHEN size = 64 THEN 3 ELSE 0 END + k AS place, CASE level WHEN 0 THEN 6 ELSE 3 END AS shapes FROM l CROSS JOIN (VALUES (0, 0.5::DOUBLE), (1, 1.0), (2, 2.0)) r(k, ratio)),
-c AS (SELECT *, i * shapes + place AS "at", (i % columns + 0.5) * stride AS x, (i // columns + 0.5) * stride AS y, sqrt(size * size / ratio) AS w, ratio * sqrt(size * size / ratio) AS h FROM s CROSS JOIN range(600) z(i) WHERE i < rows * columns)
-SELECT level, "at", round(x - w / 2, 6) AS x0, round(y - h / 2, 6) AS y0, round(x + w / 2, 6) AS x1, round(y + h / 2, 6) AS y1 FROM c""")
+@query(_BOXES + """, g AS (SELECT image, id, b.x0 AS p0, b.y0 AS q0, b.x1 AS p1, b.y1 AS q1, floor((b.y0 + b.y1) / 2 / 8) AS i, floor((b.x0 + b.x1) / 2 / 8) AS j FROM b),
+r AS (SELECT * FROM (VALUES (0, 16.0, 0.5::DOUBLE), (1, 16.0, 1.0), (2, 16.0, 2.0), (3, 32.0, 0.5), (4, 32.0, 1.0), (5, 32.0, 2.0)) v(k, size, ratio)),
+n AS (SELECT image, id, CAST((i * 16 + j) * 6 + k AS BIGINT) AS "anchor", p0, q0, p1, q1, (j + 0.5) * 8 - sqrt(size * size / ratio) / 2 AS x0, (i + 0.5) * 8 - ratio * sqrt(size * size / ratio) / 2 AS y0,
+  (j + 0.5) * 8 + sqrt(size * size / ratio) / 2 AS x1, (i + 0.5) * 8 + ratio * sqrt(size * size / ratio) / 2 AS y1 FROM g, r),
+u AS (SELECT *, greatest(least(p1, x1) - greatest(p0, x0), 0) * greatest(least(q1, y1) - greatest(q0, y0), 0) AS c FROM n)
+SELECT image, id, "anchor", round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, round(c / ((p1 - p0) * (q1 - q0) + (x1 - x0) * (y1 - y0) - c), 6) AS iou FROM u""")
 def j40_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = M.anchors(spark, [(20, 30, 8, [32.0, 64.0]), (10, 15, 16, [128.0])], [0.5, 1.0, 2.0], 0.5)
-    return out.select("level", "at", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    """Boxes of all images beside the anchors of the cell that holds their middle."""
+    b = G.box("box")
+    x, y = b.centre
+    boxes = detections(spark, sf_dir).select("image", "id", "box", (F.floor(y / 8) * 16 + F.floor(x / 8)).alias("cell"))
+    grid = M.anchors(spark, [(16, 16, 8, [16.0, 32.0])], [0.5, 1.0, 2.0], 0.5)  # 1,536 rows
+    near = boxes.join(F.broadcast(grid.withColumn("cell", F.floor(F.col("at") / 6))), "cell")
+    a = G.Box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return near.select("image", "id", F.col("at").alias("anchor"), *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], F.round(G.iou(b, a), 6).alias("iou"))
 
 
 @query()
@@ -252,17 +259,15 @@ def h6_grown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.grow_regions(rows, "image", "x", "y", "label", "human", "kind", {1: 0, 2: 1, 3: 1})
 
 
-@query(_BOXES + """, a AS (SELECT x.image, x.id, max(greatest(least(x.x1, y.x1) - greatest(x.x0, y.x0), 0) * greatest(least(x.y1, y.y1) - greatest(x.y0, y.y0), 0)
-    / ((x.x1 - x.x0) * (x.y1 - x.y0) + (y.x1 - y.x0) * (y.y1 - y.y0) - greatest(least(x.x1, y.x1) - greatest(x.x0, y.x0), 0) * greatest(least(x.y1, y.y1) - greatest(x.y0, y.y0), 0))) AS iou
-  FROM b x LEFT JOIN b y ON x.image = y.image AND y.id % 2 = 0 GROUP BY 1, 2),
-c AS (SELECT image, count(*) FILTER (WHERE iou >= 0.5) AS p, count(*) FILTER (WHERE coalesce(iou, 0) < 0.3) AS n FROM a GROUP BY 1)
-SELECT image, least(p, 2) AS on_objects, least(n, 4 - least(p, 2)) AS background FROM c WHERE p + n > 0""")
+@query(_BOXES + """, o AS (SELECT x.image, x.id, y.id AS r, y.class, greatest(least(x.x1, y.x1) - greatest(x.x0, y.x0), 0) * greatest(least(x.y1, y.y1) - greatest(x.y0, y.y0), 0) AS i,
+    (x.x1 - x.x0) * (x.y1 - x.y0) + (y.x1 - y.x0) * (y.y1 - y.y0) AS sizes FROM b x LEFT JOIN b y ON x.image = y.image AND y.id % 2 = 0),
+f AS (SELECT image, id, r, class, CASE WHEN i / (sizes - i) >= 0.5 THEN 1 WHEN coalesce(i / (sizes - i), 0) < 0.3 THEN 0 ELSE -1 END AS label FROM o QUALIFY row_number() OVER (PARTITION BY image, id ORDER BY i / (sizes - i) DESC, r) = 1),
+d AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY md5('42:' || id), id) AS k, least(count(*) FILTER (WHERE label = 1) OVER (PARTITION BY image), 2) AS ones FROM f WHERE label >= 0)
+SELECT image, id, label, CASE WHEN label = 1 THEN class ELSE 'none' END AS class, CASE WHEN label = 1 THEN r END AS object FROM d WHERE CASE WHEN label = 1 THEN k <= 2 ELSE k <= 4 - ones END""")
 def d28_label_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of the sampled proposals of each image: four, half of them on objects at most."""
+    """The sampled proposals of each image, with what they are proposed for: four, half of them on objects at most."""
     d = detections(spark, sf_dir)
-    out = E.label_proposals(d.where("id % 2 = 1"), d.where("id % 2 = 0"), ["image"], 0.3, 0.5, -1, 4, 0.5)
-    named = out.withColumn("class", F.col("class").cast("string"))
-    return named.groupBy("image").agg(F.count_if(F.col("label") == 1).alias("on_objects"), F.count_if(F.col("label") == 0).alias("background"))
+    return E.label_proposals(d.where("id % 2 = 1"), d.where("id % 2 = 0"), ["image"], 0.3, 0.5, "none", 4, 0.5)
 
 
 @query(_GRID + """, a AS (SELECT DISTINCT image, o % 3 AS m, x, y FROM p WHERE v > 20), c AS (SELECT DISTINCT image, o % 2 AS m, x, y FROM p WHERE v < 45)

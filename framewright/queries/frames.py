@@ -130,8 +130,10 @@ def f13_first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_n(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 5).select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT vec_id, round(exp(x - m) / (exp(a - m) + exp(b - m) + exp(c - m)), 6) AS p, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS best
-FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[1] AS DOUBLE) AS x, greatest(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE)) AS m FROM embeddings)""")
+@query("""WITH v AS (SELECT vec_id, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(exp(x - max(x) OVER w) / sum(exp(x)) OVER w * exp(max(x) OVER w), 9) AS p, CAST(arg_max(i, x) OVER w AS INTEGER) AS best FROM v WINDOW w AS (PARTITION BY vec_id)""")
 def j26_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 3)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.softmax(v)[0], 6).alias("p"), V.argmax(v).alias("best"))
+    """Every component of whole vectors, and the place of the largest."""
+    v = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.softmax(v)).alias("i", "p"), V.argmax(v).cast("int").alias("best"))
+    return rows.withColumn("p", F.round("p", 9))

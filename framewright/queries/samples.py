@@ -36,9 +36,19 @@ def f10_split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.split_groups(table(spark, sf_dir, "orders"), F.col("o_custkey"), 0.1).select("o_orderkey", "side")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaks")
+@query(_GROUPS + f""", r AS (SELECT o_custkey, row_number() OVER (ORDER BY {_DRAW.format('o_orderkey')}) <= greatest(1, floor(count(*) OVER () * 0.1)) AS val FROM orders),
+l AS (SELECT o_custkey FROM r GROUP BY 1 HAVING bool_or(val) AND bool_or(NOT val))
+SELECT 'by group' AS split, CAST(0 AS BIGINT) AS leaks, count(*) FILTER (WHERE val) AS val, count(*) FILTER (WHERE NOT val) AS train FROM s
+UNION ALL SELECT 'by row', (SELECT count(*) FROM l), count(DISTINCT o_custkey) FILTER (WHERE val), count(DISTINCT o_custkey) FILTER (WHERE NOT val) FROM r""")
 def e4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.leaks(S.split_groups(table(spark, sf_dir, "orders"), F.col("o_custkey"), 0.1), F.col("o_custkey"))
+    """Customers on both sides of a split by customer, and of one by order, with the customers of each side."""
+    orders = table(spark, sf_dir, "orders")
+    out = None
+    for name, rows in (("by group", S.split_groups(orders, F.col("o_custkey"), 0.1)), ("by row", S.split_random(orders, "o_orderkey", 0.1))):
+        sides = rows.agg(*[F.count_distinct(F.when(F.col("side") == s, F.col("o_custkey"))).alias(s) for s in ("val", "train")])
+        one = S.leaks(rows, F.col("o_custkey")).crossJoin(F.broadcast(sides)).withColumn("split", F.lit(name))  # one row each
+        out = one if out is None else out.unionByName(one)
+    return out.select("split", "leaks", "val", "train")
 
 
 _RANKED = f"SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_DRAW.format('c_custkey')}) AS r FROM customer"

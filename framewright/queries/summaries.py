@@ -143,12 +143,12 @@ def c16_present_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", F.size("m").alias("n"), (~F.map_contains_key("m", "b")).alias("lost"))
 
 
-@query("SELECT o_orderkey, try_cast(left(o_orderpriority, 1) AS BIGINT) AS value, CASE WHEN try_cast(substr(o_orderpriority, 1 + o_orderkey % 2, 1) AS BIGINT) IS NULL THEN 'error' ELSE 'ok' END AS status FROM orders")
+@query("""WITH r AS (SELECT o_orderkey, try_cast(substr(o_orderpriority, 1 + o_orderkey % 2, 1) AS BIGINT) AS value FROM orders)
+SELECT o_orderkey, value, CASE WHEN value IS NULL THEN 'error' ELSE 'ok' END AS status, CASE WHEN value IS NULL THEN 'order ' || o_orderkey || ' has no digit there' END AS error FROM r""")
 def l9_or_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
     read = F.expr("try_cast(substring(o_orderpriority, 1 + cast(o_orderkey % 2 as int), 1) as bigint)")
-    rows = table(spark, sf_dir, "orders").withColumn("r", S.or_error(read))
-    return rows.select("o_orderkey", F.expr("try_cast(left(o_orderpriority, 1) as bigint)").alias("value"), c("r.status").alias("status"))
+    said = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" has no digit there"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.or_error(read, said).alias("r")).select("o_orderkey", "r.*")
 
 
 @query("""WITH n AS (SELECT l_orderkey, l_linenumber, chr(CAST(65 + l_linenumber % 3 AS INTEGER)) || (l_partkey % 120) || 'b' || (l_suppkey % 30) AS name FROM lineitem)
