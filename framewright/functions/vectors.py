@@ -51,11 +51,6 @@ def top_gap(a: Column) -> Column:
     return F.get(ordered, 0) - F.get(ordered, 1)
 
 
-def gram(channels: Column) -> Column:
-    """Products of every two channels of array<array<double>>, divided by their length."""
-    return F.transform(channels, lambda a: F.transform(channels, lambda b: dot(a, b) / F.size(a)))
-
-
 def gram(features: Column) -> Column:
     """The products of all pairs of rows of a matrix (channels of positions), by its number of cells, as one array."""
     cells = F.aggregate(features, F.lit(0), lambda n, x: n + F.size(x))
