@@ -122,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL = {
     "op1_sharding": sharding.oracle_sql(SHARDS),
     "op2_mixing": mixing.oracle_sql(WEIGHTS),
+    "op4_ngram_join": ngrams.ORACLE_SQL,
     "op5_line_dedup": lines.ORACLE_SQL,
     "op7_exact_dedup": exact.ORACLE_SQL,
     "op11_warc": warc.ORACLE_SQL,
