@@ -77,6 +77,22 @@ def cascade(df: DataFrame, stages: Sequence[tuple[str, Column]], to: str = "stag
     return df.withColumn(to, found)
 
 
+def diagnosed(df: DataFrame, stages: Sequence[tuple[str, Column, Sequence[str]]], to: str = "stage", measured: str = "measured") -> DataFrame:
+    """cascade that also tells what the stage has measured: a map from the names of its columns to their values as
+    doubles. Rows that pass have a null stage and no map."""
+    found, values = F.lit(None).cast("string"), F.lit(None).cast("map<string, double>")
+    for name, ok, columns in reversed(stages):
+        fails = ~F.coalesce(ok, F.lit(False))
+        told = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))
+        found, values = F.when(fails, name).otherwise(found), F.when(fails, told).otherwise(values)
+    return df.withColumns({to: found, measured: values})
+
+
+def shares_dimension(dimensions: Column, wanted: Sequence[str]) -> Column:
+    """True where an entry has one of the wanted dimensions; a null list has none."""
+    return F.coalesce(F.arrays_overlap(dimensions, F.array(*map(F.lit, wanted))), F.lit(False))
+
+
 def outcome(df: DataFrame, cases: Sequence[tuple[str, Column]], rest: str = "ok", to: str = "status") -> DataFrame:
     """Adds the name of the first case that holds."""
     found = F.lit(rest)

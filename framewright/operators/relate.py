@@ -182,3 +182,22 @@ def diversity(content: DataFrame, styles: DataFrame, keys: Sequence[str], layer:
     score = F.least(F.greatest((F.col("content") + F.col("style")) / 2 / greatest, F.lit(0.0)), F.lit(1.0))
     both = F.col("content").isNotNull() & F.col("style").isNotNull()
     return c.join(s, list(keys), "left").select(*keys, "content", "style", F.when(both, score).alias("score"))
+
+
+def routes(files: DataFrame, name: str, catalogue: DataFrame, key: str, caption: str, dimensions: str, apart: str, cut: int = 180, first: int = 3) -> DataFrame:
+    """(name, dimension): the folders that a video is copied to, one for each dimension of the catalogue's entry whose key
+    its name begins with, to cut characters. Entries with the dimension apart and others have many samples: all of them go
+    to apart, and only the first ones, named by the caption and 0 to first - 1, to the other dimensions."""
+    prefix = F.substring(F.split(name, r"-\d+\.mp4")[0], 1, cut)
+    entries = catalogue.select(F.substring(key, 1, cut).alias("__key"), F.substring(caption, 1, cut).alias("__caption"), F.col(dimensions).alias("__all")).dropDuplicates(["__key"])
+    both = files.select(name, prefix.alias("__key")).join(entries, "__key").select(name, "__caption", "__all", F.explode("__all").alias("dimension"))
+    early = F.col(name).isin([]) if first < 1 else F.array_contains(F.array(*[F.concat("__caption", F.lit(f"-{i}.mp4")) for i in range(first)]), F.col(name))
+    several = F.array_contains("__all", apart) & (F.size("__all") > 1)
+    return both.where(~several | early | (F.col("dimension") == apart)).select(name, "dimension")
+
+
+def gathered(df: DataFrame, group: str, rank: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """(group, rows): what the ranks of a group have, rank after rank, each in its order, as one list of structs; a group's
+    list is one row and so bounded, as results of a step are."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("__rank"), F.col(order).alias("__order"), F.struct(*columns).alias("__row"))))
+    return df.groupBy(group).agg(F.transform(rows, lambda r: r["__row"]).alias("rows"))

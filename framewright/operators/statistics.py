@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, NumericType, StructType
 
 
 def summary(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -59,3 +60,36 @@ def vote(df: DataFrame, keys: Sequence[str], logits: str) -> DataFrame:
     """(keys, winner): position of the greatest component of the mean vector."""
     flat = df.select(*keys, F.posexplode(logits).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("m"))
     return flat.groupBy(*keys).agg(F.max_by("pos", F.struct("m", -F.col("pos"))).alias("winner"))
+
+
+def weighted_error(found: Column, aim: Column, weight: Column | None = None) -> Column:
+    """The mean over samples of a sample's mean squared difference of two vectors, times its weight where there is one."""
+    square = F.aggregate(F.zip_with(found, aim, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) / F.size(found)
+    return F.avg(square if weight is None else square * weight)
+
+
+def described(df: DataFrame) -> DataFrame:
+    """(path, type, n, nulls, least, greatest) of every column, of the fields of structs and of the elements of arrays, as
+    far as they go down: least and greatest are of numbers, and of lengths where there are none to compare. One scan."""
+    parts = []
+
+    def walk(c: Column, kind: DataType, path: str) -> None:
+        if isinstance(kind, StructType):
+            parts.append((path, "struct", c.isNotNull(), F.lit(None).cast("double")))
+            for f in kind.fields:
+                walk(c[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)
+        elif isinstance(kind, ArrayType):
+            parts.append((path, kind.simpleString(), c.isNotNull(), F.size(c).cast("double")))
+            if isinstance(kind.elementType, NumericType):
+                low, high = F.array_min(c).cast("double"), F.array_max(c).cast("double")
+                parts.append((f"{path}[]", kind.elementType.simpleString(), low.isNotNull(), low, high))
+        elif isinstance(kind, NumericType):
+            parts.append((path, kind.simpleString(), c.isNotNull(), c.cast("double")))
+        else:
+            parts.append((path, kind.simpleString(), c.isNotNull(), F.char_length(c.cast("string")).cast("double")))
+
+    for f in df.schema.fields:
+        walk(F.col(f"`{f.name}`"), f.dataType, f.name)
+    one = df.agg(*[F.struct(F.count("*").alias("n"), F.count_if(~p[2]).alias("nulls"), F.min(p[3]).alias("least"), F.max(p[-1]).alias("greatest")).alias(f"c{i}") for i, p in enumerate(parts)])
+    rows = F.array(*[F.struct(F.lit(p[0]).alias("path"), F.lit(p[1]).alias("type"), F.col(f"c{i}").alias("s")) for i, p in enumerate(parts)])
+    return one.select(F.explode(rows).alias("x")).select("x.path", "x.type", "x.s.*")

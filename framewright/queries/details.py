@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import schedules
 from ..operators import detection as D
+from ..operators import predicates as P
 from ..operators import relate as R
+from ..operators import statistics as A
 from ..operators.sampling import draw
 from ..registry import query, table
 from ..sources import staged
@@ -147,3 +149,62 @@ def b3_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "lang string, n_chars bigint, tries int"
     lines = staged.read_ledger(spark, f"{folder}/lines", kind, missing="error", corrupt="error", defaults={"lang": "none", "tries": 1})
     return lines.unionByName(staged.read_ledger(spark, f"{folder}/document", kind, missing="error", corrupt="error", document=True))
+
+
+@query("""WITH c AS (SELECT p_name, p_partkey, [['Diversity'], ['Diversity', 'Motion', 'Scene'], ['Motion', 'Scene'], ['Scene']][p_partkey % 4 + 1] AS dims FROM part QUALIFY row_number() OVER (PARTITION BY left(p_name, 12) ORDER BY p_partkey) = 1),
+f AS (SELECT p_name || '-' || i || '.mp4' AS file, i, p_name FROM part, range(5) t(i))
+SELECT file, d.dimension FROM (SELECT DISTINCT file, i, p_name FROM f) x JOIN c ON left(c.p_name, 12) = left(x.p_name, 12), unnest(c.dims) d(dimension)
+WHERE NOT (list_contains(dims, 'Diversity') AND len(dims) > 1) OR dimension = 'Diversity' OR file IN (left(c.p_name, 12) || '-0.mp4', left(c.p_name, 12) || '-1.mp4', left(c.p_name, 12) || '-2.mp4')""")
+def d25_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five videos of each part, to the folders of the catalogue's entry for the first twelve characters of its name."""
+    c = F.col
+    part = table(spark, sf_dir, "part")
+    dims = F.element_at(F.array(*[F.array(*map(F.lit, d)) for d in (["Diversity"], ["Diversity", "Motion", "Scene"], ["Motion", "Scene"], ["Scene"])]), (c("p_partkey") % 4 + 1).cast("int"))
+    first = part.groupBy(F.substring("p_name", 1, 12).alias("key")).agg(F.min_by(F.struct("p_name", dims.alias("dims")), "p_partkey").alias("x"))
+    five = F.array(*[F.concat("p_name", F.lit(f"-{i}.mp4")) for i in range(5)])
+    files = part.select(F.explode(five).alias("file")).distinct()
+    return R.routes(files, "file", first.select(c("x.p_name").alias("name"), c("x.dims").alias("dims")), "name", "name", "dims", "Diversity", cut=12)
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey || ':' || CAST(round(o_totalprice) AS BIGINT), ',' ORDER BY o_orderkey % 3, o_orderkey) AS rows FROM orders GROUP BY 1")
+def h7_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders from three ranks as one list."""
+    c = F.col
+    rows = table(spark, sf_dir, "orders").select("o_custkey", (c("o_orderkey") % 3).alias("rank"), "o_orderkey", F.round("o_totalprice").cast("bigint").alias("price"))
+    found = R.gathered(rows, "o_custkey", "rank", "o_orderkey", ["o_orderkey", "price"])
+    return found.select("o_custkey", F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["o_orderkey"].cast("string"), r["price"].cast("string"))), ",").alias("rows"))
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_quantity > 40 THEN 'size' WHEN l_discount + l_tax > 0.12 THEN 'price' WHEN l_returnflag = 'R' THEN 'flag' END AS stage,
+  CASE WHEN l_quantity > 40 THEN l_quantity END AS quantity, CASE WHEN l_quantity <= 40 AND l_discount + l_tax > 0.12 THEN l_discount END AS discount, l_partkey % 3 < 2 AS shared FROM lineitem""")
+def c26_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first stage that a row fails with what it has measured, and whether an entry has a dimension that is asked for."""
+    c = F.col
+    stages = [("size", c("l_quantity") <= 40, ["l_quantity"]), ("price", c("l_discount") + c("l_tax") <= 0.12, ["l_discount", "l_tax"]), ("flag", c("l_returnflag") != "R", [])]
+    dims = F.element_at(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")), F.array(F.lit("c"))), (c("l_partkey") % 3 + 1).cast("int"))
+    rows = P.diagnosed(table(spark, sf_dir, "lineitem"), stages)
+    at = lambda name: F.try_element_at("measured", F.lit(name))
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "stage", at("l_quantity").alias("quantity"), at("l_discount").alias("discount"), P.shares_dimension(dims, ["b", "x"]).alias("shared"))
+
+
+@query("""WITH v AS (SELECT a.label, list_sum(list_transform(range(1, 65), lambda i: pow(CAST(a.embedding[i] AS DOUBLE) - CAST(a.embedding[65 - i] AS DOUBLE), 2))) / 64 AS e, 1 + vec_id % 3 AS w FROM embeddings a)
+SELECT label, round(avg(e), 9) AS error, round(avg(e * w), 9) AS weighted FROM v GROUP BY 1""")
+def e47_weighted_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select("label", v.alias("a"), F.reverse(v).alias("b"), (1 + F.col("vec_id") % 3).alias("w"))
+    a, b = F.col("a"), F.col("b")
+    out = rows.groupBy("label").agg(A.weighted_error(a, b).alias("error"), A.weighted_error(a, b, F.col("w")).alias("weighted"))
+    return out.select("label", F.round("error", 9).alias("error"), F.round("weighted", 9).alias("weighted"))
+
+
+@query("""SELECT * FROM (SELECT 'doc_id' AS path, 'bigint' AS type, count(*) AS n, count(*) - count(doc_id) AS nulls, CAST(min(doc_id) AS DOUBLE) AS least, CAST(max(doc_id) AS DOUBLE) AS greatest FROM documents
+UNION ALL SELECT 'where', 'struct', count(*), 0, NULL, NULL FROM documents
+UNION ALL SELECT 'where.lang', 'string', count(*), count(*) - count(lang), min(length(lang)), max(length(lang)) FROM documents
+UNION ALL SELECT 'where.chars', 'bigint', count(*), count(*) - count(n_chars), min(n_chars), max(n_chars) FROM documents
+UNION ALL SELECT 'sizes', 'array<bigint>', count(*), 0, 2, 2 FROM documents
+UNION ALL SELECT 'sizes[]', 'bigint', count(*), count(*) - count(coalesce(n_chars, doc_id)), min(least(n_chars, doc_id)), max(greatest(n_chars, doc_id)) FROM documents)""")
+def j35_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns, fields of structs and elements of arrays."""
+    c = F.col
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.struct("lang", c("n_chars").alias("chars")).alias("where"), F.array("n_chars", "doc_id").alias("sizes"))
+    return A.described(rows)
