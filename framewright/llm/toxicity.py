@@ -210,26 +210,32 @@ class Features:
     def sentences(self, texts: list[str | None], told: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text of each row, features, holds a word of told) of the sentences that hold a word near a landmark; all
         others are all 0."""
-        read = [[x for s in SENTENCES.split(prepared(t)) if (x := s.split())] if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(chain.from_iterable(read))))
-        of, marked, found = [], [], [np.zeros((0, len(self.landmarks)), np.float32)]
-        words: list[int] = []
-        starts: list[int] = []
-        row = self.near.get
-        for k, sentences in enumerate(read):
-            for s in sentences:
-                begin = len(words)
-                words += [r for r in map(row, s) if r is not None]
-                if len(words) > begin:
-                    of.append(k)
-                    marked.append(bool(told) and any(w in told for x in s for w in words_of(x)))
-                    starts.append(begin)
-            if len(words) > 20_000:
-                found.append(np.maximum.reduceat(self.rows[words], starts))
-                words, starts = [], []
-        if starts:
-            found.append(np.maximum.reduceat(self.rows[words], starts))
-        return np.array(of, int), np.concatenate(found), np.array(marked, bool)
+        tokens: list[str] = []
+        lengths: list[int] = []  # of sentences, in tokens
+        counts: list[int] = []  # of texts, in sentences
+        for t in texts:
+            parts = [s.split() for s in SENTENCES.split(prepared(t))] if t else []
+            counts.append(len(parts))
+            lengths += map(len, parts)
+            tokens += chain.from_iterable(parts)
+        codes, unique = pd.factorize(np.array(tokens, object))
+        self.learn(set(unique))
+        row = np.array([self.near.get(x, -1) for x in unique], np.int64)[codes] if len(tokens) else np.zeros(0, np.int64)
+        sentence = np.repeat(np.arange(len(lengths)), lengths)
+        hit = np.flatnonzero(row >= 0)
+        found, first = np.unique(sentence[hit], return_index=True)
+        features = np.zeros((len(found), len(self.landmarks)), np.float32)
+        ends = np.append(first[1:], len(hit))
+        at = 0
+        while at < len(found):  # a bounded number of kernels at once
+            stop = max(at + 1, int(np.searchsorted(ends, first[at] + 20_000, side="right")))
+            features[at:stop] = np.maximum.reduceat(self.rows[row[hit[first[at] : ends[stop - 1]]]], first[at:stop] - first[at])
+            at = stop
+        marked = np.zeros(len(lengths), bool)
+        if told and len(tokens):
+            says = np.array([any(w in told for w in words_of(x)) for x in unique], bool)
+            marked[sentence[says[codes]]] = True
+        return np.repeat(np.arange(len(texts)), counts)[found], features, marked[found]
 
 
 def remembered(landmarks: list[str]) -> Features:
@@ -244,16 +250,32 @@ def remembered(landmarks: list[str]) -> Features:
 def _document_counts(labelled: DataFrame) -> DataFrame:
     """(item, bad, good): how many toxic and other documents hold each word."""
 
+    def told(number: dict[str, int], seen: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"item": pd.Series(list(number), dtype=object), "bad": seen[1], "good": seen[0]})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, int]] = {}  # the numbers of a token's words; of one that comes once the second is -1
+        number: dict[str, int] = {}
+        seen = np.zeros((2, 0), np.int64)
         for pdf in batches:
-            found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-            known: dict[str, list[str]] = {}
-            for t, y in zip(pdf["text"], pdf["y"]):
-                own = set(prepared(t).split())
-                known.update((x, words_of(x)) for x in own - known.keys())
-                found[int(y)].update(set(chain.from_iterable(map(known.__getitem__, own))))
-            both = list(found[0].keys() | found[1].keys())
-            yield pd.DataFrame({"item": pd.Series(both, dtype=object), "bad": np.array([found[1][x] for x in both], np.int64), "good": np.array([found[0][x] for x in both], np.int64)})
+            texts = [prepared(t).split() for t in pdf["text"]]
+            codes, unique = pd.factorize(np.array(list(chain.from_iterable(texts)), object))
+            for x in unique:
+                if x not in known:
+                    own = [number.setdefault(w, len(number)) for w in words_of(x)]
+                    known[x] = (*own, -1, -1)[:2]
+            words = np.array([known[x] for x in unique], np.int64).reshape(-1, 2)[codes]
+            doc, n = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), len(number)
+            pairs = np.unique(np.concatenate([(doc * n + w)[w >= 0] for w in words.T]))
+            bad = pdf["y"].to_numpy(bool)[pairs // n] if n else np.zeros(0, bool)
+            more = np.stack([np.bincount(pairs[bad == y] % max(n, 1), minlength=n) for y in (False, True)])
+            more[:, : seen.shape[1]] += seen
+            seen = more
+            if n > REMEMBERED:  # what is remembered is bounded; a word may be told again
+                yield told(number, seen)
+                known, number, seen = {}, {}, seen[:, :0]
+        if number:
+            yield told(number, seen)
 
     counts = labelled.select("text", "y").mapInPandas(count, "item string, bad long, good long")
     return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
