@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,13 +32,22 @@ _kept: dict[str, dict] = {}
 
 
 def worker_cache(operator: str) -> dict:
-    """What an operator keeps in a Python worker, which outlives its stage; what other operators kept is dropped."""
+    """What an operator keeps in a Python worker, which outlives its stage; what other operators kept is dropped, and the
+    memory given back, which the allocators would hold for a worker's whole life."""
     if operator not in _kept:
         _kept.clear()
+        give_back_memory()
         _kept[operator] = {}
     return _kept[operator]
 
 
+def give_back_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z only; other letters keep their case."""
     return F.translate(text, UPPER, UPPER.lower())
