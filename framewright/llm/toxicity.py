@@ -45,7 +45,7 @@ MAX_TRAIN = 3000
 #: Labels (a key and a flag) that are broadcast at most, some 50 MB.
 FEW_LABELS = 1_000_000
 #: Tokens whose kernels a Python worker remembers: so many of late, and as many of before.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Bytes of kernels from which a worker forgets older ones.
 HELD_BYTES = 1 << 26
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n")
@@ -69,6 +69,23 @@ def prepared(text: str) -> str:
     return text.lower()
 
 
+#: Stands between the tokens of lines; in texts it counts as white space.
+LINE = "\x00"
+
+
+def tokens_of(text: str) -> list[str]:
+    """prepared(text).split() with LINE between the lines, in one pass where no word is spelled out."""
+    low = text.replace(LINE, " ").lower()
+    tokens = low.replace("\n", f" {LINE} ").split()
+    try:
+        spelled = b"\1\1\1" in bytes(map(len, tokens)) or "i\u0307" in low  # the only character that lower case makes two
+    except ValueError:  # a token of more than 255 characters
+        spelled = True
+    if spelled and SPELLED.search(text):
+        tokens = prepared(text.replace(LINE, " ")).replace("\n", f" {LINE} ").split()
+    return tokens
+
+
 def words_of(token: str) -> list[str]:
     """A token of a prepared text as a word marked at both ends, without outer punctuation; one with signs inside also
     comes without them."""
@@ -190,8 +207,8 @@ class Features:
         self.near.update(zip(again, range(len(self.near), len(self.near) + len(again))))
         grown = [self.rows, rows[[near[x] for x in again]]]
         words = [(t, w) for t in sorted(new - seen) for w in words_of(t)]
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        for at in range(0, len(words), 4_000):
+            part = words[at : at + 4_000]
             found = kernels([w for _, w in part], self.landmarks)
             hot = np.flatnonzero(found.any(axis=1))
             # A token's words, two at most, stand next to each other; they may be in two parts.
@@ -210,32 +227,30 @@ class Features:
     def sentences(self, texts: list[str | None], told: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text of each row, features, holds a word of told) of the sentences that hold a word near a landmark; all
         others are all 0."""
-        tokens: list[str] = []
-        lengths: list[int] = []  # of sentences, in tokens
-        counts: list[int] = []  # of texts, in sentences
-        for t in texts:
-            parts = [s.split() for s in SENTENCES.split(prepared(t))] if t else []
-            counts.append(len(parts))
-            lengths += map(len, parts)
-            tokens += chain.from_iterable(parts)
-        codes, unique = pd.factorize(np.array(tokens, object))
-        self.learn(set(unique))
-        row = np.array([self.near.get(x, -1) for x in unique], np.int64)[codes] if len(tokens) else np.zeros(0, np.int64)
-        sentence = np.repeat(np.arange(len(lengths)), lengths)
+        own = [tokens_of(t) if t else [] for t in texts]
+        codes, unique = pd.factorize(np.array([*chain.from_iterable(own), LINE], object))
+        line, codes = codes[-1], codes[:-1]
+        self.learn(set(unique) - {LINE})
+        row = np.array([self.near.get(x, -1) for x in unique], np.int64)[codes]
+        text = np.repeat(np.arange(len(texts)), [len(x) for x in own])
+        # A sentence ends with a line, with a text, and behind a token that ends with one of these signs.
+        ends = np.array([x[-1] in ".!?" for x in unique], bool)[codes] | (codes == line)
+        new = np.append(True, ends[:-1] | (text[1:] != text[:-1])) if len(codes) else np.zeros(0, bool)
+        sentence = np.cumsum(new) - 1
         hit = np.flatnonzero(row >= 0)
         found, first = np.unique(sentence[hit], return_index=True)
         features = np.zeros((len(found), len(self.landmarks)), np.float32)
-        ends = np.append(first[1:], len(hit))
+        last = np.append(first[1:], len(hit))
         at = 0
         while at < len(found):  # a bounded number of kernels at once
-            stop = max(at + 1, int(np.searchsorted(ends, first[at] + 20_000, side="right")))
-            features[at:stop] = np.maximum.reduceat(self.rows[row[hit[first[at] : ends[stop - 1]]]], first[at:stop] - first[at])
+            stop = max(at + 1, int(np.searchsorted(last, first[at] + 20_000, side="right")))
+            features[at:stop] = np.maximum.reduceat(self.rows[row[hit[first[at] : last[stop - 1]]]], first[at:stop] - first[at])
             at = stop
-        marked = np.zeros(len(lengths), bool)
-        if told and len(tokens):
-            says = np.array([any(w in told for w in words_of(x)) for x in unique], bool)
+        marked = np.zeros(int(sentence[-1]) + 1 if len(codes) else 0, bool)
+        if told and len(codes):
+            says = np.array([x != LINE and any(w in told for w in words_of(x)) for x in unique], bool)
             marked[sentence[says[codes]]] = True
-        return np.repeat(np.arange(len(texts)), counts)[found], features, marked[found]
+        return text[hit[first]], features, marked[found]
 
 
 def remembered(landmarks: list[str]) -> Features:
@@ -258,11 +273,11 @@ def _document_counts(labelled: DataFrame) -> DataFrame:
         number: dict[str, int] = {}
         seen = np.zeros((2, 0), np.int64)
         for pdf in batches:
-            texts = [prepared(t).split() for t in pdf["text"]]
+            texts = [tokens_of(t) for t in pdf["text"]]
             codes, unique = pd.factorize(np.array(list(chain.from_iterable(texts)), object))
             for x in unique:
                 if x not in known:
-                    own = [number.setdefault(w, len(number)) for w in words_of(x)]
+                    own = [number.setdefault(w, len(number)) for w in words_of(x)] if x != LINE else []
                     known[x] = (*own, -1, -1)[:2]
             words = np.array([known[x] for x in unique], np.int64).reshape(-1, 2)[codes]
             doc, n = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), len(number)
