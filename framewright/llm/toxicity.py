@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, worker_cache
+from .common import cut, give_back_memory, small_batches, worker_cache
 
 ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
@@ -269,6 +269,7 @@ def _document_counts(labelled: DataFrame) -> DataFrame:
         return pd.DataFrame({"item": pd.Series(list(number), dtype=object), "bad": seen[1], "good": seen[0]})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("toxicity")  # drops what operators before this one kept in the worker
         known: dict[str, tuple[int, int]] = {}  # the numbers of a token's words; of one that comes once the second is -1
         number: dict[str, int] = {}
         seen = np.zeros((2, 0), np.int64)
@@ -291,6 +292,8 @@ def _document_counts(labelled: DataFrame) -> DataFrame:
                 known, number, seen = {}, {}, seen[:, :0]
         if number:
             yield told(number, seen)
+        del known, number, seen
+        give_back_memory()
 
     counts = labelled.select("text", "y").mapInPandas(count, "item string, bad long, good long")
     return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -300,6 +303,7 @@ def _gram_counts(words: DataFrame, wanted: frozenset[str]) -> DataFrame:
     """(item, bad, good): documents that hold each n-gram in wanted, counted once for each word that holds it."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("toxicity")  # drops what operators before this one kept in the worker
         for pdf in batches:
             found: dict[str, list[int]] = {}
             for w, bad, good in zip(pdf["item"], pdf["bad"].tolist(), pdf["good"].tolist()):
@@ -339,6 +343,7 @@ def _holders(toxic: DataFrame, key: str, words: frozenset[str]) -> DataFrame:
     kind = dict(toxic.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("toxicity")  # drops what operators before this one kept in the worker
         for pdf in batches:
             own = [_marks(t, words) for t in pdf["text"]]
             w, mark = [w for x in own for w in x], [m for x in own for m in x.values()]
