@@ -40,7 +40,7 @@ class Evaluator(Protocol):
 def merge_tree(states: DataFrame, keys: Sequence[str], merge: Callable[[Any, Any], Any]) -> DataFrame:
     """(keys, state): one state for each key from (keys, share, state) rows, FAN_IN of them at a time; share numbers a key's
     states without large gaps. A level has an eighth of the rows of the one before it."""
-    kind = ", ".join(f"`{k}` {states.schema[k].dataType.simpleString()}" for k in keys)
+    kind = ", ".join([*[f"`{k}` {states.schema[k].dataType.simpleString()}" for k in keys], "share bigint, state binary"])
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         whole = None
@@ -51,7 +51,7 @@ def merge_tree(states: DataFrame, keys: Sequence[str], merge: Callable[[Any, Any
     rows = materialise(states.select(*keys, "share", "state"))
     top = rows.agg(F.max("share")).first()[0] or 0
     while top > 0:
-        rows = rows.withColumn("share", F.floor(F.col("share") / FAN_IN)).groupBy(*keys, "share").applyInPandas(merged, f"{kind}, share bigint, state binary")
+        rows = rows.withColumn("share", F.floor(F.col("share") / FAN_IN)).groupBy(*keys, "share").applyInPandas(merged, kind)
         top //= FAN_IN
     return rows.select(*keys, "state")
 

@@ -37,6 +37,13 @@ def test_heavy_metrics_leave_out_what_does_not_exist(spark):
     assert got == pytest.approx({"fid": apart(side(0, 64), side(1, 64)), "fvd": apart(side(0, 8), side(1, 8))}, abs=1e-5)
 
 
+def test_distances_without_keys_over_many_tasks(spark):
+    x = np.random.default_rng(2).normal(size=(400, 3)) * [1, 2, 3]
+    df = spark.createDataFrame([(i % 2, r.tolist()) for i, r in enumerate(x)], "side int, v array<double>").repartition(20)
+    got = M.heavy_metrics({"fid": (df.where("side = 0"), df.where("side = 1"), "v")}).collect()
+    assert [(r.metric, r.value) for r in got] == [("fid", pytest.approx(apart(x[::2], x[1::2])))]
+
+
 def test_wide_vectors_in_many_tasks(spark):
     x = np.random.default_rng(1).normal(size=(300, 150)) * np.arange(1, 151) + 1000
     df = spark.createDataFrame([(i % 2, r.tolist()) for i, r in enumerate(x)] + [(0, None)], "k int, v array<double>").repartition(30)
