@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that a part of a result has on average, so that no part outgrows what a JSON reader takes as one string.
+PART_ROWS = 50_000
+
 
 def write_lines(df: DataFrame, path: str, force: bool = False) -> None:
     """JSON lines; an existing target is refused unless force."""
@@ -37,10 +40,14 @@ def metric_lines(metrics: DataFrame, step: str = "step", phase: str = "phase") -
     return one.groupBy(step, phase).agg(pairs.alias("m")).select(F.to_json(F.struct(step, phase, "m")).alias("value"))
 
 
-def result_json(rows: DataFrame) -> DataFrame:
-    """(dimension, value): '[score, rows]' of each dimension, from (dimension, video, score) rows."""
+def result_json(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(dimension, part, value): '[score, rows]' of each dimension, from (dimension, video, score) rows. A dimension of many
+    rows has them in parts, dealt by their hash; each part has the score of the whole dimension."""
+    means = rows.groupBy(F.col("dimension").alias("__of")).agg(F.avg("score").alias("__mean"), F.ceil(F.count("*") / part_rows).alias("__parts"))
+    dealt = rows.join(means, F.col("dimension").eqNullSafe(F.col("__of"))).withColumn("part", F.pmod(F.xxhash64("video", "score"), F.col("__parts")))
     videos = F.array_sort(F.collect_list(F.struct("video", "score")))
-    return rows.groupBy("dimension").agg(F.concat(F.lit("["), F.coalesce(F.avg("score").cast("string"), F.lit("null")), F.lit(","), F.to_json(videos), F.lit("]")).alias("value"))
+    text = F.concat(F.lit("["), F.coalesce(F.first("__mean").cast("string"), F.lit("null")), F.lit(","), F.to_json(videos), F.lit("]"))
+    return dealt.groupBy("dimension", "part").agg(text.alias("value"))
 
 
 def detection_lines(df: DataFrame) -> DataFrame:
