@@ -16,6 +16,9 @@ from ..functions.geometry import Box, box, iou
 from .groups import map_groups
 from .ranges import latest_max, running
 
+#: Pairs of boxes that a task compares at once.
+PAIRS = 100_000
+
 
 def iou_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], id_: str, box_: str = "box", overlapping: bool = False, pixel: float = 0.0) -> DataFrame:
     """(keys, l, r, iou) of all boxes of left and right with equal keys; overlapping leaves disjoint ones out. pixel is 1
@@ -103,14 +106,38 @@ def recall_at(best: DataFrame, positives: Column, thresholds: Sequence[float]) -
 
 
 def _iou_matrix(b: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.minimum(b[2], others[:, 2]) - np.maximum(b[0], others[:, 0])
-    h = np.minimum(b[3], others[:, 3]) - np.maximum(b[1], others[:, 1])
+    """Overlaps of others with b, a box or as many as others."""
+    w = np.minimum(b[..., 2], others[:, 2]) - np.maximum(b[..., 0], others[:, 0])
+    h = np.minimum(b[..., 3], others[:, 3]) - np.maximum(b[..., 1], others[:, 1])
     both = np.maximum(w, 0) * np.maximum(h, 0)
     area = lambda x: (x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1])
     union = area(b) + area(others) - both
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
+def _kept(boxes: np.ndarray, at: np.ndarray, overlap, hit) -> np.ndarray:
+    """For each row the place of the row that stays for it: its own, or that of the first one before it in its group that
+    stays itself and whose overlap with it is a hit. The rows of many groups are compared at once, PAIRS at a time; rows
+    that have gone by then are not compared."""
+    of = np.full(len(boxes), -1)
+    after = np.repeat(at[1:], np.diff(at)) - np.arange(len(boxes)) - 1
+    total, begin = np.append(0, np.cumsum(after)), 0
+    while begin < len(boxes):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + PAIRS, side="right")) - 1)
+        own = begin + np.flatnonzero(of[begin:end] < 0)
+        n = after[own]
+        i = np.repeat(own, n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        open_ = of[j] < 0
+        i, j = i[open_], j[open_]
+        near = hit(overlap(boxes[i], boxes[j]))
+        for first, second in zip(i[near].tolist(), j[near].tolist()):
+            if of[first] < 0 and of[second] < 0:
+                of[second] = first
+        begin = end
+    return np.where(of < 0, np.arange(len(boxes)), of)
+
+
 def suppress(df: DataFrame, keys: Sequence[str], id_: str, threshold: float, score: str = "score", box_: str = "box", overlap=_iou_matrix) -> DataFrame:
     """(keys, id) of boxes that non-maximum suppression keeps within each key, e.g. image and class.
 
@@ -121,13 +148,8 @@ def suppress(df: DataFrame, keys: Sequence[str], id_: str, threshold: float, sco
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, "id"])
 
     def keep(pdf: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
-        boxes = pdf[corners].to_numpy(float)
-        live = np.ones(len(boxes), bool)
-        for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
-            for i in range(begin, end - 1):
-                if live[i]:
-                    live[i + 1 : end] &= overlap(boxes[i], boxes[i + 1 : end]) <= threshold
-        return pdf.loc[live, [*keys, "id"]]
+        of = _kept(pdf[corners].to_numpy(float), at, overlap, lambda v: ~(v <= threshold))
+        return pdf.loc[of == np.arange(len(of)), [*keys, "id"]]
 
     return map_groups(rows, keys, [F.desc("s"), "id"], keep, schema)
 
@@ -139,15 +161,8 @@ def suppress_clusters(df: DataFrame, keys: Sequence[str], id_: str, threshold: f
     kind = lambda c: rows.schema[c].dataType.simpleString()
 
     def cluster(pdf: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
-        boxes, ids = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["id"].tolist()
-        of = np.full(len(boxes), -1)
-        for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
-            for i in range(begin, end):
-                if of[i] < 0:
-                    of[i] = i
-                    rest = of[i + 1 : end]
-                    rest[(rest < 0) & (_iou_matrix(boxes[i], boxes[i + 1 : end]) > threshold)] = i
-        return pdf[[*keys, "id"]].assign(kept=[ids[i] for i in of])
+        of = _kept(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), at, _iou_matrix, lambda v: v > threshold)
+        return pdf[[*keys, "id"]].assign(kept=pdf["id"].to_numpy()[of])
 
     return map_groups(rows, keys, [F.desc("s"), "id"], cluster, ", ".join(f"`{k}` {kind(k)}" for k in keys) + f", id {kind('id')}, kept {kind('id')}")
 
@@ -200,37 +215,45 @@ def mean_masks(cells: DataFrame, keys: Sequence[str], x: str, y: str, value: str
     return cells.withColumn(x, at).groupBy(*keys, x, y).agg(F.avg(value).alias(value))
 
 
-def _clip_polygon(subject: np.ndarray, clipper: np.ndarray) -> np.ndarray:
-    """The part of a convex polygon inside another one; both run counter-clockwise."""
-    for a, b in zip(clipper, np.roll(clipper, -1, axis=0)):
-        if not len(subject):
-            break
-        side = (b[0] - a[0]) * (subject[:, 1] - a[1]) - (b[1] - a[1]) * (subject[:, 0] - a[0])
-        out = []
-        for k in range(len(subject)):
-            p, q, s, t = subject[k], subject[(k + 1) % len(subject)], side[k], side[(k + 1) % len(subject)]
-            if s >= 0:
-                out.append(p)
-            if s * t < 0:
-                out.append(p + (q - p) * s / (s - t))
-        subject = np.array(out)
-    return subject
+def _clip_polygons(subjects: np.ndarray, clippers: np.ndarray) -> np.ndarray:
+    """The parts of convex polygons (n, corners, 2) inside others; all run counter-clockwise. What has fewer corners than
+    the widest one repeats its last, and an empty part is all zeros."""
+    for k in range(clippers.shape[1]):
+        a, b = clippers[:, k, None], clippers[:, (k + 1) % clippers.shape[1], None]
+        side = (b[..., 0] - a[..., 0]) * (subjects[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (subjects[..., 0] - a[..., 0])
+        ahead, to = np.roll(subjects, -1, axis=1), np.roll(side, -1, axis=1)
+        crosses = side * to < 0
+        share = side / np.where(crosses, side - to, 1)
+        points = np.stack([subjects, subjects + (ahead - subjects) * share[..., None]], 2).reshape(len(subjects), 2 * side.shape[1], 2)
+        valid = np.stack([side >= 0, crosses], 2).reshape(len(subjects), 2 * side.shape[1])
+        n = valid.sum(1)
+        order = np.argsort(~valid, axis=1, kind="stable")
+        place = np.minimum(np.arange(max(1, n.max(initial=0))), np.maximum(n - 1, 0)[:, None])
+        subjects = np.take_along_axis(points, np.take_along_axis(order, place, 1)[..., None], 1)
+        subjects[n == 0] = 0
+    return subjects
 
 
 def _corners(b: np.ndarray) -> np.ndarray:
-    t = np.radians(b[4])
-    turn = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
-    return (np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]]) * b[2:4] / 2) @ turn.T + b[:2]
+    """(n, 4, 2) corners of n boxes."""
+    t = np.radians(b[:, 4, None])
+    x, y = np.array([-1, 1, 1, -1]) * b[:, 2, None] / 2, np.array([-1, -1, 1, 1]) * b[:, 3, None] / 2
+    return np.stack([b[:, 0, None] + x * np.cos(t) - y * np.sin(t), b[:, 1, None] + x * np.sin(t) + y * np.cos(t)], 2)
 
 
 def rotated_iou(a: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Overlap of boxes (centre x, centre y, width, height, degrees) by polygon clipping."""
-    out = np.zeros(len(others))
-    for k, b in enumerate(others):
-        p = _clip_polygon(_corners(a), _corners(b))
-        both = abs(np.dot(p[:, 0], np.roll(p[:, 1], -1)) - np.dot(p[:, 1], np.roll(p[:, 0], -1))) / 2 if len(p) > 2 else 0.0
-        union = a[2] * a[3] + b[2] * b[3] - both
-        out[k] = both / union if union > 0 else 0.0
+    """Overlaps of boxes (centre x, centre y, width, height, degrees) with a, a box or as many as others, by polygon
+    clipping of those whose circles meet."""
+    others = np.asarray(others, float)
+    a = np.broadcast_to(np.asarray(a, float), others.shape)
+    apart = np.hypot(a[:, 0] - others[:, 0], a[:, 1] - others[:, 1]) > (np.hypot(a[:, 2], a[:, 3]) + np.hypot(others[:, 2], others[:, 3])) / 2 * (1 + 1e-9)
+    out, meet = np.zeros(len(others)), ~apart
+    p, a, b = _clip_polygons(_corners(a[meet]), _corners(others[meet])), a[meet], others[meet]
+    p = p - p[:, :1]
+    ahead = np.roll(p, -1, axis=1)
+    both = np.abs((p[..., 0] * ahead[..., 1] - p[..., 1] * ahead[..., 0]).sum(1)) / 2
+    union = a[:, 2] * a[:, 3] + b[:, 2] * b[:, 3] - both
+    out[meet] = np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
     return out
 
 

@@ -3,9 +3,11 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from framewright import catalogue
+from framewright.operators import detection as D
 from framewright.queries.boxes import detections
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +62,13 @@ def test_rotated_suppression_equals_a_plain_loop(spark):
     got = {(r.image, r["class"], r.id) for r in catalogue.QUERIES["g7_suppress_rotated"](spark, SF).collect()}
     assert got == want and len(want) < sum(map(len, groups.values()))
     assert shared((0, 0, 2, 2, 0), (0, 0, 2, 2, 45)) == pytest.approx(8 * (math.sqrt(2) - 1))
+
+
+def test_many_images_are_compared_at_once():
+    calls = []
+    overlap = lambda a, b: calls.append(len(a)) or D._iou_matrix(a, b)
+    boxes = np.tile(np.array([[0, 0, 10, 10], [1, 0, 11, 10], [50, 0, 60, 10]], float), (1000, 1))
+    of = D._kept(boxes, np.arange(0, 3001, 3), overlap, lambda v: v > 0.5)
+    assert (of.reshape(-1, 3) - np.arange(0, 3000, 3)[:, None] == [0, 0, 2]).all() and calls == [3000]
+    other = np.array([[5.0, 0.0, 10.0, 4.0, 90.0]] * 3)
+    assert D.rotated_iou(np.array([5.0, 0.0, 4.0, 10.0, 0.0]), other) == pytest.approx([1.0] * 3)
