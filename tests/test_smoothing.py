@@ -1,7 +1,11 @@
 """Smoothed metric streams against the same windows over a table."""
 
 import random
+import statistics
+from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +45,31 @@ def test_stream_equals_the_table_over_batches_and_a_restart(spark, tmp_path):
     assert 0 < seen[1] < seen[2] < 90 == seen[-1]
 
 
+def test_windows_equal_a_plain_loop():
+    values = [random.Random(i).random() for i in range(30)]
+    for k in (1, 2, 5, 40):
+        for n in (0, 1, 3, k - 1):
+            own = np.array(values[: min(n, k - 1)])
+            median, mean = smoothing._windows(own, np.array(values), k)
+            tails = [[*own, *values][max(0, i - k) : i] for i in range(len(own) + 1, len(own) + 31)]
+            assert median.tolist() == pytest.approx([statistics.median(t) for t in tails]) and mean.tolist() == pytest.approx([statistics.mean(t) for t in tails])
+
+
+def test_many_rows_of_a_metric_take_few_calls_to_its_state():
+    class State(list):
+        calls = 0
+
+        def appendList(self, rows):  # noqa: N802  Spark's name
+            self.calls += 1
+            self.extend(rows)
+
+    smoother, clock = smoothing._Smoother("metric", 5, 1000), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    smoother.waiting, smoother._wake = State(), lambda ms: None
+    rows = pd.DataFrame({"us": range(1, 10_001), "step": 0, "value": 1.0})
+    list(smoother.handleInputRows(("m",), iter([rows, rows]), clock))
+    assert smoother.waiting.calls == 2 and len(smoother.waiting) == 2
+
+
 def test_idle_metrics_begin_anew(spark, tmp_path):
     smoothing.use_state_store(spark)
     source, checkpoint = str(tmp_path / "in"), str(tmp_path / "check")
