@@ -7,6 +7,7 @@ done again from that one, until all seams agree; so the result is that of one pa
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 
@@ -26,18 +27,31 @@ OBJECT, BEGIN, END = 0, 1, 2
 _OUT = "piece bigint, kind int, frame bigint, id bigint, from_frame bigint, from_id bigint, state binary"
 
 
-def _box_overlaps(a: tuple, others: list[tuple]) -> np.ndarray:
-    b = np.array(others, float)
-    w = np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0])
-    h = np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1])
+def _box_overlaps(mine: list[tuple], others: list[tuple]) -> np.ndarray:
+    a, b = np.array(mine, float)[:, None], np.array(others, float)
+    w = np.minimum(a[..., 2], b[:, 2]) - np.maximum(a[..., 0], b[:, 0])
+    h = np.minimum(a[..., 3], b[:, 3]) - np.maximum(a[..., 1], b[:, 1])
     both = np.maximum(w, 0) * np.maximum(h, 0)
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - both
+    union = (a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1]) + (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1]) - both
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
-def _mask_overlaps(a: tuple, others: list[tuple]) -> np.ndarray:
-    own, sets = set(a), [set(b) for b in others]
-    return np.array([len(own & s) / max(1, len(own | s)) for s in sets])
+def _mask_overlaps(mine: list[tuple], others: list[tuple]) -> np.ndarray:
+    """A mask and its set are met again frame after frame: of the last ones the sets are kept."""
+    a, b = [_pixels(x) for x in mine], [_pixels(x) for x in others]
+    both = np.array([[len(x & y) for y in b] for x in a])
+    return both / np.maximum(1, np.array([len(x) for x in a])[:, None] + np.array([len(y) for y in b]) - both)
+
+
+@functools.lru_cache(maxsize=256)
+def _pixels(mask: tuple) -> frozenset:
+    return frozenset(mask)
+
+
+def _dumped(state: list[tuple]) -> bytes:
+    """Equal states give equal bytes: pickle tells one string that occurs twice from two equal ones."""
+    names: dict = {}
+    return pickle.dumps([(t, key, names.setdefault(label, label), shape, left) for t, key, label, shape, left in state])
 
 
 def advance(state: list[tuple], frame: list[tuple], threshold: float, patience: int, overlaps) -> tuple[list[tuple], list[int | None]]:
@@ -49,13 +63,15 @@ def advance(state: list[tuple], frame: list[tuple], threshold: float, patience:
     """
     found: list[int | None] = [None] * len(frame)
     missed = []
+    most, bests = [0.0] * len(state), [0] * len(state)
+    if state and frame:
+        kinds = [f[2] for f in frame]
+        v = np.where([[s[2] == kind for kind in kinds] for s in state], overlaps([s[3] for s in state], [f[3] for f in frame]), 0.0)
+        most, bests = v.max(1).tolist(), v.argmax(1).tolist()
     for i, (t, key, label, shape, left) in enumerate(state):
-        if frame:
-            v = np.where([f[2] == label for f in frame], overlaps(shape, [f[3] for f in frame]), 0.0)
-            best = int(v.argmax())
-            if v[best] > threshold and found[best] is None:
-                found[best] = i
-                continue
+        if frame and most[i] > threshold and found[bests[i]] is None:
+            found[bests[i]] = i
+            continue
         if left > 1:
             missed.append((t, key, label, shape, left - 1))
     return [(*f, patience) for f in frame] + missed, found
@@ -102,7 +118,7 @@ def track(df: DataFrame, video: str, t: str, id_: str, label: str, shape: str =
         return list(out.items())
 
     def told(name, at: int, objects: list[tuple], begin: list[tuple], end: list[tuple]) -> pd.DataFrame:
-        rows_ = [(name, at, OBJECT, *o, None) for o in objects] + [(name, at, BEGIN, 0, 0, 0, 0, pickle.dumps(begin)), (name, at, END, 0, 0, 0, 0, pickle.dumps(end))]
+        rows_ = [(name, at, OBJECT, *o, None) for o in objects] + [(name, at, BEGIN, 0, 0, 0, 0, _dumped(begin)), (name, at, END, 0, 0, 0, 0, _dumped(end))]
         return pd.DataFrame(rows_, columns=[video, "piece", "kind", "frame", "id", "from_frame", "from_id", "state"])
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

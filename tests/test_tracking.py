@@ -78,6 +78,20 @@ def test_seams_that_disagree_are_done_again(spark, before):
     assert K.track(df.limit(0), "video", "t", "id", "label").count() == 0
 
 
+def test_equal_states_are_equal_bytes():
+    one, other = "".join(["la", "bel"]), "".join(["lab", "el"])
+    state = lambda a, b: [(1, 1, a, (0.0, 1.0), 8), (1, 2, b, (0.0, 2.0), 8)]
+    assert K._dumped(state(one, one)) == K._dumped(state(one, other)) != K._dumped(state(one, "x"))
+
+
+def test_all_overlaps_of_a_frame_are_taken_at_once():
+    calls = []
+    overlaps = lambda a, b: calls.append((len(a), len(b))) or K._box_overlaps(a, b)
+    box = lambda x: (x, 0.0, x + 10.0, 10.0)
+    state, found = K.advance([(1, i, "a", box(20.0 * i), 2) for i in range(5)], [(2, i, "a", box(20.0 * i)) for i in (3, 1)], 0.6, 8, overlaps)
+    assert found == [3, 1] and calls == [(5, 2)] and [s[1] for s in state] == [3, 1, 0, 2, 4]
+
+
 def test_a_track_over_many_pieces_keeps_its_number(spark):
     rows = [(t, 1, (0.0, 0.0, 10.0, 10.0)) for t in range(200)] + [(t, 2, (50.0, 0.0, 60.0, 10.0)) for t in range(90, 200, 7)]
     df = spark.createDataFrame(rows, "t bigint, id bigint, box struct<x0: double, y0: double, x1: double, y1: double>").select(F.lit("v").alias("video"), "*", F.lit(1).alias("label"))
