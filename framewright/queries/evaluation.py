@@ -46,7 +46,7 @@ def e35_ten_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.match_levels(det, truth, ["image", "class"], E.LEVELS, [F.desc("score"), F.col("id")])
     positives = truth.where("not difficult").groupBy("class").agg(F.count("*").alias("n"))
     order = [F.desc("score"), F.col("image"), F.col("id")]
-    curve = D.precision_recall(found.join(positives, "class"), ["threshold", "class"], order, F.col("n"))
+    curve = D.precision_recall(found.select("threshold", "class", "score", "image", "id", "tp", "fp").join(positives, "class"), ["threshold", "class"], order, F.col("n"))
     out = E.precision_summary(D.average_precision(curve, ["class", "threshold"]), ["class"])
     return out.select("class", *[F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap75")])
 
@@ -57,7 +57,7 @@ def f6_eleven_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, truth = matched(spark, sf_dir)
     positives = truth.where("not difficult").groupBy("class").agg(F.count("*").alias("n"))
     order = [F.desc("score"), F.col("image"), F.col("id")]
-    curve = D.precision_recall(found.join(positives, "class"), ["class"], order, F.col("n"))
+    curve = D.precision_recall(found.select("class", "score", "image", "id", "tp", "fp").join(positives, "class"), ["class"], order, F.col("n"))
     return D.interpolated_precision(curve, ["class"], 11).select("class", F.round("ap", 6).alias("ap"))
 
 
