@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ def write_csv(df: DataFrame, path: str, force: bool = False) -> None:
     df.write.mode("overwrite" if force else "errorifexists").csv(path, header=True)
 
 
+def write_enclosed(df: DataFrame, value: str, root: str, path: str) -> None:
+    """XML elements, one a line; the rows of a partition are one file under one root, so that each file is a document."""
+
+    def enclosed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda x: pa.RecordBatch.from_arrays([x], ["value"])
+        yield lines(pa.array([f"<{root}>"]))
+        for batch in batches:
+            yield lines(batch.column(0))
+        yield lines(pa.array([f"</{root}>"]))
+
+    df.select(F.col(value).cast("string").alias("value")).mapInArrow(enclosed, "value string").write.text(path)
+
+
 def without_private(df: DataFrame) -> DataFrame:
     """Columns whose name begins with _ go."""
     return df.select(*[f"`{c}`" for c in df.columns if not c.startswith("_")])

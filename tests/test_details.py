@@ -161,3 +161,16 @@ def test_query_tool_prints_counts_and_refuses(spark, tmp_path, capsys):
     assert set(tool.ACTIONS) >= {"print", "count", "write"}
     with pytest.raises(ValueError, match="taken"):
         tool.action("count")(lambda df, args: None)
+
+
+def test_annotation_files_do_not_grow_with_suppliers(spark, monkeypatch, tmp_path):
+    from framewright.queries import proofs
+
+    monkeypatch.setattr(proofs, "_folder", lambda _: str(tmp_path))
+    monkeypatch.setattr(proofs, "OBJECTS", 3000)
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got = proofs.a18_annotations_round_trip(spark, "/root/testdata/sf0.001")
+    want = rows.selectExpr("l_suppkey", "l_returnflag", "l_orderkey", "cast(l_linenumber % 2 as int)", "cast(l_partkey % 50 as double)", "l_partkey % 50 + l_quantity")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    files = list((tmp_path / "xml").rglob("*.txt"))
+    assert len(files) <= -(-rows.count() // 3000) < rows.select("l_suppkey").distinct().count()
