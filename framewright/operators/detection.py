@@ -352,29 +352,35 @@ def match_at_thresholds(pairs: DataFrame, detections: DataFrame, truth: DataFram
     integers = kind("r") in ("int", "bigint")
 
     def match(pdf: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
-        names = [pdf[k].tolist() for k in keys]
-        ids, objects, overlaps = pdf["id"].tolist(), pdf["r"].tolist(), pdf["iou"].tolist()
-        ignores, crowds = pdf["ignore"].tolist(), pdf["crowd"].tolist()
+        ids, overlap = pdf["id"].to_numpy(), pdf["iou"].to_numpy(float)
+        ignore, crowd = pdf["ignore"].eq(True).to_numpy(bool), pdf["crowd"].eq(True).to_numpy(bool)
+        new = np.zeros(len(pdf), bool)
+        new[at[:-1]] = True
+        new[1:] |= ids[1:] != ids[:-1]
+        first, own = np.flatnonzero(new), np.cumsum(new) - 1
+        group = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        place = np.arange(len(first)) - np.searchsorted(first, at[:-1])[group[first]]
+        r = pd.factorize(pdf["r"])[0]
+        objects, known = np.unique(group * (r.max(initial=0) + 2) + r + 1, return_inverse=True)
+        # The detections of equal place in all images choose at once; rows of one stand by overlap, greatest first.
+        by_place = np.argsort(place[own], kind="stable")
+        turns = np.split(by_place, np.searchsorted(place[own][by_place], np.arange(1, place.max(initial=0) + 1)))
         out = []
-        for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
-            key = [n[begin] for n in names]
-            runs = [i for i in range(begin, end) if i == begin or ids[i] != ids[i - 1]] + [end]
-            for t in thresholds:
-                taken: set = set()
-                for first, stop in zip(runs[:-1], runs[1:]):
-                    best = None
-                    for i in range(first, stop):
-                        v = overlaps[i]
-                        if v is None or v != v or v < t or objects[i] in taken and not crowds[i]:
-                            continue
-                        rank = (not ignores[i], v)
-                        if best is None or rank > best[0]:
-                            best = (rank, objects[i], bool(ignores[i]))
-                    if best:
-                        taken.add(best[1])
-                    out.append([*key, float(t), ids[first], best[1] if best else None, best[2] if best else False])
-        found = pd.DataFrame(out, columns=[*keys, "threshold", "id", "object", "ignored"])
-        return found.astype({"object": "Int64"}) if integers else found
+        for t in thresholds:
+            chosen, taken = np.full(len(first), -1), np.zeros(len(objects), bool)
+            for rows in turns:
+                open_ = rows[(overlap[rows] >= t) & (~taken[known[rows]] | crowd[rows])]
+                for side in (open_[~ignore[open_]], open_[ignore[open_]]):
+                    side = side[chosen[own[side]] < 0]
+                    side = side[np.append(True, own[side][1:] != own[side][:-1])[: len(side)]]
+                    chosen[own[side]] = side
+                    taken[known[side]] = True
+            hit = chosen >= 0
+            found = pdf.iloc[first][[*keys]].assign(threshold=float(t), id=ids[first])
+            object_ = pdf["r"].iloc[np.maximum(chosen, 0)].reset_index(drop=True)
+            found["object"] = (object_.astype("Int64") if integers else object_.astype(object)).where(hit, None).array
+            out.append(found.assign(ignored=hit & ignore[chosen]))
+        return pd.concat(out, ignore_index=True)
 
     return map_groups(rows, keys, [F.desc("score"), "id", F.desc("iou"), "r"], match, schema)
 
