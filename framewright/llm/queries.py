@@ -17,6 +17,8 @@ WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 1, "sr
 #: A document is rejected as toxic from this score on.
 TOXIC = 0.3
 TOKENIZER = "byte_bpe_50k.tiktoken"
+#: Keys of documents that are broadcast at most, some 50 MB.
+FEW_KEYS = 2_000_000
 
 
 def tokenizer() -> tuple[str, str]:
@@ -87,8 +89,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled to be of quality; background: all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    return lm.score(docs, "text", lm.train(docs, good, "text"))
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    # Few keys go to the texts; with more of them texts are moved once.
+    few = good.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    good = good.withColumn("__good", F.lit(True))
+    return lm.score_own(docs.join(F.broadcast(good) if few else good, "doc_id", "left"), "text", "__good")
 
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,6 +213,21 @@ def test_lm_counts_rare_words_and_pairs(spark):
     assert lm.score(table(asked), "text", lm.train(table([]), table([]), "text")).where("abs(ce_diff) > 1e-9").count() == 0
 
 
+def test_lm_writes_few_bytes_a_token(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 500) % 100_000) for _ in range(400)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "k int, text string")
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    before = size()
+    got = lm.score(docs, "text", lm.train(docs, docs.where("k < 50"), "text")).orderBy("k").collect()
+    assert size() - before < 15 * 500 * len(texts)
+    some = [0, 399]
+    assert np.allclose([got[i].ce_diff for i in some], [x for x, _ in brute_lm(texts, texts[:50], [texts[i] for i in some])], atol=1e-8)
+    own = lm.score_own(docs.withColumn("good", F.when(F.col("k") < 50, True)), "text", "good").orderBy("k").collect()
+    assert [r.asDict() for r in own] == [r.asDict() for r in got]
+
+
 def test_every_telling_word_has_two_landmarks():
     words = {f"^{w}$": 9 for w in ("blorkhead", "quimbly", "snarvot")}
     grams = {g: 9 for w in words for g in toxicity.grams_of(w)}
