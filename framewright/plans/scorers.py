@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -18,6 +19,9 @@ def scorer(load: Callable[[], Any], score: Callable[[Any, pd.Series], pd.Series]
         model = load()
         for batch in batches:
             yield score(model, batch).astype("float64")
+            # Series.str and its like hang a batch in a cycle of references; so few objects are made that it would stay.
+            del batch
+            gc.collect()
 
     # The annotations above are strings, which pandas_udf reads the kind of function from.
     each.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}

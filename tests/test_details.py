@@ -174,3 +174,22 @@ def test_annotation_files_do_not_grow_with_suppliers(spark, monkeypatch, tmp_pat
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     files = list((tmp_path / "xml").rglob("*.txt"))
     assert len(files) <= -(-rows.count() // 3000) < rows.select("l_suppkey").distinct().count()
+
+
+def test_scorers_let_go_of_batches(spark):
+    import weakref
+
+    from framewright.plans.scorers import scorer
+
+    def held(known, texts):
+        known.append(weakref.ref(texts))
+        return texts.str.len() * 0 + sum(r() is not None for r in known)
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        rows = spark.range(0, 200, 1, 1).select(scorer(list, held)(F.concat(F.lit("x"), "id")).alias("n"))
+        assert rows.agg(F.max("n")).first()[0] <= 2
+    finally:
+        spark.conf.set(name, before)
