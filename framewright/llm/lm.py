@@ -78,6 +78,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def returned(kind: pa.DataType) -> pa.DataType:
+    """The type as Spark wants it of what a task returns: UTC for the session's time zone, and nulls allowed inside."""
+    if pa.types.is_timestamp(kind) and kind.tz:
+        return pa.timestamp(kind.unit, "UTC")
+    if pa.types.is_struct(kind):
+        return pa.struct([f.with_type(returned(f.type)).with_nullable(True) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(kind.value_field.with_type(returned(kind.value_type)).with_nullable(True))
+    if pa.types.is_map(kind):
+        return pa.map_(returned(kind.key_type), kind.item_field.with_type(returned(kind.item_type)).with_nullable(True))
+    return kind
+
+
 def word_code(word: np.ndarray) -> np.ndarray:
     """Odd."""
     return mixed(word) | np.uint64(1)
@@ -223,6 +236,7 @@ def _scored(rows: DataFrame, kept: DataFrame, to: str, count: str) -> DataFrame:
         if len(b.full):
             value[b.full] = np.add.reduceat(units[b.pair], b.stop - b.lengths[b.full]) * UNIT / b.lengths[b.full]
         table = pa.ipc.open_stream(r["kept"]).read_all()
+        table = table.cast(pa.schema([f.with_type(returned(f.type)) for f in table.schema]))
         out = pa.Table.from_arrays([*table.columns, pa.array(value), pa.array(b.lengths)], names=[*names, to, count])
         return out.filter(pa.array(unpacked(r["asked"], r["n"], np.uint8).astype(bool)))
 

@@ -228,6 +228,20 @@ def test_lm_writes_few_bytes_a_token(spark):
     assert [r.asDict() for r in own] == [r.asDict() for r in got]
 
 
+def test_lm_keeps_other_columns_in_any_time_zone(spark):
+    rows = spark.sql("SELECT 1 AS k, timestamp '2020-01-01 00:00:00' AS t, named_struct('a', array(timestamp '2021-01-01 00:00:00')) AS s, 'a b' AS text, true AS good UNION ALL SELECT null, null, null, null, null")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        want = sorted(map(repr, rows.select("k", "t", "s").collect()))
+        got = lm.score_own(rows, "text", "good")
+        assert sorted(map(repr, got.select("k", "t", "s").collect())) == want
+        assert sorted(r.n_tokens for r in got.collect()) == [0, 2]
+        assert lm.score_own(rows.limit(0), "text", "good").collect() == [] and lm.score_own(rows.select("text", "good"), "text", "good").count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_every_telling_word_has_two_landmarks():
     words = {f"^{w}$": 9 for w in ("blorkhead", "quimbly", "snarvot")}
     grams = {g: 9 for w in words for g in toxicity.grams_of(w)}
