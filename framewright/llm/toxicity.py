@@ -14,7 +14,8 @@ import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, count
 from typing import NamedTuple
 
 import numpy as np
@@ -86,6 +87,13 @@ def tokens_of(text: str) -> list[str]:
     return tokens
 
 
+def numbered(tokens: list[str]) -> tuple[np.ndarray, list[str]]:
+    """The number of each token, and the different tokens in the order of their numbers."""
+    number: dict[str, int] = defaultdict(count().__next__)
+    codes = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    return codes, list(number)
+
+
 def words_of(token: str) -> list[str]:
     """A token of a prepared text as a word marked at both ends, without outer punctuation; one with signs inside also
     comes without them."""
@@ -106,6 +114,7 @@ def _codes(strings: list[str], width: int) -> np.ndarray:
     return out
 
 
+@cache
 def _reach(n: int) -> np.ndarray:
     """[i, j]: DECAY to the power of the characters between j and a later i, else 0."""
     gap = np.arange(n)[:, None] - np.arange(n) - 1
@@ -114,31 +123,30 @@ def _reach(n: int) -> np.ndarray:
 
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The kernel of a[i] with b[i], rows of character codes padded with 0. A common subsequence that ends at a pair of
-    equal characters goes on at a later such pair; all rows take each step in two matrix products."""
+    equal characters goes on at a later such pair; all rows take each step in two matrix products. Rows are the last
+    axis: words and landmarks are short, so that any other layout spends its time between the inner loops."""
     (n, la), lb = a.shape, b.shape[1]
-    left, right = _reach(la), _reach(lb).T
+    left, right = _reach(la), _reach(lb)
     out = np.empty(n, np.float32)
-    for at in range(0, n, 1024):
-        x, y = a[at : at + 1024].T[:, :, None], b[None, at : at + 1024]
-        same = ((x == y) & (x > 0)) * np.float32(DECAY * DECAY)  # [la, rows, lb]
+    for at in range(0, n, 512):
+        x, y = np.ascontiguousarray(a[at : at + 512].T), np.ascontiguousarray(b[at : at + 512].T)
+        same = (x[:, None] == np.where(y > 0, y, -1)) * np.float32(DECAY * DECAY)  # [la, lb, rows]
         ended = same
         for _ in range(ORDER - 1):
-            ended = same * (left @ (ended @ right).reshape(la, -1)).reshape(same.shape)
-        out[at : at + 1024] = ended.sum((0, 2))
+            ended = (left @ (right @ ended).reshape(la, -1)).reshape(same.shape)
+            ended *= same
+        out[at : at + 512] = ended.reshape(la * lb, -1).sum(0)
     return out
 
 
 def _pair_bits(codes: np.ndarray, reach: int) -> np.ndarray:
     """[rows, 4] of 64 bits: hashes of the characters that stand up to reach places apart, in order."""
-    out = np.zeros((len(codes), 4), np.uint64)
-    row = np.arange(len(codes))
+    out = np.zeros((len(codes), 256), np.uint8)
+    row = np.arange(0, out.size, 256)[:, None]
     for d in range(1, reach + 1):
-        for i in range(codes.shape[1] - d):
-            a, b = codes[:, i].astype(np.int64), codes[:, i + d].astype(np.int64)
-            bit = (a * 40503 + b * 30011 >> 3) & 255
-            own = np.where((a > 0) & (b > 0), np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64)), np.uint64(0))
-            out[row, bit >> 6] |= own
-    return out
+        a, b = codes[:, :-d].astype(np.int64), codes[:, d:].astype(np.int64)
+        out.reshape(-1)[(row + ((a * 40503 + b * 30011 >> 3) & 255))[b > 0]] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
 
 
 def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -162,21 +170,23 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
         held = sum(np.bitwise_count(own[:, k, None] & marks[:, k]) for k in range(4))
         near.append(np.argwhere(held >= need) + [at, 0])
     i, j = np.concatenate(near).T
-    long = (a > 0).sum(1)
-    by_length = np.argsort(long[i], kind="stable")
+    long, short = (a > 0).sum(1), (b > 0).sum(1)
+    by_length = np.lexsort((long[i], short[j]))
     i, j = i[by_length], j[by_length]
     self_b = subsequence_kernel(b, b)
-    rows = np.unique(i)
+    compared = np.zeros(len(a), bool)
+    compared[i] = True
+    rows = np.flatnonzero(compared)
     rows = rows[np.argsort(long[rows], kind="stable")]
     self_a = np.ones(len(a), np.float32)
-    for at in range(0, len(rows), 4096):
-        own = rows[at : at + 4096]
-        x = a[own][:, : long[own[-1]]]
+    for at in range(0, len(rows), 512):
+        own = rows[at : at + 512]
+        x = a[own, : long[own[-1]]]
         self_a[own] = subsequence_kernel(x, x)
     value = np.empty(len(i), np.float32)
-    for at in range(0, len(i), 4096):
-        p, q = i[at : at + 4096], j[at : at + 4096]
-        value[at : at + 4096] = subsequence_kernel(a[p][:, : long[p[-1]]], b[q])
+    for at in range(0, len(i), 512):
+        p, q = i[at : at + 512], j[at : at + 512]
+        value[at : at + 512] = subsequence_kernel(a[p, : long[p].max()], b[q, : short[q[-1]]])
     value /= np.sqrt(np.maximum(self_a[i] * self_b[j], 1e-12))
     if len(windows) == len(words):
         out[i, j] = value
@@ -186,55 +196,57 @@ def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 class Features:
-    """Kernels of tokens, remembered, and the features of sentences."""
+    """Kernels of tokens, remembered, and the features of sentences. Tokens are known without outer punctuation, which no
+    kernel looks at."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.seen: set[str] = set()
-        self.near: dict[str, int] = {}  # of tokens that are near a landmark: the row of their kernels
+        self.known: dict[str, int] = {}  # the row of a token's kernels; -1 if it is near no landmark
         self.rows = np.zeros((0, len(landmarks)), np.float32)
-        self.before: tuple[set[str], dict[str, int], np.ndarray] = (set(), {}, self.rows)
+        self.before = self.known, self.rows
 
     def learn(self, tokens: set[str]) -> None:
-        """Kernels of tokens. When there are too many, those that don't come again for as long are forgotten."""
-        if len(self.seen) > REMEMBERED or self.rows.nbytes > HELD_BYTES:
-            self.before = self.seen, self.near, self.rows
-            self.seen, self.near, self.rows = set(), {}, self.rows[:0]
-        seen, near, rows = self.before
-        new = tokens - self.seen
-        self.seen |= new
-        again = [x for x in new & seen if x in near]
-        self.near.update(zip(again, range(len(self.near), len(self.near) + len(again))))
-        grown = [self.rows, rows[[near[x] for x in again]]]
-        words = [(t, w) for t in sorted(new - seen) for w in words_of(t)]
-        for at in range(0, len(words), 4_000):
-            part = words[at : at + 4_000]
-            found = kernels([w for _, w in part], self.landmarks)
-            hot = np.flatnonzero(found.any(axis=1))
-            # A token's words, two at most, stand next to each other; they may be in two parts.
-            begin = len(self.near)
-            own = np.array([self.near.setdefault(part[k][0], len(self.near)) for k in hot.tolist()], int)
-            block = np.zeros((len(self.near) - begin, len(self.landmarks)), np.float32)
-            late = own >= begin
-            np.maximum.at(block, own[late] - begin, found[hot[late]])
-            grown.append(block)
-            for k, r in zip(hot[~late].tolist(), own[~late].tolist()):
-                self.rows = np.concatenate(grown)
-                self.rows[r] = np.maximum(self.rows[r], found[k])
-                grown = [self.rows]
+        """Kernels of tokens without outer punctuation. When there are too many, those that don't come again for as long
+        are forgotten."""
+        if len(self.known) > REMEMBERED or self.rows.nbytes > HELD_BYTES:
+            self.before = self.known, self.rows
+            self.known, self.rows = {}, self.rows[:0]
+        known, rows = self.before
+        new = tokens.difference(self.known)
+        again = list(new.intersection(known))
+        own = np.array([known[x] for x in again], np.int64)
+        grown = [self.rows]
+        self._add(again, own >= 0, rows[own[own >= 0]], grown)
+        fresh = sorted(new.difference(known))
+        for at in range(0, len(fresh), 4_000):
+            part = fresh[at : at + 4_000]
+            words = [["^" + t + "$"] if t.isalnum() else words_of(t) for t in part]
+            own = kernels([*chain.from_iterable(x[:1] for x in words), *chain.from_iterable(x[1:] for x in words)], self.landmarks)
+            found = np.zeros((len(part), len(self.landmarks)), np.float32)
+            one, two = (np.array([k for k, x in enumerate(words) if len(x) > n], int) for n in (0, 1))
+            found[one] = own[: len(one)]
+            found[two] = np.maximum(found[two], own[len(one) :])
+            near = found.any(axis=1)
+            self._add(part, near, found[near], grown)
         self.rows = np.concatenate(grown)
 
+    def _add(self, tokens: list[str], near: np.ndarray, rows: np.ndarray, grown: list[np.ndarray]) -> None:
+        begin = sum(map(len, grown))
+        self.known.update(zip(tokens, np.where(near, begin + np.cumsum(near) - 1, -1).tolist()))
+        grown.append(rows)
+
     def sentences(self, texts: list[str | None], told: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text of each row, features, holds a word of told) of the sentences that hold a word near a landmark; all
         others are all 0."""
         own = [tokens_of(t) if t else [] for t in texts]
-        codes, unique = pd.factorize(np.array([*chain.from_iterable(own), LINE], object))
-        line, codes = codes[-1], codes[:-1]
-        self.learn(set(unique) - {LINE})
-        row = np.array([self.near.get(x, -1) for x in unique], np.int64)[codes]
+        codes, unique = numbered([LINE, *chain.from_iterable(own)])
+        codes = codes[1:]
+        bare = [x.strip(TRIM) for x in unique]
+        self.learn(set(bare[1:]))
+        row = np.array([-1, *map(self.known.__getitem__, bare[1:])], np.int64)[codes]
         text = np.repeat(np.arange(len(texts)), [len(x) for x in own])
         # A sentence ends with a line, with a text, and behind a token that ends with one of these signs.
-        ends = np.array([x[-1] in ".!?" for x in unique], bool)[codes] | (codes == line)
+        ends = np.array([x[-1] in ".!?" for x in unique], bool)[codes] | (codes == 0)
         new = np.append(True, ends[:-1] | (text[1:] != text[:-1])) if len(codes) else np.zeros(0, bool)
         sentence = np.cumsum(new) - 1
         hit = np.flatnonzero(row >= 0)
@@ -268,14 +280,14 @@ def _document_counts(labelled: DataFrame) -> DataFrame:
     def told(number: dict[str, int], seen: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"item": pd.Series(list(number), dtype=object), "bad": seen[1], "good": seen[0]})
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("toxicity")  # drops what operators before this one kept in the worker
         known: dict[str, tuple[int, int]] = {}  # the numbers of a token's words; of one that comes once the second is -1
         number: dict[str, int] = {}
         seen = np.zeros((2, 0), np.int64)
         for pdf in batches:
             texts = [tokens_of(t) for t in pdf["text"]]
-            codes, unique = pd.factorize(np.array(list(chain.from_iterable(texts)), object))
+            codes, unique = numbered([*chain.from_iterable(texts)])
             for x in unique:
                 if x not in known:
                     own = [number.setdefault(w, len(number)) for w in words_of(x)] if x != LINE else []
@@ -295,14 +307,14 @@ def _document_counts(labelled: DataFrame) -> DataFrame:
         del known, number, seen
         give_back_memory()
 
-    counts = labelled.select("text", "y").mapInPandas(count, "item string, bad long, good long")
+    counts = labelled.select("text", "y").mapInPandas(run, "item string, bad long, good long")
     return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
 def _gram_counts(words: DataFrame, wanted: frozenset[str]) -> DataFrame:
     """(item, bad, good): documents that hold each n-gram in wanted, counted once for each word that holds it."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("toxicity")  # drops what operators before this one kept in the worker
         for pdf in batches:
             found: dict[str, list[int]] = {}
@@ -313,7 +325,7 @@ def _gram_counts(words: DataFrame, wanted: frozenset[str]) -> DataFrame:
                     own[1] += good
             yield pd.DataFrame({"item": pd.Series(list(found), dtype=object), "bad": np.array([x[0] for x in found.values()], np.int64), "good": np.array([x[1] for x in found.values()], np.int64)})
 
-    counts = words.mapInPandas(count, "item string, bad long, good long")
+    counts = words.mapInPandas(run, "item string, bad long, good long")
     return counts.groupBy("item").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
@@ -454,9 +466,12 @@ def _near_misses(sample: DataFrame, machine: Machine) -> list[str]:
             value: dict[str, float] = {}
             for t in pdf["text"]:
                 own = set(prepared(t).split())
-                features.learn(own)
-                for x in own & features.near.keys():
-                    m = float(features.rows[features.near[x]] @ machine.weights + machine.bias)
+                features.learn({x.strip(TRIM) for x in own})
+                for x in own:
+                    row = features.known[x.strip(TRIM)]
+                    if row < 0:
+                        continue
+                    m = float(features.rows[row] @ machine.weights + machine.bias)
                     if m > -0.5:
                         w = words_of(x)[-1]
                         found[w] += 1

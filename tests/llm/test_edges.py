@@ -112,6 +112,19 @@ def test_kernel_equals_the_sum_over_subsequences():
     assert np.allclose(toxicity.subsequence_kernel(a, b), [plain(*p) for p in pairs], rtol=1e-4)
 
 
+def test_a_word_is_compared_once_whatever_signs_stand_around_it(monkeypatch):
+    asked, real = [], toxicity.kernels
+    monkeypatch.setattr(toxicity, "kernels", lambda words, landmarks: asked.extend(words) or real(words, landmarks))
+    features = toxicity.Features(["blork", "khead"])
+    of, x, _ = features.sentences(["blorkhead, (blorkhead) blork-head\nblorkhead; day", "...", None, "blorkhead"])
+    assert sorted(asked) == ["^blork-head$", "^blorkhead$", "^blorkhead$", "^day$"]  # with signs inside it also comes without them
+    assert of.tolist() == [0, 0, 3]
+    alone = real(["^blorkhead$", "^blork-head$"], ["blork", "khead"])
+    assert np.allclose(x, [alone.max(axis=0), alone[0], alone[0]], atol=1e-6)
+    asked.clear()
+    assert np.array_equal(features.sentences(["'blorkhead'"])[1][0], x[1]) and not asked
+
+
 def test_copies_are_no_evidence_of_their_own(spark):
     rng = np.random.default_rng(29)
     words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(400)]
