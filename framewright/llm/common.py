@@ -35,12 +35,17 @@ def worker_cache(operator: str) -> dict:
     """What an operator keeps in a Python worker, which outlives its stage; what other operators kept is dropped, and the
     memory given back, which the allocators would hold for a worker's whole life."""
     if operator not in _kept:
-        _kept.clear()
-        give_back_memory()
+        forget()
         _kept[operator] = {}
     return _kept[operator]
 
 
+def forget() -> None:
+    """Drops what operators keep in this Python worker."""
+    _kept.clear()
+    give_back_memory()
+
+
 def give_back_memory() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

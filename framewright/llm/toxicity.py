@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, give_back_memory, small_batches, worker_cache
+from .common import cut, forget, give_back_memory, small_batches, worker_cache
 
 ORDER, DECAY = 3, 0.6
 #: Longer words are read in overlapping windows of this many characters.
@@ -602,10 +602,14 @@ def score(docs: DataFrame, text: str, machine: Machine, to: str = "score", keep_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         features = remembered(m.landmarks)
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                out = part if keep_text else part.drop(columns=text)
-                yield out.assign(**{to: score_texts(m, features, part[text].tolist())})
+        try:
+            for pdf in batches:
+                for at in range(0, len(pdf), 500):
+                    part = pdf.iloc[at : at + 500]
+                    out = part if keep_text else part.drop(columns=text)
+                    yield out.assign(**{to: score_texts(m, features, part[text].tolist())})
+        finally:  # tasks take turns with all workers that an executor ever started: those at rest are to hold nothing
+            del features
+            forget()
 
     return rows.mapInPandas(run, schema)

@@ -145,6 +145,20 @@ def test_mix_of_nulls_repeats_and_a_source_that_runs_out(spark):
     assert mixing.mix(df.limit(0), "source", "k", {"a": 1}).count() == 0
 
 
+def test_workers_at_rest_hold_no_kernels(spark):
+    def alive(batches):
+        import gc
+
+        for pdf in batches:
+            yield pdf.assign(n=sum(isinstance(x, toxicity.Features) for x in gc.get_objects()))
+
+    machine = toxicity.Machine(["blork", "khead"], np.full(2, 5.0), -1.0, 1.0, 0.0)
+    docs = spark.range(0, 4000, 1, 16).selectExpr("id", "concat('a blorkhead', id) AS text")
+    assert toxicity.score(docs, "text", machine).agg(F.max("score")).first()[0] > 0.5
+    held = spark.range(0, 64, 1, 64).mapInPandas(alive, "id bigint, n long").agg(F.sum("n")).first()[0]
+    assert held == 0
+
+
 def test_toxicity_of_long_empty_and_repeated_texts_with_a_clashing_column(spark):
     machine = queries.toxicity_machine(spark, SF)
     long = "plain words here. " * 20_000
