@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,34 @@ def test_a_track_over_many_pieces_keeps_its_number(spark):
     df = spark.createDataFrame(rows, "t bigint, id bigint, box struct<x0: double, y0: double, x1: double, y1: double>").select(F.lit("v").alias("video"), "*", F.lit(1).alias("label"))
     got = {(r.t, r.id): r.track for r in K.track(df, "video", "t", "id", "label", piece=4, before=9).collect()}
     assert {v for (t, i), v in got.items() if i == 1} == {0} and {v for (t, i), v in got.items() if i == 2} == {1}
+
+
+def test_many_frames_at_once_equal_the_rule(monkeypatch):
+    """Pixels and pairs are compared in blocks; masks are compared once for many frames, not frame by frame."""
+    monkeypatch.setattr(K, "MARKS", 64 * 40)
+    monkeypatch.setattr(K, "PAIRS", 50)
+    rng = random.Random(3)
+    rows = []
+    for video in (1, 2):
+        for t in sorted(rng.sample(range(100), 60)):
+            for i in range(rng.randrange(1, 4)):
+                begin = rng.randrange(6)
+                rows.append((video, t, i, rng.choice(["a", "b", None]), [(begin + k) * 97 % 4001 for k in range(rng.randrange(120, 200))] + [7]))
+    calls = []
+    prepare = lambda shapes: calls.append(len(shapes)) or K._masks(shapes)
+    names = ["video", "t", "id", "label", "shape"]
+    table = pa.table({"piece": pa.array([0] * len(rows))} | {n: pa.array([r[k] for r in rows]) for k, n in enumerate(names)} | {"left": pa.nulls(len(rows), pa.int32())})
+    told = list(K._follow(iter(table.to_batches(max_chunksize=50)), 0, 16, 0.5, 8, prepare))
+    got = {(r["video"], r["t"], r["id"]): r["ref"] for b in told for r in b.to_pylist() if r["held"] is None}
+    assert got == plain(rows, mask_iou, 0.5) and len(set(got.values())) < len(rows) / 3 and len(calls) < 30
+
+
+def test_shapes_are_written_for_heads_alone(spark, monkeypatch):
+    written, whole = [], K.materialise
+    monkeypatch.setattr(K, "materialise", lambda df: written.append(whole(df)) or written[-1])
+    rows = [(t, i, (10.0 * i + t % 3, 0.0, 10.0 * i + 10, 10.0)) for t in range(400) for i in range(3)]
+    df = spark.createDataFrame(rows, "t bigint, id bigint, box struct<x0: double, y0: double, x1: double, y1: double>").select(F.lit("v").alias("video"), "*", F.lit(1).alias("label"))
+    got = {(r.t, r.id): r.track for r in K.track(df, "video", "t", "id", "label", before=9).collect()}
+    assert got == {k[1:]: v for k, v in plain([("v", t, i, 1, b) for t, i, b in rows], box_iou, 0.6).items()}
+    shapes = [d.where(f"{c} is not null").count() for d in written for c in ("shape", "held.shape") if c.split(".")[0] in d.columns]
+    assert 0 < sum(shapes) < len(rows) / 2
