@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, box, iou
-from .groups import map_groups
+from .groups import bounds, map_groups
 from .ranges import latest_max, running
 
 #: Pairs of boxes that a task compares at once.
@@ -201,12 +201,32 @@ def ensemble_detections(outputs: DataFrame, image: str, label: str, id_: str, wi
     """
     b = box("box")
     back = F.when(F.col("flipped"), Box(width - b.x1, b.y0, width - b.x0, b.y1).struct()).otherwise(b.struct())
-    union = outputs.withColumn("box", back)
-    best = final_detections(union, image, label, id_, least_score, threshold, top, width, height)
-    clusters = suppress_clusters(union.where(F.col("score") > least_score), [image, label], id_, threshold).withColumnRenamed("id", id_)
-    mean = F.struct(*[F.avg(f"box.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    each = union.join(clusters, [image, label, id_]).groupBy(image, label, F.col("kept").alias(id_)).agg(F.count("*").alias("members"), mean.alias("mean_box"))
-    return best.select(image, label, id_, "score", "box").join(each, [image, label, id_]), clusters
+    union = outputs.withColumn("box", back).where(F.col("score") > least_score)
+    clusters = suppress_clusters(union, [image, label], id_, threshold).withColumnRenamed("id", id_)
+    sides, limits = ("x0", "y0", "x1", "y1"), np.array([width, height] * 2, float)
+    rows = union.select(image, label, F.col(id_).alias("id"), "score", F.col("score").cast("double").alias("s"), *[F.col(f"box.{c}").cast("double").alias(c) for c in sides])
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    schema = ", ".join(f"`{c}` {kind(c)}" for c in (image, label, "id", "score")) + ", members bigint, " + ", ".join(f"{c} double, mean_{c} double" for c in sides)
+
+    def merge(pdf: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
+        """All boxes choose whom they stand for; of the finite ones, cut to the image, some stay, and the top of those."""
+        corners, own = pdf[list(sides)].to_numpy(float), np.arange(len(pdf))
+        classes = bounds(pdf, [image, label])
+        of = _kept(corners, classes, _iou_matrix, lambda v: v > threshold)
+        sure = np.flatnonzero(np.isfinite(corners.sum(1) + pdf["s"].to_numpy(float)))
+        cut = np.minimum(np.maximum(corners, 0.0), limits)
+        stays = sure[_kept(cut[sure], np.searchsorted(sure, classes), _iou_matrix, lambda v: ~(v <= threshold)) == np.arange(len(sure))]
+        best = pdf.iloc[stays].assign(__group=np.repeat(np.arange(len(at) - 1), np.diff(at))[stays], __own=stays).sort_values(["__group", "s", "id"], ascending=[True, False, True])
+        best = best[best.groupby("__group").cumcount() < top]
+        kept = best["__own"].to_numpy()
+        best, kept = best[of[kept] == kept], kept[of[kept] == kept]
+        members = np.bincount(of, minlength=len(own))
+        means = {f"mean_{c}": np.bincount(of, corners[:, k], len(own))[kept] / members[kept] for k, c in enumerate(sides)}
+        return best[[image, label, "id", "score"]].assign(members=members[kept], **{c: cut[kept, k] for k, c in enumerate(sides)}, **means)
+
+    found = map_groups(rows.where(F.col(label).isNotNull()), [image], [label, F.desc("s"), "id"], merge, schema)
+    corner = lambda before, to: F.struct(*[F.col(before + c).alias(c) for c in sides]).alias(to)
+    return found.select(image, label, F.col("id").alias(id_), "score", corner("", "box"), "members", corner("mean_", "mean_box")), clusters
 
 
 def mean_masks(cells: DataFrame, keys: Sequence[str], x: str, y: str, value: str, size: int, flipped: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,8 +23,9 @@ def bounds(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
 def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], f: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
     """f of batches that hold whole groups in order, with the groups' bounds.
 
-    Rows are shuffled by keys once and streamed; a task holds one batch and the group that goes on in the next one. A
-    group must fit in a task's memory, as the boxes of one image do; keys must not be null.
+    Rows are shuffled by keys once, or not at all where they stand by some of them already, and streamed; a task holds one
+    batch and the group that goes on in the next one. A group must fit in a task's memory, as the boxes of one image do;
+    keys must not be null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -46,5 +47,6 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
             whole = pd.concat(rest, ignore_index=True)
             yield f(whole, bounds(whole, keys))
 
-    named = [F.col(k) for k in keys]
-    return df.where(" and ".join(f"`{k}` is not null" for k in keys)).repartition(*named).sortWithinPartitions(*named, *order).mapInPandas(run, schema)
+    # A window asks for rows by key and in order, and Spark moves them only where they aren't.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.where(" and ".join(f"`{k}` is not null" for k in keys)).withColumn("__place", place).mapInPandas(run, schema)

@@ -15,9 +15,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image, id, class, score, box of every line item."""
     c = F.col
     b = G.from_xywh(c("l_partkey") % 50, c("l_suppkey") % 50, c("l_quantity"), c("l_linenumber") * 5 + 1)
-    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"))
+    rank = F.row_number().over(Window.partitionBy("image").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag"))
     score = F.round(c("l_discount") * 10 + c("l_tax"), 6)
-    return table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("image"), rank.alias("id"), c("l_returnflag").alias("class"), score.alias("score"), b.struct().alias("box"), "l_discount")
+    # Numbered by image before all else, so that Spark knows that the boxes of an image are together, and moves no more than it must.
+    numbered = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "image").withColumn("id", rank)
+    return numbered.select("image", "id", c("l_returnflag").alias("class"), score.alias("score"), b.struct().alias("box"), "l_discount")
 
 
 _BOXES = """WITH b AS (SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag) AS id, l_returnflag AS class, round(l_discount * 10 + l_tax, 6) AS score,

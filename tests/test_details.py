@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framewright import catalogue, tool
 from framewright.functions import geometry as G
+from framewright.operators import detection as D
 from framewright.queries import details
 from framewright.queries.boxes import detections
 from framewright.sources import staged
@@ -68,6 +69,25 @@ def test_ensembles_equal_a_plain_loop(spark):
         assert got[k] == pytest.approx(v, abs=1e-5)
 
 
+def test_an_ensemble_moves_rows_once(spark):
+    plan = catalogue.QUERIES["e57_ensemble_detections"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_an_ensemble_of_odd_boxes(spark):
+    """Boxes that aren't finite, without a class or on the least score aren't reported; one outside the image is a point."""
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        (1, "a", 1, 0.5, (0.0, 0.0, 10.0, 10.0)), (1, "a", 2, 0.5, (0.0, 0.0, 10.0, 10.0)), (1, "a", 3, 0.9, (0.0, 0.0, 10.0, inf)), (1, "a", 4, nan, (0.0, 0.0, 10.0, 10.0)), (1, "b", 5, 0.5, (0.0, 0.0, 10.0, 10.0)),
+        (1, None, 6, 0.9, (0.0, 0.0, 10.0, 10.0)), (2, "a", 1, 0.1, (0.0, 0.0, 10.0, 10.0)), (3, "a", 1, 0.7, None), (3, "a", 2, 0.6, (-9.0, 0.0, -5.0, 10.0)), (3, "a", 3, None, (0.0, 0.0, 1.0, 1.0)),
+    ]
+    df = spark.createDataFrame(rows, "image int, class string, id int, score double, box struct<x0: double, y0: double, x1: double, y1: double>").withColumn("flipped", F.col("image") == 2)
+    best, clusters = D.ensemble_detections(df, "image", "class", "id", 100.0, 60.0, 0.5, 10, 0.1)
+    got = {(r.image, r["class"], r.id): (r.score, tuple(r.box), r.members, tuple(r.mean_box)) for r in best.collect()}
+    assert got == {(1, "b", 5): (0.5, (0.0, 0.0, 10.0, 10.0), 1, (0.0, 0.0, 10.0, 10.0)), (3, "a", 2): (0.6, (0.0, 0.0, 0.0, 10.0), 1, (-9.0, 0.0, -5.0, 10.0))}
+    assert {(r.image, r["class"], r.id): r.kept for r in clusters.where("image = 1 and class = 'a'").collect()} == {(1, "a", i): k for i, k in ((1, 4), (2, 4), (3, 3), (4, 4))}
+
+
 def test_a_crop_that_does_not_fit_fails(spark):
     inner = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(900).alias("w"), F.lit(900).alias("h"))
     with pytest.raises(Exception, match="does not fit"):
