@@ -18,10 +18,15 @@ from ..storage import materialise
 SMALL = 100_000
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df written once, to be broadcast if it is small."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def _shifted(placed: DataFrame, keys: Sequence[str], per_range: DataFrame) -> DataFrame:
     """placed with the columns of per_range for its key and range; a null key is a key like others."""
-    per_range = materialise(per_range)
-    per_range = F.broadcast(per_range) if per_range.count() <= SMALL else per_range
+    per_range = few(per_range)
     names = {k: f"__key{i}" for i, k in enumerate(keys)} | {"__part": "__from"}
     renamed = per_range.withColumnsRenamed(names)
     same = None

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .ranges import SMALL
+from .ranges import few
 
 #: Frames that a task works on at once, and frames of a head.
 PIECE, BEFORE = 1024, 64
@@ -345,5 +345,4 @@ def _numbers(seams: DataFrame, kind: str) -> DataFrame:
         return pd.concat(out).assign(video=pdf["video"].iloc[0])
 
     ends = seams.where(F.col("kind") != BEGIN).select("piece", "video", "t", "id", "ref", "kind")
-    found = materialise(ends.groupBy("video").applyInPandas(walk, f"piece bigint, key bigint, add bigint, video {kind}"))
-    return F.broadcast(found) if found.count() <= SMALL else found
+    return few(ends.groupBy("video").applyInPandas(walk, f"piece bigint, key bigint, add bigint, video {kind}"))

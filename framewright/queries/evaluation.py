@@ -10,6 +10,7 @@ from ..operators import clips as C
 from ..operators import detection as D
 from ..operators import evaluation as E
 from ..operators import grids as M
+from ..operators import precision as P
 from ..operators import sequences as S
 from ..plans.scorers import scorer
 from ..registry import query, table
@@ -31,23 +32,14 @@ m AS (SELECT t, image, id, class, score, CASE WHEN near AND NOT hard AND k = 1 T
 """
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = detections(spark, sf_dir).where("id % 2 = 0")
-    return d.select("image", "id", "box", "class", (F.col("id") % 7 == 0).alias("difficult"))
-
-
 @query(_curve_sql(_LEVELS) + """, e AS (SELECT t, class, k, recall, max(prec) OVER (PARTITION BY t, class ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS env, coalesce(lag(recall) OVER (PARTITION BY t, class ORDER BY k), 0) AS bef FROM c),
 a AS (SELECT class, t, sum((recall - bef) * env) AS ap FROM e GROUP BY 1, 2)
 SELECT class, round(avg(ap) * 100, 6) AS ap, round(avg(ap) FILTER (WHERE t = 0.5) * 100, 6) AS ap50, round(avg(ap) FILTER (WHERE t = 0.75) * 100, 6) AS ap75 FROM a GROUP BY 1""")
 def e35_ten_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision by class over overlaps from 0.5 to 0.95, at 0.5 and at 0.75."""
-    truth = _truth(spark, sf_dir)
-    det = detections(spark, sf_dir).where("id % 2 = 1").select("image", "id", "class", "score", "box")
-    found = D.match_levels(det, truth, ["image", "class"], E.LEVELS, [F.desc("score"), F.col("id")])
-    positives = truth.where("not difficult").groupBy("class").agg(F.count("*").alias("n"))
-    order = [F.desc("score"), F.col("image"), F.col("id")]
-    curve = D.precision_recall(found.select("threshold", "class", "score", "image", "id", "tp", "fp").join(positives, "class"), ["threshold", "class"], order, F.col("n"))
-    out = E.precision_summary(D.average_precision(curve, ["class", "threshold"]), ["class"])
+    side = lambda odd, *fields: F.when(F.col("id") % 2 == odd, F.struct("id", "box", *fields))
+    both = detections(spark, sf_dir).select("image", "class", side(1, "score").alias("det"), side(0, (F.col("id") % 7 == 0).alias("difficult")).alias("object"))
+    out = E.precision_summary(P.area_precision(both, "image", "class", E.LEVELS), ["class"])
     return out.select("class", *[F.round(c, 6).alias(c) for c in ("ap", "ap50", "ap75")])
 
 
