@@ -39,7 +39,7 @@ def e36_twelve_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e36_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = P.precision_by_band(*sized_boxes(spark, sf_dir), "image", "class", limits=(1, 2, 3))
+    scores = P.band_precision(sized_sides(spark, sf_dir), "image", "class", limits=(1, 2, 3))
     return P.by_class(scores, "class").withColumn("ap", F.round("ap", 6))
 
 
